@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.operators.diff import CHANGES, DELETE, INSERT, OP, SAME, UPDATE, as_inserts
-from tablesync.operators.keys import key_condition
+from tablesync.operators.keys import key_condition, right_side
 
 
 def result_rows(classified: DataFrame) -> DataFrame:
@@ -24,8 +22,8 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], nu
     Untouched rows pass straight through: a small change set is broadcast and
     a bucketed target keeps its layout, so the large side is not shuffled.
     """
-    touched = changes.filter(F.col(OP).isin(UPDATE, DELETE)).select(*keys)
-    survivors = target.join(touched, key_condition(target, touched, keys, null_safe), "left_anti")
+    touched = right_side(changes.filter(F.col(OP).isin(UPDATE, DELETE)), keys)
+    survivors = target.join(touched, key_condition(keys, null_safe), "left_anti")
     return survivors.unionByName(changes.filter(F.col(OP).isin(INSERT, UPDATE)).drop(OP))
 
 
@@ -55,8 +53,8 @@ def touched_partitions(
 ) -> DataFrame:
     """Partition values holding any changed row, before or after the change."""
     after = changes.select(*partition_by)
-    moved = changes.filter(F.col(OP) == UPDATE).select(*keys)
-    before = target.join(moved, key_condition(target, moved, keys, null_safe), "left_semi").select(*partition_by)
+    moved = right_side(changes.filter(F.col(OP) == UPDATE), keys)
+    before = target.join(moved, key_condition(keys, null_safe), "left_semi").select(*partition_by)
     return after.unionByName(before).distinct()
 
 
@@ -69,5 +67,5 @@ def partition_rows(
     null_safe: bool = True,
 ) -> DataFrame:
     """New contents of the touched partitions only."""
-    condition = reduce(and_, (target[f"`{p}`"].eqNullSafe(touched[f"`{p}`"]) for p in partition_by))
-    return apply_changes(target.join(touched, condition, "left_semi"), changes, keys, null_safe)
+    affected = target.join(right_side(touched), key_condition(partition_by), "left_semi")
+    return apply_changes(affected, changes, keys, null_safe)

@@ -16,13 +16,22 @@ key once. Three plans compute the same relation:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.functions.geometry import geometry_changed, is_geometry
-from tablesync.operators.keys import flag_not_in_blocked, key_condition, null_masks
+from tablesync.operators.keys import (
+    flag_not_in_blocked,
+    key_condition,
+    left,
+    null_masks,
+    right,
+    right_side,
+)
 
 OP = "_op"
 SAME, UPDATE, INSERT, DELETE = "same", "update", "insert", "delete"
@@ -38,22 +47,17 @@ def values_differ(old: Column, new: Column, data_type: T.DataType) -> Column:
     return geometry_changed(old, new) if is_geometry(data_type) else ~old.eqNullSafe(new)
 
 
-def rows_differ(target: DataFrame, staged: DataFrame, columns: Sequence[str]) -> Column:
-    """True when any of ``columns`` differs; false for no columns."""
-    differ = F.lit(False)
-    for name in columns:
-        differ = differ | values_differ(
-            target[f"`{name}`"], staged[f"`{name}`"], target.schema[name].dataType
-        )
-    return differ
+def rows_differ(schema: T.StructType, columns: Sequence[str]) -> Column:
+    """True when any of ``columns`` differs from the joined right side; false for none."""
+    return reduce(or_, (values_differ(left(c), right(c), schema[c].dataType) for c in columns), F.lit(False))
 
 
 def updated_rows(target: DataFrame, staged: DataFrame, keys: Sequence[str], null_safe: bool = True) -> DataFrame:
     """Matched target rows that differ, with the new values in place."""
     mapped = staged.columns
-    joined = target.join(staged, key_condition(target, staged, keys, null_safe), "inner")
-    changed = joined.filter(rows_differ(target, staged, [c for c in mapped if c not in keys]))
-    return changed.select(*[(staged if c in mapped else target)[f"`{c}`"] for c in target.columns])
+    joined = target.join(right_side(staged), key_condition(keys, null_safe), "inner")
+    changed = joined.filter(rows_differ(target.schema, [c for c in mapped if c not in keys]))
+    return changed.select(*[(right(c) if c in mapped else left(c)).alias(c) for c in target.columns])
 
 
 def missing_rows(
@@ -66,16 +70,14 @@ def missing_rows(
     are equal, so both need the same single exchange.
     """
     if unique:
-        known = target.select(*keys)
-        return staged.join(known, key_condition(staged, known, keys, null_safe), "left_anti")
+        return staged.join(right_side(target, keys), key_condition(keys, null_safe), "left_anti")
     known = target.select(F.struct(*keys).alias("_known")).distinct()
-    return staged.join(known, F.struct(*[staged[f"`{k}`"] for k in keys]) == known["_known"], "left_anti")
+    return staged.join(known, F.struct(*[left(k) for k in keys]) == F.col("_known"), "left_anti")
 
 
 def vanished_rows(target: DataFrame, staged: DataFrame, keys: Sequence[str], null_safe: bool = True) -> DataFrame:
     """Target rows whose key is no longer staged."""
-    known = staged.select(*keys)
-    return target.join(known, key_condition(target, known, keys, null_safe), "left_anti")
+    return target.join(right_side(staged, keys), key_condition(keys, null_safe), "left_anti")
 
 
 def missing_rows_not_in(staged: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -108,11 +110,9 @@ def classify(
         raise ValueError(f"unknown plan {plan!r}")
     if key_nulls == "not_in" and plan == "merge":
         plan = "split"
-    stored = target.withColumn(_THERE, F.lit(True))
-    fresh = staged.withColumn(_HERE, F.lit(True))
-    condition = key_condition(stored, fresh, keys, null_safe)
-    joined = stored.join(fresh, condition, "full_outer" if plan == "merge" else "left")
-    rows = _labelled(joined, stored, fresh, keys, target.columns, staged.columns, deletion)
+    kind = "full_outer" if plan == "merge" else "left"
+    joined = _joined(target, staged, keys, null_safe, kind)
+    rows = _labelled(joined, target, staged.columns, keys, deletion)
     if plan == "merge":
         return rows
 
@@ -142,48 +142,52 @@ def changes_of(classified: DataFrame) -> DataFrame:
 
 def change_feed(target: DataFrame, staged: DataFrame, keys: Sequence[str], null_safe: bool = True) -> DataFrame:
     """Key, operation, and old and new values of the compared columns of changed rows."""
-    stored = target.withColumn(_THERE, F.lit(True))
-    fresh = staged.withColumn(_HERE, F.lit(True))
-    joined = stored.join(fresh, key_condition(stored, fresh, keys, null_safe), "full_outer")
+    joined = _joined(target, staged, keys, null_safe, "full_outer")
     compared = [c for c in staged.columns if c not in keys]
-    label = _label(stored, fresh, rows_differ(stored, fresh, compared), deletion=True)
+    label = _label(rows_differ(target.schema, compared), deletion=True)
     return joined.select(
-        *[F.coalesce(fresh[f"`{k}`"], stored[f"`{k}`"]).alias(k) for k in keys],
+        *[F.coalesce(right(k), left(k)).alias(k) for k in keys],
         label.alias("op"),
-        *[stored[f"`{c}`"].alias(f"old_{c}") for c in compared],
-        *[fresh[f"`{c}`"].alias(f"new_{c}") for c in compared],
+        *[left(c).alias(f"old_{c}") for c in compared],
+        *[right(c).alias(f"new_{c}") for c in compared],
     ).filter(F.col("op") != SAME)
 
 
-def _label(stored: DataFrame, fresh: DataFrame, differ: Column, deletion: bool) -> Column:
+def _joined(target: DataFrame, staged: DataFrame, keys: Sequence[str], null_safe: bool, kind: str) -> DataFrame:
+    stored, fresh = target.withColumn(_THERE, F.lit(True)), right_side(staged).withColumn(_HERE, F.lit(True))
+    return stored.join(fresh, key_condition(keys, null_safe), kind)
+
+
+def _label(differ: Column, deletion: bool) -> Column:
     return (
-        F.when(stored[_THERE].isNull(), INSERT)
-        .when(fresh[_HERE].isNull(), DELETE if deletion else SAME)
+        F.when(F.col(_THERE).isNull(), INSERT)
+        .when(F.col(_HERE).isNull(), DELETE if deletion else SAME)
         .when(differ, UPDATE)
         .otherwise(SAME)
     )
 
 
-def _labelled(joined, stored, fresh, keys, target_columns, mapped, deletion) -> DataFrame:
+def _labelled(
+    joined: DataFrame, target: DataFrame, mapped: Sequence[str], keys: Sequence[str], deletion: bool
+) -> DataFrame:
     """One projection turns the joined pair into the row as it should be, and ``_op``."""
-    differ = rows_differ(stored, fresh, [c for c in mapped if c not in keys])
-    labelled = joined.withColumn(OP, _label(stored, fresh, differ, deletion))
+    differ = rows_differ(target.schema, [c for c in mapped if c not in keys])
+    labelled = joined.withColumn(OP, _label(differ, deletion))
     values = []
-    for name in target_columns:
-        old = stored[f"`{name}`"]
+    for name in target.columns:
+        value = left(name)
         if name in keys:
-            old = F.coalesce(old, fresh[f"`{name}`"])
+            value = F.coalesce(value, right(name))
         elif name in mapped:
-            new = fresh[f"`{name}`"]
-            old = F.when(F.col(OP).isin(INSERT, UPDATE), new).otherwise(old)
-        values.append(old.alias(name))
+            value = F.when(F.col(OP).isin(INSERT, UPDATE), right(name)).otherwise(value)
+        values.append(value.alias(name))
     return labelled.select(*values, OP)
 
 
 def _present(target: DataFrame, staged: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
-    """Target keys that are staged: no more rows than the small staged side per task."""
-    here, there = target.select(*keys), staged.select(*keys)
-    return here.join(there, key_condition(here, there, keys, null_safe), "left_semi")
+    """Target keys that are staged, found by broadcasting the small staged side."""
+    here = target.select(*keys)
+    return here.join(right_side(staged, keys), key_condition(keys, null_safe), "left_semi")
 
 
 def _only_not_in_deletes(rows: DataFrame, target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -11,14 +11,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def key_condition(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = True) -> Column:
-    """Equality on every key column; still a hash or sort-merge join when null-safe.
+RIGHT = "_r_"
+
+
+def right_side(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The right side of a join under names that cannot clash with the left's,
+    also when both sides derive from the same rows."""
+    return df.select(*[F.col(f"`{c}`").alias(RIGHT + c) for c in (columns or df.columns)])
+
+
+def left(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def right(name: str) -> Column:
+    return F.col(f"`{RIGHT}{name}`")
+
+
+def key_condition(keys: Sequence[str], null_safe: bool = True) -> Column:
+    """Equality on every key column with a :func:`right_side`; an equi-join also when null-safe.
 
     Keys of a stored primary key hold no NULLs, so they use plain equality,
     which can also reuse the bucketing of the target.
     """
-    pairs = [(left[f"`{k}`"], right[f"`{k}`"]) for k in keys]
-    return reduce(and_, (a.eqNullSafe(b) if null_safe else a == b for a, b in pairs))
+    return reduce(and_, (left(k).eqNullSafe(right(k)) if null_safe else left(k) == right(k) for k in keys))
 
 
 def any_null(keys: Sequence[str]) -> Column:
@@ -88,11 +104,9 @@ def flag_not_in_blocked(
             if not known:
                 part = part.withColumn(flag, F.lit(True))
                 continue
-            right = others.filter(_null_mask(keys) == other_mask)
-            right = right.select(*[F.col(f"`{k}`").alias(f"_o_{k}") for k in known]).distinct()
-            right = right.withColumn("_hit", F.lit(True))
-            condition = reduce(and_, (F.col(f"`{k}`") == F.col(f"`_o_{k}`") for k in known))
-            joined = part.join(right, condition, "left")
+            same_mask = others.filter(_null_mask(keys) == other_mask)
+            hits = right_side(same_mask, known).distinct().withColumn("_hit", F.lit(True))
+            joined = part.join(hits, key_condition(known, null_safe=False), "left")
             blocked = F.col(flag) | F.col("_hit").isNotNull()
             part = joined.select(*[F.col(f"`{c}`") for c in df.columns], blocked.alias(flag))
         parts.append(part)

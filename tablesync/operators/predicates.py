@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.functions.text import BLANKS
+from tablesync.operators.keys import key_condition, right_side
 from tablesync.spec import SyncError
 
 AttributeSet = Mapping[str, str | None]
@@ -119,11 +120,9 @@ def flag_criteria_matches(df: DataFrame, criteria: DataFrame, flag: str = "_matc
     group is on the side the adaptive planner can split.
     """
     names = criteria.columns
-    found = criteria.distinct().select(
-        *[F.col(f"`{n}`").cast(df.schema[n].dataType).alias(f"_c_{n}") for n in names], F.lit(True).alias(flag)
-    )
-    condition = reduce(and_, (F.col(f"`{n}`").eqNullSafe(F.col(f"`_c_{n}`")) for n in names))
-    joined = df.join(found, condition, "left")
+    typed = criteria.select(*[F.col(f"`{n}`").cast(df.schema[n].dataType).alias(n) for n in names])
+    found = right_side(typed.distinct()).withColumn(flag, F.lit(True))
+    joined = df.join(found, key_condition(names), "left")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.col(flag), F.lit(False)).alias(flag))
 
 

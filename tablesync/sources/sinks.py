@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablesync.operators.apply import partition_rows, touched_partitions
 from tablesync.operators.diff import values_differ
+from tablesync.operators.keys import key_condition, right_side
 from tablesync.sources import files
 
 
@@ -41,8 +42,8 @@ def overwrite_partitions(
         .partitionBy(*partition_by)
         .parquet(path)
     )
-    condition = reduce(and_, (touched[p].eqNullSafe(rows[p]) for p in partition_by))
-    emptied = touched.join(rows.select(*partition_by).distinct(), condition, "left_anti")
+    filled = right_side(rows, partition_by).distinct()
+    emptied = touched.join(filled, key_condition(partition_by), "left_anti")
     for row in emptied.toLocalIterator():
         folder = "/".join(f"{p}={row[p]}" for p in partition_by)
         files.delete(spark, f"{path}/{folder}")
