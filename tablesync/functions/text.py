@@ -59,10 +59,11 @@ def double_text(col: Column) -> Column:
     for magnitudes a table usually holds."""
     shortest = col.cast("string")
     size = F.abs(col)
-    plain = F.rtrim(F.format_string("%s", shortest.try_cast("decimal(38,20)").cast("string")), F.lit("0"))
+    digits = F.rtrim(F.rtrim(shortest.try_cast("decimal(38,20)").cast("string"), F.lit("0")), F.lit("."))
     return (
         F.when(col == 0, F.lit("0"))
-        .when((size >= 1e-4) & (size < 1e15), F.rtrim(plain, F.lit(".")))
+        .when((size >= 1e-3) & (size < 1e7), F.regexp_replace(shortest, r"\.0$", ""))
+        .when((size >= 1e-4) & (size < 1e15), digits)
         .otherwise(shortest)
     )
 

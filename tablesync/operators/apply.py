@@ -1,10 +1,10 @@
-"""New target contents from a change set, full refresh, counters, retention of partitions."""
+"""New target contents from a change set, full refresh, counters."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.operators.diff import CHANGES, DELETE, INSERT, OP, SAME, UPDATE, as_inserts
@@ -42,10 +42,13 @@ def counts_per_op(classified: DataFrame) -> DataFrame:
     return classified.groupBy(OP).agg(F.count(F.lit(1)).alias("n"))
 
 
-def counters(classified: DataFrame) -> dict[str, int]:
-    """Number of rows per operation, zero for absent ones."""
-    found = {row[OP]: row["n"] for row in counts_per_op(classified).collect()}
-    return {op: found.get(op, 0) for op in (SAME, *CHANGES)}
+def counters(classified: DataFrame, broken: Column | None = None) -> tuple[dict[str, int], int]:
+    """Rows per operation, zero for absent ones, and how many new or changed rows are ``broken``."""
+    fresh = F.col(OP).isin(INSERT, UPDATE)
+    bad = F.lit(0) if broken is None else F.count_if(fresh & broken)
+    rows = classified.groupBy(OP).agg(F.count(F.lit(1)).alias("n"), bad.alias("bad")).collect()
+    found = {row[OP]: row["n"] for row in rows}
+    return {op: found.get(op, 0) for op in (SAME, *CHANGES)}, sum(row["bad"] for row in rows)
 
 
 def touched_partitions(

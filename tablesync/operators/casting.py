@@ -30,6 +30,7 @@ NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|[iI]nf(inity)
 YMD = r"^\s*(\d{4})(?:-(\d{1,2})-(\d{1,2})|/(\d{1,2})/(\d{1,2})|(\d{2})(\d{2}))"
 CLOCK = r"(?:[T ]+(\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,6})?\d*)?)?"
 ZONE = r"\s*(?:Z|[+-]\d{1,2}(?::?\d{2})?)?\s*$"
+STAMP = YMD + CLOCK + ZONE
 TIME = r"^\s*([01]?\d|2[0-3]):([0-5]\d)(?::([0-5]\d)(?:\.\d+)?)?\s*$"
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -72,28 +73,14 @@ def is_time(field: T.StructField) -> bool:
 
 def ymd_date(text: Column) -> Column:
     """Date from year-month-day text; NULL when it is none."""
-    return _ymd(text).try_cast("date")
+    return F.when(text.rlike(STAMP), F.regexp_replace(text, STAMP, "$1-$2$4$6-$3$5$7").try_cast("date"))
 
 
 def ymd_timestamp(text: Column) -> Column:
     """Timestamp without zone; a zone in the text is dropped, not applied."""
-    pattern = YMD + CLOCK + ZONE
-    part = lambda at: F.regexp_extract(text, pattern, at)
-    clock = F.concat(
-        F.lpad(part(8), 2, "0"), F.lit(":"), part(9), F.lit(":"),
-        F.when(part(10) == "", "00").otherwise(part(10)), part(11),
-    )
-    stamp = F.concat(_ymd(text), F.lit(" "), F.when(part(8) == "", "00:00:00").otherwise(clock))
-    return stamp.try_cast("timestamp_ntz")
-
-
-def _ymd(text: Column) -> Column:
-    pattern = YMD + CLOCK + ZONE
-    part = lambda *at: F.concat(*[F.regexp_extract(text, pattern, a) for a in at])
-    date = F.concat(
-        part(1), F.lit("-"), F.lpad(part(2, 4, 6), 2, "0"), F.lit("-"), F.lpad(part(3, 5, 7), 2, "0")
-    )
-    return F.when(text.rlike(pattern), date)
+    plain = F.regexp_replace(text, STAMP, "$1-$2$4$6-$3$5$7 $8:$9:$10$11")
+    whole = F.regexp_replace(F.regexp_replace(plain, " ::$", " 00:00:00"), ":$", ":00")
+    return F.when(text.rlike(STAMP), whole.try_cast("timestamp_ntz"))
 
 
 def clock_text(text: Column) -> Column:
@@ -159,26 +146,40 @@ def _cast(col: Column, source: T.DataType, field: T.StructField) -> Column:
     raise _unsupported(source, field)
 
 
-def cast_value(
-    col: Column, source: T.DataType, field: T.StructField, real_scale: int | None = None
-) -> tuple[Column, Column]:
-    """``(value, bad)``: the value in the target type, and whether it did not fit.
-
-    A missing value is never bad. An empty text for a temporal column counts
-    as missing. Fractions round half to even; text longer than its column is
-    bad unless the excess is blanks.
-    """
-    if is_geometry(field.dataType):
-        if not is_geometry(source):
-            raise _unsupported(source, field)
-        return to_target_srid(col, field.metadata.get("srid")), F.lit(False)
+def _prepared(col: Column, source: T.DataType, field: T.StructField, real_scale: int | None) -> Column:
+    """The value as it enters the cast: scaled, empty text missing for temporal columns."""
     if real_scale is not None and isinstance(source, FLOATING):
-        col = F.round(col, real_scale)
-    temporal = isinstance(field.dataType, TEMPORAL) or is_time(field)
-    if temporal and isinstance(source, T.StringType):
-        col = F.nullif(col, F.lit(""))
+        return F.round(col, real_scale)
+    if isinstance(source, T.StringType) and (isinstance(field.dataType, TEMPORAL) or is_time(field)):
+        return F.nullif(col, F.lit(""))
+    return col
+
+
+def _converted(col: Column, source: T.DataType, field: T.StructField) -> Column:
+    if not is_geometry(field.dataType):
+        return _cast(col, source, field)
+    if not is_geometry(source):
+        raise _unsupported(source, field)
+    return to_target_srid(col, field.metadata.get("srid"))
 
-    value = _cast(col, source, field)
+
+def _always_fits(source: T.DataType, field: T.StructField) -> bool:
+    """No value of the source type can fail: same type, wider number, any type as text."""
+    target = field.dataType
+    if is_geometry(target):
+        return True
+    if max_length(field) is not None or is_time(field):
+        return False
+    if isinstance(target, T.StringType) or source == target:
+        return True
+    if isinstance(source, INTEGRAL) and isinstance(target, INTEGRAL):
+        return INTEGRAL.index(type(source)) <= INTEGRAL.index(type(target))
+    return isinstance(source, INTEGRAL + (T.FloatType,)) and isinstance(target, T.DoubleType)
+
+
+def _misfit(col: Column, value: Column, source: T.DataType, field: T.StructField) -> Column:
+    if _always_fits(source, field):
+        return F.lit(False)
     bad = col.isNotNull() & value.isNull()
     if isinstance(field.dataType, T.ArrayType):
         missing = lambda items: F.size(F.filter(items, lambda item: item.isNull()))
@@ -186,8 +187,26 @@ def cast_value(
     limit = max_length(field)
     if limit is not None:
         bad = bad | (F.length(F.rtrim(value)) > limit)
-        value = F.substring(value, 1, limit)
-    return value, F.coalesce(bad, F.lit(False))
+    return F.coalesce(bad, F.lit(False))
+
+
+def _fitted(value: Column, field: T.StructField) -> Column:
+    limit = max_length(field)
+    return value if limit is None else F.substring(value, 1, limit)
+
+
+def cast_value(
+    col: Column, source: T.DataType, field: T.StructField, real_scale: int | None = None
+) -> tuple[Column, Column]:
+    """``(value, bad)``: the value in the target type, and whether it did not fit.
+
+    A missing value is never bad. An empty text for a temporal column counts
+    as missing. Fractions round half to even; text longer than its column is
+    bad unless the excess is blanks.
+    """
+    col = _prepared(col, source, field, real_scale)
+    value = _converted(col, source, field)
+    return _fitted(value, field), _misfit(col, value, source, field)
 
 
 # --- whole rows ----------------------------------------------------------------------
@@ -203,20 +222,28 @@ def cast_rows(
     """Project the source onto the mapped target columns, plus ``_errors``.
 
     ``_errors`` lists the columns whose value did not fit together with the
-    value read; it is empty for good rows. One projection, no shuffle.
+    value read; it is empty for good rows. Two projections, no shuffle: the
+    first casts each value once, the second looks for those that came out
+    missing. Columns whose types rule that out are not looked at.
     """
-    values, problems = [], []
-    for name, source_name in plan.mapped.items():
-        col, field = F.col(f"`{source_name}`"), target[name]
-        source_type = source.schema[source_name].dataType
-        value, bad = cast_value(col, source_type, field, real_scale)
-        values.append(value.alias(name))
-        if not is_geometry(field.dataType):
-            read = _to_text(col, source_type, field) if not isinstance(source_type, T.BinaryType) else F.hex(col)
-            problems.append(F.when(bad, F.struct(F.lit(name).alias("column"), read.alias("value"))))
-    errors = F.filter(F.array(*problems), lambda item: item.isNotNull()).cast(ERRORS_TYPE)
-    extra = [F.col(f"`{order_by}`").alias(ORDER)] if order_by else []
-    return source.select(*values, *extra, errors.alias(ERRORS))
+    read, values, bad, problems = [], [], [], []
+    for position, (name, source_name) in enumerate(plan.mapped.items()):
+        field, source_type = target[name], source.schema[source_name].dataType
+        col = _prepared(F.col(f"`{source_name}`"), source_type, field, real_scale)
+        value = F.col(f"_value_{position}")
+        read.append(_converted(col, source_type, field).alias(f"_value_{position}"))
+        values.append(_fitted(value, field).alias(name))
+        if not _always_fits(source_type, field):
+            raw = F.col(f"_read_{position}")
+            read.append(col.alias(f"_read_{position}"))
+            shown = F.hex(raw) if isinstance(source_type, T.BinaryType) else _to_text(raw, source_type, field)
+            bad.append(_misfit(raw, value, source_type, field))
+            problems.append(F.when(bad[-1], F.struct(F.lit(name).alias("column"), shown.alias("value"))))
+    none = F.array().cast(ERRORS_TYPE)
+    errors = F.when(reduce(or_, bad), F.array_compact(F.array(*problems)).cast(ERRORS_TYPE)).otherwise(none) if bad else none
+    order = [F.col(f"`{order_by}`").alias(ORDER)] if order_by else []
+    kept = [F.col(ORDER)] if order_by else []
+    return source.select(*read, *order).select(*values, *kept, errors.alias(ERRORS))
 
 
 def failing_on_errors(staged: DataFrame) -> DataFrame:

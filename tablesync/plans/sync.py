@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,13 +180,17 @@ class TableSync:
 
         stored = T.StructType([*rows.schema.fields, T.StructField(QUARANTINED, T.BooleanType())])
         staged = self.spark.read.schema(stored).parquet(path)
-        found = {r[QUARANTINED]: r["count"] for r in staged.groupBy(QUARANTINED).count().collect()}
+        keyless = F.count_if(K.any_null(plan.keys))
+        read = staged.groupBy(QUARANTINED).agg(F.count(F.lit(1)).alias("n"), keyless.alias("keyless")).collect()
+        found = {r[QUARANTINED]: r["n"] for r in read}
         good = staged.filter(~F.col(QUARANTINED)).drop(QUARANTINED, C.ERRORS)
         bad = staged.filter(QUARANTINED).drop(QUARANTINED)
         ignored = found.get(True, 0)
         run.pulled = sum(found.values())
         if ignored:
             bad.write.parquet(self._quarantine_folder(spec, run.id))
+        if _rejects_nulls(spec, plan) and any(r["keyless"] for r in read if not r[QUARANTINED]):
+            raise SyncError(f'The source of layer "{spec.name}" has rows without a value for {", ".join(plan.keys)}')
         good = self._unique(spec, good, plan)
         size = files.size(self.spark, path)
         return _Stage(good, run.pulled, ignored, size)
@@ -199,10 +203,8 @@ class TableSync:
         return f"{self.root}/quarantine/{spec.name}/{run_id}"
 
     def _unique(self, spec: LayerSpec, staged: DataFrame, plan: ColumnPlan) -> DataFrame:
-        """Each key at most once, and no NULL where the key must be known."""
+        """Each key at most once, by the layer's policy."""
         keys = list(plan.keys)
-        if _rejects_nulls(spec, plan) and not staged.filter(K.any_null(keys)).isEmpty():
-            raise SyncError(f'The source of layer "{spec.name}" has rows without a value for {", ".join(keys)}')
         if spec.on_duplicate_key != "error":
             return K.one_row_per_key(staged, keys, C.ORDER if C.ORDER in staged.columns else None).drop(C.ORDER)
         repeated = K.duplicate_keys(staged, keys).limit(5).collect()
@@ -224,12 +226,16 @@ class TableSync:
         unique = plan.keys_from_table
         changes_path = table.write_by_op(D.changes_of(classified) if unique else classified)
         changes = table.read_ops(changes_path, base)
-        found = A.counters(changes)
+        found, broken = A.counters(changes, _broken(base.schema))
         counts |= dict(num_created=found["insert"], num_updated=found["update"], num_deleted=found["delete"])
         if not any(found[op] for op in D.CHANGES):
             files.delete(self.spark, changes_path)
             return _finished(base, counts)
-        self._check(spec, base, plan, changes, target, found)
+        if broken:
+            raise _constraint_error(spec, broken)
+        limit = spec.max_delete_fraction
+        if limit is not None and found["delete"] > limit * target.count():
+            raise SyncError(f'Layer "{spec.name}" would delete {found["delete"]} rows, more than its limit')
         if unique:
             data = table.write_rows(A.apply_changes(target, changes, keys, null_safe), base)
             version = table.publish(base, data, changes_path)
@@ -244,23 +250,14 @@ class TableSync:
             return "probe"
         return "merge" if plan.keys_from_table else "split"
 
-    def _check(self, spec, base: Version, plan: ColumnPlan, changes: DataFrame, target: DataFrame, found) -> None:
-        """Constraints of the target, on new and changed rows; the optional delete guard."""
-        fresh = changes.filter(F.col(D.OP).isin(D.INSERT, D.UPDATE))
-        broken = fresh.filter(C.breaks_constraints(base.schema, base.schema.names))
-        if _constrained(base.schema) and not broken.isEmpty():
-            raise SyncError(f'Rows of layer "{spec.name}" break a NOT NULL or geometry rule of {spec.target}')
-        if spec.max_delete_fraction is not None and found["delete"] > spec.max_delete_fraction * target.count():
-            raise SyncError(f'Layer "{spec.name}" would delete {found["delete"]} rows, more than its limit')
-
     def _refresh(self, spec, table: SnapshotTable, base: Version, target, staged, plan, counts) -> SyncResult:
         """Replace everything; neither the delete permission nor a filter limits it."""
         deleted = A.rows_deleted_by_refresh(target, plan.keys, spec.bulk_delete_method).first()["num_deleted"]
         rows = A.refreshed_rows(target, staged)
-        if _constrained(base.schema):
-            broken = rows.filter(C.breaks_constraints(base.schema, base.schema.names))
-            if not broken.isEmpty():
-                raise SyncError(f'Rows of layer "{spec.name}" break a NOT NULL or geometry rule of {spec.target}')
+        rule = _broken(base.schema)
+        broken = 0 if rule is None else rows.filter(rule).count()
+        if broken:
+            raise _constraint_error(spec, broken)
         data = table.write_rows(rows, base)
         version = table.publish(base, data)
         counts |= dict(num_created=counts["num_pulled"] - counts["num_ignored"], num_deleted=deleted)
@@ -286,7 +283,7 @@ class TableSync:
         # any the table is not rewritten.
         matched = flagged.filter("_matched").drop("_matched").withColumn(D.OP, F.lit(D.DELETE))
         changes_path = table.write_by_op(matched)
-        deleted = A.counters(table.read_ops(changes_path, base))[D.DELETE]
+        deleted = A.counters(table.read_ops(changes_path, base))[0][D.DELETE]
         if not deleted:
             files.delete(self.spark, changes_path)
             return _finished(base, {})
@@ -336,8 +333,14 @@ def _rejects_nulls(spec: LayerSpec, plan: ColumnPlan) -> bool:
     return spec.key_nulls == "reject" or (plan.keys_from_table and spec.key_nulls == "safe")
 
 
-def _constrained(schema: T.StructType) -> bool:
-    return any(not f.nullable or {"srid", "dims"} & set(f.metadata) for f in schema.fields)
+def _broken(schema: T.StructType) -> Column | None:
+    """Constraint test for rows of a target, if it has any constraints."""
+    constrained = any(not f.nullable or {"srid", "dims"} & set(f.metadata) for f in schema.fields)
+    return C.breaks_constraints(schema, schema.names) if constrained else None
+
+
+def _constraint_error(spec: LayerSpec, rows: int) -> SyncError:
+    return SyncError(f'{rows} row(s) of layer "{spec.name}" break a NOT NULL or geometry rule of {spec.target}')
 
 
 def _finished(version: Version, counts: dict) -> SyncResult:
