@@ -246,6 +246,11 @@ def cast_rows(
     return source.select(*read, *order).select(*values, *kept, errors.alias(ERRORS))
 
 
+def all_always_fit(source: T.StructType, target: T.StructType, plan: ColumnPlan) -> bool:
+    """No row of a source of this schema can be set aside."""
+    return all(_always_fits(source[s].dataType, target[t]) for t, s in plan.mapped.items())
+
+
 def failing_on_errors(staged: DataFrame) -> DataFrame:
     """Let the job fail at the first row with a value that does not fit."""
     message = F.concat_ws(

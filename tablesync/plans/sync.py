@@ -28,9 +28,13 @@ QUARANTINED = "_quarantined"
 # Keys of a request document.
 LAYER_KEY, FILTER_KEY, SETS_KEY = "layerName", "filter", "attributeSets"
 
-# Sources this much larger than the broadcast threshold on disk are never probed.
+# How much larger than its files a staged source may be in memory; decides
+# whether it is small enough to broadcast.
 PARQUET_GROWTH = 4
 
+# Source formats that later steps may read again instead of a staged copy.
+IN_PLACE = ("parquet", "orc")
+
 
 class TableSync:
     """Layers, their target tables under ``root``, and the log of runs.
@@ -102,7 +106,7 @@ class TableSync:
         if spec.geometry_source:
             rows = with_geometry(rows, spec.geometry_source, spec.source_srid)
         source = lower_names(rows, spec.fid_column)
-        return self._logged(R.PULL, spec, lambda run: self._sync(run, spec, source, ""))
+        return self._logged(R.PULL, spec, lambda run: self._sync(run, spec, source))
 
     def remove_by_attributes(
         self, layer_name: str, attribute_sets: Sequence | str | DataFrame
@@ -149,14 +153,17 @@ class TableSync:
         if spec.bulk_mode and (request_filter or "").strip(P.BLANKS) and not spec.allow_bulk_filter:
             raise SyncError(f'Layer "{spec.name}" is refreshed in bulk; a filter would drop all other rows')
         source = read_source(self.spark, spec)
-        return self._sync(run, spec, source, condition)
+        in_place = spec.source_format in IN_PLACE and not condition and not spec.geometry_source
+        return self._sync(run, spec, source, condition, in_place)
 
-    def _sync(self, run: _Run, spec: LayerSpec, source: DataFrame, condition: str) -> SyncResult:
+    def _sync(
+        self, run: _Run, spec: LayerSpec, source: DataFrame, condition: str = "", in_place: bool = False
+    ) -> SyncResult:
         table = self.target(spec)
         base = table.current()
         source = P.apply_filter(source, condition, spec.name)
         plan = plan_columns(spec.name, source.schema, base.schema, base.primary_key, spec.primary_key_columns)
-        stage = self._stage(run, spec, source, base, plan)
+        stage = self._stage(run, spec, source, base, plan, in_place)
         counts = dict(num_pulled=stage.pulled, num_ignored=stage.ignored)
         target = table.read(base)
 
@@ -168,32 +175,42 @@ class TableSync:
     # --- staging
 
     def _stage(
-        self, run: _Run, spec: LayerSpec, source: DataFrame, base: Version, plan: ColumnPlan
+        self, run: _Run, spec: LayerSpec, source: DataFrame, base: Version, plan: ColumnPlan, in_place: bool
     ) -> _Stage:
-        """Cast the source once into the run folder; good and bad rows apart."""
+        """Cast the source; good and bad rows apart.
+
+        The rows are written to the run folder once, so that every later step
+        sees the same rows without repeating the cast. Column files whose
+        values always fit are read in place instead: their list is fixed when
+        the source is opened, and later steps read only the columns they need.
+        """
         order_by = spec.order_by if spec.on_duplicate_key == "latest" else None
         rows = C.cast_rows(source, base.schema, plan, spec.real_scale, order_by)
-        if not spec.ignore_failures:
-            rows = C.failing_on_errors(rows)
-        path = f"{files.run_folder(self.spark, run.id)}/staged"
-        rows.withColumn(QUARANTINED, F.size(C.ERRORS) > 0).write.partitionBy(QUARANTINED).parquet(path)
+        in_place = in_place and C.all_always_fit(source.schema, base.schema, plan)
+        if in_place:
+            staged = rows.withColumn(QUARANTINED, F.lit(False))
+            size = files.size(self.spark, spec.source)
+        else:
+            if not spec.ignore_failures:
+                rows = C.failing_on_errors(rows)
+            path = f"{files.run_folder(self.spark, run.id)}/staged"
+            rows.withColumn(QUARANTINED, F.size(C.ERRORS) > 0).write.partitionBy(QUARANTINED).parquet(path)
+            stored = T.StructType([*rows.schema.fields, T.StructField(QUARANTINED, T.BooleanType())])
+            staged = self.spark.read.schema(stored).parquet(path)
+            size = files.size(self.spark, path)
 
-        stored = T.StructType([*rows.schema.fields, T.StructField(QUARANTINED, T.BooleanType())])
-        staged = self.spark.read.schema(stored).parquet(path)
         keyless = F.count_if(K.any_null(plan.keys))
         read = staged.groupBy(QUARANTINED).agg(F.count(F.lit(1)).alias("n"), keyless.alias("keyless")).collect()
         found = {r[QUARANTINED]: r["n"] for r in read}
-        good = staged.filter(~F.col(QUARANTINED)).drop(QUARANTINED, C.ERRORS)
-        bad = staged.filter(QUARANTINED).drop(QUARANTINED)
-        ignored = found.get(True, 0)
         run.pulled = sum(found.values())
+        ignored = found.get(True, 0)
         if ignored:
+            bad = staged.filter(QUARANTINED).drop(QUARANTINED)
             bad.write.parquet(self._quarantine_folder(spec, run.id))
         if _rejects_nulls(spec, plan) and any(r["keyless"] for r in read if not r[QUARANTINED]):
             raise SyncError(f'The source of layer "{spec.name}" has rows without a value for {", ".join(plan.keys)}')
-        good = self._unique(spec, good, plan)
-        size = files.size(self.spark, path)
-        return _Stage(good, run.pulled, ignored, size)
+        good = staged.filter(~F.col(QUARANTINED)).drop(QUARANTINED, C.ERRORS)
+        return _Stage(self._unique(spec, good, plan), run.pulled, ignored, size)
 
     def quarantine(self, spec: LayerSpec, run_id: str) -> DataFrame:
         """Rows a run ignored, with the columns and values that did not fit."""

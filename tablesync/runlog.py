@@ -110,12 +110,12 @@ class RunLog:
 
     def append(self, **record) -> None:
         record.setdefault("recorded", utc_now())
-        names = [part.split()[0] for part in SCHEMA.split(",")]
-        unknown = set(record) - set(names)
+        fields = dict(part.split() for part in SCHEMA.split(","))
+        unknown = set(record) - set(fields)
         if unknown:
             raise ValueError(f"unknown run fields: {sorted(unknown)}")
-        row = tuple(record.get(name) for name in names)
-        self.spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(self._folder())
+        values = [F.lit(record.get(name)).cast(kind).alias(name) for name, kind in fields.items()]
+        self.spark.range(0, 1, 1, 1).select(*values).write.mode("append").parquet(self._folder())
 
     def runs(self) -> DataFrame:
         """Current state of every run that has not expired."""
