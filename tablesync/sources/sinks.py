@@ -35,9 +35,10 @@ def overwrite_partitions(
     touched = spark.read.parquet(f"{work}/touched")
     partition_rows(target, changes, touched, keys, partition_by).write.parquet(f"{work}/rows")
     rows = spark.read.parquet(f"{work}/rows")
-    by_partition = rows.repartition(*partition_by, F.pmod(F.xxhash64(*keys), F.lit(_spread(spark))))
+    # Small partitions become one file each; a large one is split over several tasks.
     (
-        by_partition.write.mode("overwrite")
+        rows.hint("rebalance", *partition_by)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
         .parquet(path)
@@ -50,11 +51,6 @@ def overwrite_partitions(
     return touched.count()
 
 
-def _spread(spark) -> int:
-    """Tasks one partition is written by, so that a large one is not a single task's work."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
-
-
 def merge_into(
     table: str,
     target: DataFrame,

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.operators.diff import DELETE, OP
+from tablesync.operators.keys import any_null, duplicate_keys
 from tablesync.sources import files
 from tablesync.spec import ConflictError, SyncError
 
@@ -52,13 +53,16 @@ class SnapshotTable:
         buckets: int = 0,
         rows: DataFrame | None = None,
     ) -> SnapshotTable:
-        """An empty table, or one holding ``rows``.
+        """An empty table, or one holding ``rows``, whose primary key has to be one.
 
         With ``buckets`` every version is bucketed by the primary key, so that
         later pulls shuffle only the source.
         """
         if buckets and not primary_key:
             raise SyncError("A bucketed table needs a primary key")
+        if rows is not None and primary_key:
+            if not rows.filter(any_null(primary_key)).isEmpty() or not duplicate_keys(rows, primary_key).isEmpty():
+                raise SyncError(f"The rows repeat, or lack, a value of {', '.join(primary_key)}")
         fields = [T.StructField(f.name, f.dataType, f.nullable and f.name not in primary_key, f.metadata) for f in schema]
         table = cls(spark, path)
         version = Version(-1, T.StructType(fields), tuple(primary_key), buckets, None, None, False)
