@@ -207,7 +207,7 @@ ORACLE: dict[str, str] = {
         from best where rn = 1""",
     "name_normalise": """
         select p_partkey as key, p_name as trimmed, lower(p_name) as lowered,
-               length(p_name) - length(replace(p_name, ' ', '')) + 1 as n_parts,
+               cast(length(p_name) - length(replace(p_name, ' ', '')) + 1 as integer) as n_parts,
                replace(p_name, ' ', '+') as joined, replace(p_name, 'e', 'ee') as replaced,
                cast(levenshtein(p_name, 'almond') as integer) as distance
         from part""",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesync.operators.diff import CHANGES, DELETE, INSERT, OP, SAME, UPDATE, as_inserts
@@ -27,6 +28,26 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], nu
     return survivors.unionByName(changes.filter(F.col(OP).isin(INSERT, UPDATE)).drop(OP))
 
 
+def overlay(
+    target: DataFrame, change_sets: Sequence[DataFrame], keys: Sequence[str]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A target with later change sets on top, as parts that share no key.
+
+    ``(settled, recent, touched)``: target rows no change set names, the newest
+    state of the rows they do name, and the named keys. The change sets are
+    read once for their keys and once for their rows; the target keeps its
+    layout.
+    """
+    stacked = reduce(
+        DataFrame.unionByName, (c.withColumn("_seq", F.lit(i)) for i, c in enumerate(change_sets))
+    )
+    touched = stacked.select(*keys).distinct()
+    settled = target.join(right_side(stacked, keys), key_condition(keys, null_safe=False), "left_anti")
+    newest = Window.partitionBy(*keys).orderBy(F.desc("_seq"))
+    recent = stacked.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") == 1)
+    return settled, recent.filter(F.col(OP) != DELETE).drop(OP, "_seq", "_rank"), touched
+
+
 def refreshed_rows(target: DataFrame, staged: DataFrame) -> DataFrame:
     """Full refresh: the staged rows only, columns the source lacks are NULL."""
     return as_inserts(staged, target).drop(OP)

@@ -165,12 +165,10 @@ class TableSync:
         plan = plan_columns(spec.name, source.schema, base.schema, base.primary_key, spec.primary_key_columns)
         stage = self._stage(run, spec, source, base, plan, in_place)
         counts = dict(num_pulled=stage.pulled, num_ignored=stage.ignored)
-        target = table.read(base)
-
         if spec.bulk_mode:
-            return self._refresh(spec, table, base, target, stage.rows, plan, counts)
+            return self._refresh(spec, table, base, stage.rows, plan, counts)
         deletion = spec.allow_feature_deletion and not condition
-        return self._merge(spec, table, base, target, stage, plan, deletion, counts)
+        return self._merge(spec, table, base, stage, plan, deletion, counts)
 
     # --- staging
 
@@ -232,15 +230,11 @@ class TableSync:
 
     # --- changing the target
 
-    def _merge(self, spec, table: SnapshotTable, base: Version, target, stage, plan, deletion, counts) -> SyncResult:
-        keys, null_safe = list(plan.keys), not plan.keys_from_table
-        classified = D.classify(
-            target, stage.rows, keys, deletion=deletion, null_safe=null_safe, key_nulls=spec.key_nulls,
-            plan=self.choose_plan(stage.size, plan),
-        )
+    def _merge(self, spec, table: SnapshotTable, base: Version, stage, plan, deletion, counts) -> SyncResult:
         # A unique key lets unchanged rows stay out of the change set; otherwise
         # rows sharing a key differ, and every row is written with its label.
         unique = plan.keys_from_table
+        classified = self._classified(spec, table, base, stage, plan, deletion)
         changes_path = table.write_by_op(D.changes_of(classified) if unique else classified)
         changes = table.read_ops(changes_path, base)
         found, broken = A.counters(changes, _broken(base.schema))
@@ -251,14 +245,29 @@ class TableSync:
         if broken:
             raise _constraint_error(spec, broken)
         limit = spec.max_delete_fraction
-        if limit is not None and found["delete"] > limit * target.count():
+        if limit is not None and found["delete"] > limit * table.read(base).count():
             raise SyncError(f'Layer "{spec.name}" would delete {found["delete"]} rows, more than its limit')
         if unique:
-            data = table.write_rows(A.apply_changes(target, changes, keys, null_safe), base)
-            version = table.publish(base, data, changes_path)
-        else:
-            version = table.publish(base, changes_path, changes_path, by_op=True)
-        return _finished(version, counts)
+            return _finished(table.publish_changes(base, changes_path, spec.max_delta_share), counts)
+        return _finished(table.publish(base, changes_path, changes_path, by_op=True), counts)
+
+    def _classified(self, spec, table: SnapshotTable, base: Version, stage, plan, deletion) -> DataFrame:
+        """Label the target's rows and the new ones.
+
+        Where change sets lie on top of the target's data, rows they name are
+        classified on their own: the two parts share no key, and the large
+        one keeps its bucketing.
+        """
+        keys = list(plan.keys)
+        rules = dict(deletion=deletion, null_safe=not plan.keys_from_table, key_nulls=spec.key_nulls)
+        chosen = self.choose_plan(stage.size, plan)
+        if not (base.deltas and plan.keys_from_table and spec.key_nulls != "not_in"):
+            return D.classify(table.read(base), stage.rows, keys, plan=chosen, **rules)
+        settled, recent, touched = table.parts(base)
+        named = [stage.rows.join(K.right_side(touched), K.key_condition(keys, False), kind) for kind in ("left_anti", "left_semi")]
+        return D.classify(settled, named[0], keys, plan=chosen, **rules).unionByName(
+            D.classify(recent, named[1], keys, plan="merge", **rules)
+        )
 
     def choose_plan(self, staged_bytes: int, plan: ColumnPlan) -> str:
         """``probe`` when the staged side will be broadcast, by its size on disk."""
@@ -267,8 +276,9 @@ class TableSync:
             return "probe"
         return "merge" if plan.keys_from_table else "split"
 
-    def _refresh(self, spec, table: SnapshotTable, base: Version, target, staged, plan, counts) -> SyncResult:
+    def _refresh(self, spec, table: SnapshotTable, base: Version, staged, plan, counts) -> SyncResult:
         """Replace everything; neither the delete permission nor a filter limits it."""
+        target = table.read(base)
         deleted = A.rows_deleted_by_refresh(target, plan.keys, spec.bulk_delete_method).first()["num_deleted"]
         rows = A.refreshed_rows(target, staged)
         rule = _broken(base.schema)
@@ -296,16 +306,18 @@ class TableSync:
             if not criteria:
                 return _finished(base, {})
             flagged = P.flag_matches(target, criteria)
-        # The few matching rows first: they are the change set, and without
-        # any the table is not rewritten.
+        # The matching rows are the change set.
         matched = flagged.filter("_matched").drop("_matched").withColumn(D.OP, F.lit(D.DELETE))
         changes_path = table.write_by_op(matched)
         deleted = A.counters(table.read_ops(changes_path, base))[0][D.DELETE]
         if not deleted:
             files.delete(self.spark, changes_path)
             return _finished(base, {})
-        kept = flagged.filter("NOT _matched").drop("_matched")
-        version = table.publish(base, table.write_rows(kept, base), changes_path)
+        if base.primary_key:
+            version = table.publish_changes(base, changes_path, spec.max_delta_share)
+        else:
+            kept = flagged.filter("NOT _matched").drop("_matched")
+            version = table.publish(base, table.write_rows(kept, base), changes_path)
         return _finished(version, dict(num_deleted=deleted))
 
 

@@ -1,9 +1,13 @@
 """A keyed table as a series of immutable versions on plain Parquet.
 
-A version is a data folder plus a small commit file that names it. The commit
-file is created in one step and never replaced, so readers see a version
-whole or not at all, and of two writers that started from the same version
-only the first can publish.
+A version is a data folder, the change sets on top of it, and a small commit
+file that names them. The commit file is created in one step and never
+replaced, so readers see a version whole or not at all, and of two writers
+that started from the same version only the first can publish.
+
+A small change set is published as it is, so that a pull writes only what
+differs; once the change sets amount to a fair share of the data, the next
+version is written in full again.
 """
 
 from __future__ import annotations
@@ -11,21 +15,32 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablesync.operators.apply import overlay
 from tablesync.operators.diff import DELETE, OP
 from tablesync.operators.keys import any_null, duplicate_keys
 from tablesync.sources import files
 from tablesync.spec import ConflictError, SyncError
 
+# A version is written in full once its change sets exceed this share of the
+# data, or this number.
+MAX_DELTA_SHARE = 0.1
+MAX_DELTAS = 16
+
 
 @dataclass(frozen=True)
 class Version:
-    """One published state. ``by_op`` data folders are partitioned by operation."""
+    """One published state.
+
+    ``deltas`` are change sets to apply to ``data``, oldest first; ``changes``
+    is the change set that led here. A ``by_op`` data folder is partitioned
+    by operation.
+    """
 
     number: int
     schema: T.StructType
@@ -34,6 +49,7 @@ class Version:
     data: str | None
     changes: str | None
     by_op: bool
+    deltas: tuple[str, ...] = ()
 
 
 class SnapshotTable:
@@ -91,10 +107,22 @@ class SnapshotTable:
             data=commit["data"],
             changes=commit["changes"],
             by_op=commit["by_op"],
+            deltas=tuple(commit["deltas"]),
         )
 
     def read(self, version: Version | None = None) -> DataFrame:
         version = version or self.current()
+        if not version.deltas:
+            return self._base(version)
+        settled, recent, _ = self.parts(version)
+        return settled.unionByName(recent)
+
+    def parts(self, version: Version) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Rows only in the data folder, rows from change sets, and the keys of the latter."""
+        change_sets = [self.read_ops(path, version) for path in version.deltas]
+        return overlay(self._base(version), change_sets, version.primary_key)
+
+    def _base(self, version: Version) -> DataFrame:
         if version.data is None:
             return self.spark.createDataFrame([], _nullable(version.schema))
         if version.by_op:
@@ -132,12 +160,19 @@ class SnapshotTable:
     def new_folder(self) -> str:
         return f"{self.path}/data/{uuid.uuid4().hex}"
 
-    def write_rows(self, rows: DataFrame, base: Version) -> str:
-        """Write the full contents of a coming version; nothing is published yet."""
+    def write_rows(self, rows: DataFrame, base: Version, aligned: bool = False) -> str:
+        """Write the full contents of a coming version; nothing is published yet.
+
+        Rows for a bucketed table are brought together by key first, unless
+        they are ``aligned`` already, so that a bucket is not spread over a
+        file per task.
+        """
         path = self.new_folder()
         if not base.buckets:
             rows.write.parquet(path)
             return path
+        if not aligned:
+            rows = rows.repartition(base.buckets, *base.primary_key)
         name = f"tablesync_{path.rsplit('/', 1)[-1]}"
         writer = rows.write.bucketBy(base.buckets, *base.primary_key).option("path", path)
         writer.format("parquet").saveAsTable(name)
@@ -150,9 +185,14 @@ class SnapshotTable:
         return path
 
     def publish(
-        self, base: Version, data: str | None, changes: str | None = None, by_op: bool = False
+        self,
+        base: Version,
+        data: str | None,
+        changes: str | None = None,
+        by_op: bool = False,
+        deltas: Sequence[str] = (),
     ) -> Version:
-        """Make ``data`` the next version, unless another one came first."""
+        """Make ``data`` with ``deltas`` the next version, unless another one came first."""
         number = base.number + 1
         commit = {
             "schema": base.schema.jsonValue(),
@@ -161,11 +201,36 @@ class SnapshotTable:
             "data": data,
             "changes": changes,
             "by_op": by_op,
+            "deltas": list(deltas),
         }
         if not files.create_text(self.spark, self._commit(number), json.dumps(commit)):
             raise ConflictError(f"Version {number} of {self.path} was published by someone else")
         return self.version(number)
 
+    def publish_changes(self, base: Version, changes: str, max_delta_share: float = MAX_DELTA_SHARE) -> Version:
+        """Make the result of a change set the next version.
+
+        ``changes`` was written by :meth:`write_by_op` and compared with
+        ``base``, whose primary key its rows carry.
+        """
+        deltas = (*base.deltas, changes)
+        if base.data is not None and len(deltas) <= MAX_DELTAS:
+            size = sum(files.size(self.spark, path) for path in deltas)
+            if size <= max_delta_share * files.size(self.spark, base.data):
+                return self.publish(base, base.data, changes, base.by_op, deltas)
+        return self._publish_whole(base, deltas, changes)
+
+    def compact(self) -> Version:
+        """Write the current version in full, without change sets on top."""
+        base = self.current()
+        return self._publish_whole(base, base.deltas, None) if base.deltas else base
+
+    def _publish_whole(self, base: Version, deltas: Sequence[str], changes: str | None) -> Version:
+        settled, recent, _ = self.parts(replace(base, deltas=tuple(deltas)))
+        if base.buckets:
+            recent = recent.repartition(base.buckets, *base.primary_key)
+        return self.publish(base, self.write_rows(settled.unionByName(recent), base, aligned=True), changes)
+
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete data folders no longer named by the last ``keep`` versions.
 
@@ -173,7 +238,7 @@ class SnapshotTable:
         file yet. Commit files stay, so version numbers never repeat.
         """
         kept = [self.version(n) for n in self._numbers()[-keep:]]
-        named = {path.rsplit("/", 1)[-1] for v in kept for path in (v.data, v.changes) if path}
+        named = {path.rsplit("/", 1)[-1] for v in kept for path in (v.data, v.changes, *v.deltas) if path}
         removed = []
         for folder in files.names(self.spark, f"{self.path}/data"):
             if folder not in named:

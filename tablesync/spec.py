@@ -71,6 +71,7 @@ class LayerSpec:
     real_scale: int | None = None
     allow_bulk_filter: bool = False
     max_delete_fraction: float | None = None
+    max_delta_share: float = 0.1
 
     def __post_init__(self) -> None:
         for setting in ("source", "source_layer", "target_table_name", "target_table_schema"):

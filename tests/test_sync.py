@@ -373,6 +373,55 @@ def test_staging_is_removed(case, spark):
     assert not files.exists(spark, files.run_folder(spark, result.id))
 
 
+# --- change sets on top of the data --------------------------------------------------------------
+
+
+@pytest.mark.parametrize("buckets", [0, 4])
+def test_small_changes_are_published_without_rewriting(case, buckets):
+    c = case(allow_feature_deletion=True, buckets=buckets, max_delta_share=1e9)
+    data = c.table.current().data
+    assert c.source(FRESH).pull() == (3, 1, 1, 1, 0)
+    assert c.pull() == (3, 0, 0, 0, 0)
+    # 3 returns, 4 changes again, 1 goes, 2 is left alone.
+    assert c.source([(2, "B", 2.0), (3, "c2", 3.0), (4, "D", 4.0)]).pull() == (3, 1, 1, 1, 0)
+    expected = [(2, "B", 2.0, "keep"), (3, "c2", 3.0, None), (4, "D", 4.0, None)]
+    assert c.rows() == expected
+    assert c.table.current().data == data and len(c.table.current().deltas) == 2
+    assert c.sync.remove_by_attributes("layer", [{"name": "D"}]).num_deleted == 1
+    assert c.pull("id > 2") == (2, 1, 0, 0, 0)
+    assert c.rows() == expected
+    assert len(c.table.current().deltas) == 4
+    compacted = c.table.compact()
+    assert not compacted.deltas and compacted.data != data and c.rows() == expected
+    assert c.pull() == (3, 0, 0, 0, 0)
+    c.table.vacuum(keep=1)
+    assert c.rows() == expected
+
+
+def test_many_changes_lead_to_a_rewrite(case):
+    c = case(allow_feature_deletion=True, max_delta_share=0.0).source(FRESH)
+    c.pull()
+    assert c.table.current().deltas == () and len(c.rows()) == 3
+
+
+def test_override_and_refresh_on_top_of_change_sets(case):
+    c = case(allow_feature_deletion=True, max_delta_share=1e9).source(FRESH)
+    c.pull()
+    assert c.table.current().deltas
+    settings = dict(source=c.spec.source, source_layer="rows", target_table_schema="s", target_table_name="t")
+    override = LayerSpec("o", primary_key_columns=("name",), **settings)
+    refresh = LayerSpec("r", bulk_mode=True, **settings)
+    sync = TableSync(c.spark, f"{c.folder}/tables", [override, refresh])
+    c.source([(1, "a", 7.0), (2, "B", 2.0)])
+    assert sync.pull("o").num_updated == 1
+    assert c.rows()[0] == (1, "a", 7.0, "keep") and c.table.current().by_op
+    # The next change set lies on top of data that is kept by operation.
+    assert c.source([(1, "a", 8.0)]).pull() == (1, 0, 1, 2, 0)
+    assert c.rows() == [(1, "a", 8.0, "keep")] and c.table.current().deltas
+    assert sync.pull("r").num_deleted == 1
+    assert c.table.current().deltas == () and c.rows() == [(1, "a", 8.0, None)]
+
+
 # --- run records ------------------------------------------------------------------------------------
 
 
