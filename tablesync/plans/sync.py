@@ -29,7 +29,7 @@ QUARANTINED = "_quarantined"
 LAYER_KEY, FILTER_KEY, SETS_KEY = "layerName", "filter", "attributeSets"
 
 # How much larger than its files a staged source may be in memory; decides
-# whether it is small enough to broadcast.
+# whether it is surely small enough to broadcast.
 PARQUET_GROWTH = 4
 
 # Source formats that later steps may read again instead of a staged copy.
@@ -187,7 +187,6 @@ class TableSync:
         in_place = in_place and C.all_always_fit(source.schema, base.schema, plan)
         if in_place:
             staged = rows.withColumn(QUARANTINED, F.lit(False))
-            size = files.size(self.spark, spec.source)
         else:
             if not spec.ignore_failures:
                 rows = C.failing_on_errors(rows)
@@ -195,7 +194,6 @@ class TableSync:
             rows.withColumn(QUARANTINED, F.size(C.ERRORS) > 0).write.partitionBy(QUARANTINED).parquet(path)
             stored = T.StructType([*rows.schema.fields, T.StructField(QUARANTINED, T.BooleanType())])
             staged = self.spark.read.schema(stored).parquet(path)
-            size = files.size(self.spark, path)
 
         keyless = F.count_if(K.any_null(plan.keys))
         read = staged.groupBy(QUARANTINED).agg(F.count(F.lit(1)).alias("n"), keyless.alias("keyless")).collect()
@@ -208,7 +206,7 @@ class TableSync:
         if _rejects_nulls(spec, plan) and any(r["keyless"] for r in read if not r[QUARANTINED]):
             raise SyncError(f'The source of layer "{spec.name}" has rows without a value for {", ".join(plan.keys)}')
         good = staged.filter(~F.col(QUARANTINED)).drop(QUARANTINED, C.ERRORS)
-        return _Stage(self._unique(spec, good, plan), run.pulled, ignored, size)
+        return _Stage(self._unique(spec, good, plan), run.pulled, ignored, _estimated_bytes(good))
 
     def quarantine(self, spec: LayerSpec, run_id: str) -> DataFrame:
         """Rows a run ignored, with the columns and values that did not fit."""
@@ -270,7 +268,7 @@ class TableSync:
         )
 
     def choose_plan(self, staged_bytes: int, plan: ColumnPlan) -> str:
-        """``probe`` when the staged side will be broadcast, by its size on disk."""
+        """``probe`` when the staged side is sure to be broadcast, by its estimated size."""
         threshold = self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
         if staged_bytes * PARQUET_GROWTH <= threshold:
             return "probe"
@@ -331,7 +329,7 @@ class _Run:
 
 @dataclass(frozen=True)
 class _Stage:
-    """Rows ready to be merged, how many were read and set aside, bytes on disk."""
+    """Rows ready to be merged, how many were read and set aside, estimated bytes."""
 
     rows: DataFrame
     pulled: int
@@ -362,6 +360,11 @@ def _rejects_nulls(spec: LayerSpec, plan: ColumnPlan) -> bool:
     return spec.key_nulls == "reject" or (plan.keys_from_table and spec.key_nulls == "safe")
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's own estimate, from the sizes of the files that are read."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def _broken(schema: T.StructType) -> Column | None:
     """Constraint test for rows of a target, if it has any constraints."""
     constrained = any(not f.nullable or {"srid", "dims"} & set(f.metadata) for f in schema.fields)

@@ -157,3 +157,33 @@ def test_geometry_comparison_skips_unchanged_rows(spark):
 
     df = spark.range(10).select(geometry(point_wkb(F.col("id").cast("double"), F.lit(1.0)), 4326).alias("g"))
     assert df.filter(geometry_changed(F.col("g"), F.col("g"))).count() == 0
+
+
+def test_change_sets_on_top_leave_the_bucketed_data_in_place(spark, sf_dir, folder):
+    """Classifying against data plus change sets shuffles the source and the change sets only."""
+    from tablesync import LayerSpec, TableSync
+    from tablesync.operators.columns import plan_columns
+    from tablesync.plans.sync import _Stage
+
+    target, staged = pair(spark, sf_dir)
+    spec = LayerSpec("l", "x", "x", "s", "t", max_delta_share=1e9)
+    sync = TableSync(spark, folder, [spec])
+    table = SnapshotTable.create(spark, f"{folder}/s/t", target.schema, ["id"], 16, target)
+    changes = D.changes_of(D.classify(target, staged.filter("cust < 100"), ["id"]))
+    base = table.publish_changes(table.current(), table.write_by_op(changes), 1e9)
+    assert len(base.deltas) == 1
+    plan = plan_columns("l", staged.schema, base.schema, base.primary_key)
+    with settings(spark, **NO_BROADCAST):
+        physical = plan_of(sync._classified(spec, table, base, _Stage(staged, 0, 0, 1 << 40), plan, True))
+    data = base.data.rsplit("/", 1)[-1]
+    lines = physical.splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    (scan,) = [i for i, line in enumerate(lines) if f"tablesync_{data}" in line and "FileScan" in line]
+    above, level = [], depth(lines[scan])
+    for line in reversed(lines[:scan]):
+        if depth(line) < level:
+            above.append(line)
+            level = depth(line)
+    assert "Bucketed: true" in lines[scan]
+    assert sum("SortMergeJoin" in line for line in above) == 2
+    assert not any("Exchange" in line for line in above)
