@@ -362,7 +362,7 @@ def _rejects_nulls(spec: LayerSpec, plan: ColumnPlan) -> bool:
 
 def _estimated_bytes(df: DataFrame) -> int:
     """Catalyst's own estimate, from the sizes of the files that are read."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def _broken(schema: T.StructType) -> Column | None:
