@@ -242,6 +242,10 @@ ORACLE: dict[str, str] = {
                 cast(0 as bigint) as num_deleted,
                 (select count(*) from src_dirty) - (select count(*) from good) as num_ignored""",
     "pull_filtered_published": sql_with("src", "tgt") + RESULT_FILTERED,
+    "pull_on_change_sets_published": sql_with("src", "tgt") + RESULT_FULL,
+    "source_csv_published": sql_with("src", "tgt") + RESULT_FULL,
+    "source_geojson_published": sql_with("pts")
+    + "select id, cast(srid as integer) as code, 3857 as srid, cast(1 as bigint) as kind, 21 as n_bytes from pts",
     "bulk_published": sql_with("src")
     + "select id, cust, status, price, odate, cast(null as varchar) as note from src",
     "remove_published": sql_with("src") + NOT_REMOVED,

@@ -67,7 +67,8 @@ def published(
 ) -> tuple[TableSync, LayerSpec, SnapshotTable]:
     """A stored source layer and a stored target, ready for runs."""
     root = work_folder(spark)
-    source.write.parquet(f"{root}/source/layer.parquet")
+    source_format = settings.get("source_format", "parquet")
+    source.write.option("header", True).format(source_format).save(f"{root}/source/layer.{source_format}")
     spec = LayerSpec("layer", f"{root}/source", "layer", "stored", "target", **settings)
     sync = TableSync(spark, f"{root}/tables", [spec])
     stored = SnapshotTable.create(
@@ -628,6 +629,56 @@ def pull_filtered_published(spark, sf_dir):
     return stored.read()
 
 
+@query
+def pull_on_change_sets_published(spark, sf_dir):
+    """A partial pull, published as a change set, then a full one on top of it."""
+    sync, spec, stored = published(
+        spark, view(spark, sf_dir, "src"), view(spark, sf_dir, "tgt"), ["id"], buckets=8, allow_feature_deletion=True,
+        max_delta_share=1e9,
+    )
+    sync.pull(spec.name, "src_only in ('1-URGENT', '2-HIGH')")
+    sync.pull(spec.name)
+    return stored.read()
+
+
+@query
+def source_csv_published(spark, sf_dir):
+    """Text files as source: every value is cast to the target's type."""
+    target = view(spark, sf_dir, "tgt")
+    sync, spec, stored = published(
+        spark, view(spark, sf_dir, "src"), target, ["id"], source_format="csv", allow_feature_deletion=True
+    )
+    sync.pull(spec.name)
+    return stored.read()
+
+
+@query
+def source_geojson_published(spark, sf_dir):
+    """Line-delimited GeoJSON points, reprojected to the target's reference system."""
+    root = work_folder(spark)
+    at = F.array(F.col("x").cast("double"), F.col("y").cast("double"))
+    features = view(spark, sf_dir, "pts").select(
+        F.lit("Feature").alias("type"),
+        F.struct("id", F.col("srid").alias("code")).alias("properties"),
+        F.struct(F.lit("Point").alias("type"), at.alias("coordinates")).alias("geometry"),
+    )
+    features.select(F.to_json(F.struct("*"))).write.text(f"{root}/source/places.geojsonl")
+    target = T.StructType(
+        [T.StructField("id", T.LongType()), T.StructField("code", T.IntegerType()), C.geometry_field("shape", G.MERCATOR, 2)]
+    )
+    stored = SnapshotTable.create(spark, f"{root}/tables/geo/places", target, ["id"])
+    spec = LayerSpec(
+        "places", f"{root}/source", "places", "geo", "places", source_format="geojsonseq",
+        geometry_source={"encoding": "geojson"},
+    )
+    TableSync(spark, f"{root}/tables", [spec]).pull("places")
+    geom = F.col("shape")
+    return stored.read().select(
+        "id", "code", G.srid(geom).alias("srid"), G.geometry_kind(geom["wkb"]).alias("kind"),
+        F.octet_length(geom["wkb"]).alias("n_bytes"),
+    )
+
+
 @query
 def bulk_published(spark, sf_dir):
     sync, spec, stored = published(

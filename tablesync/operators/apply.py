@@ -28,24 +28,33 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], nu
     return survivors.unionByName(changes.filter(F.col(OP).isin(INSERT, UPDATE)).drop(OP))
 
 
+def newest_changes(change_sets: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """One change per key out of successive change sets: the last one."""
+    if len(change_sets) == 1:
+        return change_sets[0]
+    stacked = _stacked(change_sets)
+    newest = Window.partitionBy(*keys).orderBy(F.desc("_seq"))
+    ranked = stacked.withColumn("_rank", F.row_number().over(newest))
+    return ranked.filter(F.col("_rank") == 1).drop("_seq", "_rank")
+
+
 def overlay(
     target: DataFrame, change_sets: Sequence[DataFrame], keys: Sequence[str]
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A target with later change sets on top, as parts that share no key.
 
     ``(settled, recent, touched)``: target rows no change set names, the newest
-    state of the rows they do name, and the named keys. The change sets are
-    read once for their keys and once for their rows; the target keeps its
+    state of the rows they do name, and the named keys. The target keeps its
     layout.
     """
-    stacked = reduce(
-        DataFrame.unionByName, (c.withColumn("_seq", F.lit(i)) for i, c in enumerate(change_sets))
-    )
-    touched = stacked.select(*keys).distinct()
-    settled = target.join(right_side(stacked, keys), key_condition(keys, null_safe=False), "left_anti")
-    newest = Window.partitionBy(*keys).orderBy(F.desc("_seq"))
-    recent = stacked.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") == 1)
-    return settled, recent.filter(F.col(OP) != DELETE).drop(OP, "_seq", "_rank"), touched
+    named = _stacked(change_sets).select(*keys)
+    settled = target.join(right_side(named), key_condition(keys, null_safe=False), "left_anti")
+    recent = newest_changes(change_sets, keys).filter(F.col(OP) != DELETE).drop(OP)
+    return settled, recent, named.distinct()
+
+
+def _stacked(change_sets: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (c.withColumn("_seq", F.lit(i)) for i, c in enumerate(change_sets)))
 
 
 def refreshed_rows(target: DataFrame, staged: DataFrame) -> DataFrame:

@@ -131,14 +131,14 @@ class TableSync:
         run = _Run(run_id)
         try:
             result = work(run)
-        except (SyncError, PySparkException) as error:
+        except Exception as error:
             message = _message(error)
             self.log.append(
                 status=R.FAILED, message=message, time_finished=R.utc_now(), num_pulled=run.pulled, **common
             )
-            failed = error if isinstance(error, SyncError) else SyncError(message)
-            failed.run_id = run_id
-            raise failed from error
+            if isinstance(error, PySparkException):
+                raise SyncError(message) from error
+            raise
         finally:
             files.delete(self.spark, files.run_folder(self.spark, run_id))
         counts = {c: getattr(result, c) for c in R.COUNTERS}

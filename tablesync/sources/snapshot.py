@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesync.operators.apply import overlay
+from tablesync.operators.apply import newest_changes, overlay
 from tablesync.operators.diff import DELETE, OP
 from tablesync.operators.keys import any_null, duplicate_keys
 from tablesync.sources import files
 from tablesync.spec import ConflictError, SyncError
 
 # A version is written in full once its change sets exceed this share of the
-# data, or this number.
+# data. More change sets than the second number are combined into one.
 MAX_DELTA_SHARE = 0.1
 MAX_DELTAS = 16
 
@@ -214,11 +214,16 @@ class SnapshotTable:
         ``base``, whose primary key its rows carry.
         """
         deltas = (*base.deltas, changes)
-        if base.data is not None and len(deltas) <= MAX_DELTAS:
-            size = sum(files.size(self.spark, path) for path in deltas)
-            if size <= max_delta_share * files.size(self.spark, base.data):
-                return self.publish(base, base.data, changes, base.by_op, deltas)
-        return self._publish_whole(base, deltas, changes)
+        if base.data is None or self._size(*deltas) > max_delta_share * self._size(base.data):
+            return self._publish_whole(base, deltas, changes)
+        if len(deltas) > MAX_DELTAS:
+            # Many small ones become one, without touching the data below.
+            change_sets = [self.read_ops(path, base) for path in deltas]
+            deltas = (self.write_by_op(newest_changes(change_sets, base.primary_key)),)
+        return self.publish(base, base.data, changes, base.by_op, deltas)
+
+    def _size(self, *paths: str) -> int:
+        return sum(files.size(self.spark, path) for path in paths)
 
     def compact(self) -> Version:
         """Write the current version in full, without change sets on top."""

@@ -398,6 +398,28 @@ def test_small_changes_are_published_without_rewriting(case, buckets):
     assert c.rows() == expected
 
 
+def test_many_small_change_sets_become_one(case, monkeypatch):
+    monkeypatch.setattr("tablesync.sources.snapshot.MAX_DELTAS", 1)
+    c = case(allow_feature_deletion=True, max_delta_share=1e9).source(FRESH)
+    data = c.table.current().data
+    c.pull()
+    c.source([(1, "x", 1.0), (3, "c", 3.0)])
+    assert c.pull() == (2, 1, 1, 2, 0)
+    version = c.table.current()
+    assert version.data == data and len(version.deltas) == 1
+    assert version.changes != version.deltas[0]
+    assert c.rows() == [(1, "x", 1.0, "keep"), (3, "c", 3.0, None)]
+    assert c.pull() == (2, 0, 0, 0, 0)
+
+
+def test_unexpected_errors_are_logged_and_raised_as_they_are(case):
+    c = case().source(FRESH)
+    with mock.patch.object(SnapshotTable, "publish_changes", side_effect=ZeroDivisionError("odd")):
+        with pytest.raises(ZeroDivisionError):
+            c.pull()
+    assert c.sync.status()["num_failed_jobs"] == 1 and c.sync.status()["num_in_process_jobs"] == 0
+
+
 def test_many_changes_lead_to_a_rewrite(case):
     c = case(allow_feature_deletion=True, max_delta_share=0.0).source(FRESH)
     c.pull()
