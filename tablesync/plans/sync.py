@@ -91,7 +91,7 @@ class TableSync:
         return self.remove_by_attributes(request[LAYER_KEY], request.get(SETS_KEY, []))
 
     def pull(self, layer_name: str, request_filter: str | None = None) -> SyncResult:
-        """Make the target match the source; see :func:`pull_rows`."""
+        """Make the target match the layer's source, or its rows that satisfy the filters."""
         spec = self.layer(layer_name)
         return self._logged(
             R.PULL,
@@ -228,7 +228,16 @@ class TableSync:
 
     # --- changing the target
 
-    def _merge(self, spec, table: SnapshotTable, base: Version, stage, plan, deletion, counts) -> SyncResult:
+    def _merge(
+        self,
+        spec: LayerSpec,
+        table: SnapshotTable,
+        base: Version,
+        stage: _Stage,
+        plan: ColumnPlan,
+        deletion: bool,
+        counts: dict[str, int],
+    ) -> SyncResult:
         # A unique key lets unchanged rows stay out of the change set; otherwise
         # rows sharing a key differ, and every row is written with its label.
         unique = plan.keys_from_table
@@ -247,9 +256,18 @@ class TableSync:
             raise SyncError(f'Layer "{spec.name}" would delete {found["delete"]} rows, more than its limit')
         if unique:
             return _finished(table.publish_changes(base, changes_path, spec.max_delta_share), counts)
+        self._check_primary_key(spec, base, plan, A.result_rows(changes))
         return _finished(table.publish(base, changes_path, changes_path, by_op=True), counts)
 
-    def _classified(self, spec, table: SnapshotTable, base: Version, stage, plan, deletion) -> DataFrame:
+    def _check_primary_key(self, spec: LayerSpec, base: Version, plan: ColumnPlan, rows: DataFrame) -> None:
+        """A pull by another key must leave the table's own key unique."""
+        written = base.primary_key and not plan.keys_from_table and set(base.primary_key) & set(plan.mapped)
+        if written and not K.duplicate_keys(rows, base.primary_key).isEmpty():
+            raise SyncError(f'Layer "{spec.name}" would repeat the primary key of {spec.target}')
+
+    def _classified(
+        self, spec: LayerSpec, table: SnapshotTable, base: Version, stage: _Stage, plan: ColumnPlan, deletion: bool
+    ) -> DataFrame:
         """Label the target's rows and the new ones.
 
         Where change sets lie on top of the target's data, rows they name are
@@ -262,10 +280,10 @@ class TableSync:
         if not (base.deltas and plan.keys_from_table and spec.key_nulls != "not_in"):
             return D.classify(table.read(base), stage.rows, keys, plan=chosen, **rules)
         settled, recent, touched = table.parts(base)
-        named = [stage.rows.join(K.right_side(touched), K.key_condition(keys, False), kind) for kind in ("left_anti", "left_semi")]
-        return D.classify(settled, named[0], keys, plan=chosen, **rules).unionByName(
-            D.classify(recent, named[1], keys, plan="merge", **rules)
-        )
+        named, on_key = K.right_side(touched), K.key_condition(keys, null_safe=False)
+        large = D.classify(settled, stage.rows.join(named, on_key, "left_anti"), keys, plan=chosen, **rules)
+        small = D.classify(recent, stage.rows.join(named, on_key, "left_semi"), keys, plan="merge", **rules)
+        return large.unionByName(small)
 
     def choose_plan(self, staged_bytes: int, plan: ColumnPlan) -> str:
         """``probe`` when the staged side is sure to be broadcast, by its estimated size."""
@@ -274,7 +292,15 @@ class TableSync:
             return "probe"
         return "merge" if plan.keys_from_table else "split"
 
-    def _refresh(self, spec, table: SnapshotTable, base: Version, staged, plan, counts) -> SyncResult:
+    def _refresh(
+        self,
+        spec: LayerSpec,
+        table: SnapshotTable,
+        base: Version,
+        staged: DataFrame,
+        plan: ColumnPlan,
+        counts: dict[str, int],
+    ) -> SyncResult:
         """Replace everything; neither the delete permission nor a filter limits it."""
         target = table.read(base)
         deleted = A.rows_deleted_by_refresh(target, plan.keys, spec.bulk_delete_method).first()["num_deleted"]
@@ -283,8 +309,8 @@ class TableSync:
         broken = 0 if rule is None else rows.filter(rule).count()
         if broken:
             raise _constraint_error(spec, broken)
-        data = table.write_rows(rows, base)
-        version = table.publish(base, data)
+        self._check_primary_key(spec, base, plan, rows)
+        version = table.publish(base, table.write_rows(rows, base))
         counts |= dict(num_created=counts["num_pulled"] - counts["num_ignored"], num_deleted=deleted)
         if spec.on_duplicate_key != "error":
             counts["num_created"] = table.read(version).count()

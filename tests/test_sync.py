@@ -128,6 +128,14 @@ def test_override_may_not_leave_the_table_key_empty(case):
         c.pull()
 
 
+@pytest.mark.parametrize("bulk", [False, True])
+def test_override_may_not_repeat_the_table_key(case, bulk):
+    c = case(primary_key_columns=("name",), bulk_mode=bulk).source([("a", 5), ("b", 5)], "name string, id int")
+    with pytest.raises(SyncError, match="repeat the primary key"):
+        c.pull()
+    assert c.rows() == STORED
+
+
 def test_override_in_not_in_mode(case):
     stored = [(1, "a", 1.0, "n"), (3, "b", 9.0, "n"), (4, None, 0.0, "n")]
     c = case(stored=stored, key=(), primary_key_columns=("name",), allow_feature_deletion=True, key_nulls="not_in")
