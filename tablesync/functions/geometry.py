@@ -8,15 +8,21 @@ they receive NULL for every row that does not need them.
 from __future__ import annotations
 
 import json
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.functions import wkb as W
 
+# The batch functions travel with their code, so executors need no copy of the package.
+for module in (sys.modules[__name__], W):
+    cloudpickle.register_pickle_by_value(module)
+
 GEOMETRY = T.StructType([T.StructField("srid", T.IntegerType()), T.StructField("wkb", T.BinaryType())])
 
 # The undefined reference system, the sphere radius of web mercator.

@@ -35,6 +35,11 @@ def utc_now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
+def _literal(value) -> Column:
+    """A literal; times go as text, so that no session time zone is applied to them."""
+    return F.lit(str(value) if isinstance(value, dt.datetime) else value)
+
+
 # --- queries over any DataFrame of runs -------------------------------------------------
 
 
@@ -64,7 +69,7 @@ def status_counts(runs: DataFrame) -> DataFrame:
 
 def unexpired(runs: DataFrame, now: Column | dt.datetime, max_age_seconds: int = MAX_AGE_SECONDS) -> DataFrame:
     """Drop finished and failed runs that ended before ``now - max_age_seconds``."""
-    oldest = (now if isinstance(now, Column) else F.lit(now)) - F.make_dt_interval(secs=F.lit(max_age_seconds))
+    oldest = (now if isinstance(now, Column) else _literal(now).cast("timestamp_ntz")) - F.make_dt_interval(secs=F.lit(max_age_seconds))
     expired = is_done() & (F.col("time_finished") < oldest)
     return runs.filter(~F.coalesce(expired, F.lit(False)))
 
@@ -114,7 +119,7 @@ class RunLog:
         unknown = set(record) - set(fields)
         if unknown:
             raise ValueError(f"unknown run fields: {sorted(unknown)}")
-        values = [F.lit(record.get(name)).cast(kind).alias(name) for name, kind in fields.items()]
+        values = [_literal(record.get(name)).cast(kind).alias(name) for name, kind in fields.items()]
         self.spark.range(0, 1, 1, 1).select(*values).write.mode("append").parquet(self._folder())
 
     def runs(self) -> DataFrame:

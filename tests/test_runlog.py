@@ -90,6 +90,18 @@ def test_empty_log(spark, folder):
         log.append(id="x", colour="red")
 
 
+def test_times_do_not_depend_on_the_session_time_zone(spark, folder):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        log = RunLog(spark, folder, max_age_seconds=60)
+        log.append(id="x", status=R.FINISHED, time_added=T0, time_finished=R.utc_now())
+        assert log.get("x")["timeAdded"] == "2013-10-08T13:58:51Z"
+        assert log.list().first()["time_added"] == T0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_run_ids():
     ids = {R.new_run_id() for _ in range(100)}
     assert len(ids) == 100 and all("-" not in i for i in ids)

@@ -39,3 +39,12 @@ def test_initial_rows_have_to_respect_the_key(spark, folder, rows):
     df = spark.createDataFrame(rows, "id int")
     with pytest.raises(SyncError, match="repeat, or lack"):
         SnapshotTable.create(spark, f"{folder}/t", df.schema, ["id"], rows=df)
+
+
+def test_bucketed_data_is_found_again_without_its_catalog_entry(spark, folder):
+    df = spark.range(100).selectExpr("id", "id * 2 as v")
+    table = SnapshotTable.create(spark, f"{folder}/t", df.schema, ["id"], 4, df)
+    name = "tablesync_" + table.current().data.rsplit("/", 1)[-1]
+    spark.sql(f"DROP TABLE {name}")
+    found = SnapshotTable(spark, f"{folder}/t").read()
+    assert found.count() == 100 and found.filter("id = 7").first()["v"] == 14
