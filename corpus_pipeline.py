@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesync.llm import quality_rules
+from tablesync.llm import jaccard_forest, quality_rules
 from tablesync.llm.work import stored
 
 
@@ -13,8 +13,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-copies."""
+    return jaccard_forest.distinct_documents(docs)
+
+
 STAGES = [
     ("quality_rules", quality),
+    ("jaccard_join", near_copies),
 ]
 
 ORACLE_SQL = None
