@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablesync.llm import jaccard_forest, quality_rules
+from tablesync.llm import jaccard_forest, phrase_dedup, quality_rules
 from tablesync.llm.work import stored
 
 
@@ -18,9 +19,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_forest.distinct_documents(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur earlier; all rows stay."""
+    return phrase_dedup.cut(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 STAGES = [
     ("quality_rules", quality),
     ("jaccard_join", near_copies),
+    ("substring_dedup", repeated_passages),
 ]
 
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import jaccard_forest, quality_rules
+from tablesync.llm import jaccard_forest, phrase_dedup, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,14 @@ def op7_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_forest.join(_table(spark, sf_dir, "documents"))
 
 
+def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_jaccard_forest": op7_jaccard_forest,
+    "op9_phrase_dedup": op9_phrase_dedup,
 }
 
 ORACLE: dict[str, str] = {}
