@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import jaccard_forest, phrase_dedup, quality_rules
+from tablesync.llm import jaccard_forest, packing, phrase_dedup, quality_rules
 from tablesync.llm.work import stored
 
 
@@ -24,10 +25,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return phrase_dedup.cut(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def training_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of binary length with their ids."""
+    return packing.sequences(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality_rules", quality),
     ("jaccard_join", near_copies),
     ("substring_dedup", repeated_passages),
+    ("packing", training_sequences),
 ]
 
 ORACLE_SQL = None

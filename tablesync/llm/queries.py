@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import jaccard_forest, phrase_dedup, quality_rules
+from tablesync.llm import bpe_stream, jaccard_forest, packing, phrase_dedup, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.drop("llr")
@@ -21,13 +26,21 @@ def op7_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_forest.join(_table(spark, sf_dir, "documents"))
 
 
+def op8_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    digest = F.crc32("ids").alias("ids_crc32")
+    return packed.select("doc_id", "start", "length", digest, "doc_tokens", "sequence_id", "offset")
+
+
 def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op5_bpe_stream": op5_bpe_stream,
     "op6_quality_rules": op6_quality_rules,
     "op7_jaccard_forest": op7_jaccard_forest,
+    "op8_binary_packing": op8_binary_packing,
     "op9_phrase_dedup": op9_phrase_dedup,
 }
 
