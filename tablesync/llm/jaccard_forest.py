@@ -107,13 +107,14 @@ def _signatures(depth: int, k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(block.rows.start, block.n),
+                        batch.column(2).slice(block.rows.start, block.n),
                         pa.array(set_key[0].view(np.int64)),
                         pa.array(set_key[1].view(np.int64)),
                         pa.array(has_words),
                         pa.array([row.tobytes() for row in keys], pa.binary()),
                         pa.array(texts, pa.binary()),
                     ],
-                    ["row", "k1", "k2", "has_words", "keys", "ztext"],
+                    ["row", "doc_id", "k1", "k2", "has_words", "keys", "ztext"],
                 )
 
     return sign
@@ -248,53 +249,53 @@ def _roots(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def classes(rows: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """For rows of a unique long ``row``, an id ``doc_id`` and a ``text``: ``row``, ``doc_id``,
     ``class_id``, ``n_links``, ``stays`` (one row of each class, with its smallest id)."""
-    schema = "row long, k1 long, k2 long, has_words boolean, keys binary, ztext binary"
-    signed = rows.select("row", "text").mapInArrow(_signatures(prefix_depth(threshold), k), schema)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"row long, doc_id {kind}, k1 long, k2 long, has_words boolean, keys binary, ztext binary"
+    signed = rows.select("row", "text", "doc_id").mapInArrow(_signatures(prefix_depth(threshold), k), schema)
+    # The joins below are hinted: small inputs then take the plan that large ones take.
     signed = stored(signed, "signed")
-    ids = rows.select("row", "doc_id")
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    keyed = signed.select("row", "k1", "k2", "has_words").join(ids, "row")
     # Rows without words stay alone: their row number sets them apart.
     alone = F.when(F.col("has_words"), F.lit(-1)).otherwise(F.col("row"))
-    keyed = stored(keyed.select("row", "doc_id", "k1", "k2", alone.alias("alone")), "keyed")
+    keyed = signed.select("row", "doc_id", "k1", "k2", alone.alias("alone"))
     nodes = keyed.groupBy("k1", "k2", "alone").agg(first, F.count("*").alias("copies"))
     nodes = nodes.select("k1", "k2", "alone", F.col("first.row").alias("node"), F.col("first.doc_id").alias("id"), "copies")
     nodes = stored(nodes, "nodes")
 
     able = nodes.filter("alone = -1").select("node", "copies")
-    labels = able.join(signed.select(F.col("row").alias("node"), "keys"), "node").select("node", "copies", "keys")
+    labels = able.join(signed.select(F.col("row").alias("node"), "keys").hint("merge"), "node").select("node", "copies", "keys")
     labels = stored(labels, "labels")
     members = labels.select("node", "keys").mapInArrow(_explode_keys, "node long, prefix long")
     full = stored(members.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1"), "prefixes")
     spread = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("node"), F.col("spread")).cast("int")
-    cells = members.join(full, "prefix").withColumn("spread", spread).withColumn("own", own)
+    cells = members.join(full.hint("merge"), "prefix").withColumn("spread", spread).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), (F.col("spread") - 1).cast("int"))).alias("other")
     cells = cells.select("prefix", "node", "spread", "own", other)
     place = F.least("own", "other") * F.col("spread") + F.greatest("own", "other")
     side = (F.col("own") > F.col("other")).cast("int")
     cells = cells.select("prefix", place.alias("cell"), "node", side.alias("side"))
-    cells = cells.join(labels, "node").select("prefix", "cell", "node", "side", "copies", "keys")
+    cells = cells.join(labels.hint("merge"), "node").select("prefix", "cell", "node", "side", "copies", "keys")
     sorted_cells = cells.repartition("prefix", "cell").sortWithinPartitions("prefix", "cell", "node")
     needed = stored(sorted_cells.mapInArrow(_needed, cells.schema), "needed")
 
-    texts = signed.select(F.col("row").alias("node"), "ztext").join(needed.select("node").distinct(), "node")
-    pairs = needed.join(stored(texts, "texts"), "node").select("prefix", "cell", "node", "side", "copies", "keys", "ztext")
+    texts = signed.select(F.col("row").alias("node"), "ztext").join(needed.select("node").distinct().hint("merge"), "node")
+    pairs = needed.join(stored(texts, "texts").hint("merge"), "node").select("prefix", "cell", "node", "side", "copies", "keys", "ztext")
     pairs = pairs.repartition("prefix", "cell").sortWithinPartitions("prefix", "cell", "node")
     found = stored(pairs.mapInArrow(_verify(threshold, k), "node long, root long, links long"), "links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     grouped = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    placed = nodes.join(grouped, "node", "left").join(links, "node", "left")
+    placed = nodes.join(grouped.hint("merge"), "node", "left").join(links.hint("merge"), "node", "left")
     placed = stored(placed.withColumn("root", F.coalesce("root", "node")), "placed")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best")
     heads = stored(placed.groupBy("root").agg(best), "heads")
-    placed = placed.join(heads, "root").select(
+    placed = placed.join(heads.hint("merge"), "root").select(
         "k1", "k2", "alone", F.col("best.id").alias("class_id"), F.col("best.node").alias("head"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    done = keyed.join(stored(placed, "classes"), ["k1", "k2", "alone"])
+    done = keyed.join(stored(placed, "classes").hint("merge"), ["k1", "k2", "alone"])
     return done.select("row", "doc_id", "class_id", "n_links", (F.col("row") == F.col("head")).alias("stays"))
 
 
