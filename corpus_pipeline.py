@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import jaccard_forest, packing, phrase_dedup, quality_rules
+from tablesync.llm import jaccard_forest, packing, phrase_dedup, pii_votes, quality_rules
 from tablesync.llm.work import stored
 
 
@@ -25,6 +25,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return phrase_dedup.cut(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with marks in place of personal data; all rows stay."""
+    return pii_votes.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def training_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of binary length with their ids."""
     return packing.sequences(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -34,6 +39,7 @@ STAGES = [
     ("quality_rules", quality),
     ("jaccard_join", near_copies),
     ("substring_dedup", repeated_passages),
+    ("pii", personal_data),
     ("packing", training_sequences),
 ]
 

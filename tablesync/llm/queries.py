@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import bpe_stream, jaccard_forest, packing, phrase_dedup, quality_rules
+from tablesync.llm import bpe_stream, jaccard_forest, packing, phrase_dedup, pii_votes, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_votes.find(_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -37,6 +41,7 @@ def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii_votes": op2_pii_votes,
     "op5_bpe_stream": op5_bpe_stream,
     "op6_quality_rules": op6_quality_rules,
     "op7_jaccard_forest": op7_jaccard_forest,
