@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import bpe_stream, jaccard_forest, packing, phrase_dedup, pii_votes, quality_rules
+from tablesync.llm import bpe_stream, cover_tree, host_trust, jaccard_forest, packing, phrase_dedup, pii_votes, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,23 @@ def op2_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_votes.find(_table(spark, sf_dir, "documents"))
 
 
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+RULES = [
+    host_trust.Rule("allow", "com", "/"),
+    host_trust.Rule("block", "example.com", "/en/"),
+    host_trust.Rule("allow", "www.example.com", "/en/"),
+    host_trust.Rule("block", "net", "/es/"),
+    host_trust.Rule("block", "net", "/fr/"),
+]
+
+
+def op4_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_trust.judge(_table(spark, sf_dir, "pages"), RULES)
+
+
 def op5_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -42,6 +59,8 @@ def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_pii_votes": op2_pii_votes,
+    "op3_cover_tree": op3_cover_tree,
+    "op4_host_trust": op4_host_trust,
     "op5_bpe_stream": op5_bpe_stream,
     "op6_quality_rules": op6_quality_rules,
     "op7_jaccard_forest": op7_jaccard_forest,
@@ -49,4 +68,38 @@ QUERIES = {
     "op9_phrase_dedup": op9_phrase_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_cover_tree": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+         cast(list_dot_product(cast(q.e as double[]), cast(c.e as double[])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+  where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+""",
+    "op9_phrase_dedup": r"""
+with docs as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (
+  select doc_id, unnest(range(1, len(w) - 18)) as p, w from docs where len(w) >= 20),
+windows as (
+  select doc_id, p, row_number() over (partition by array_to_string(w[p:p + 19], ' ') order by doc_id, p) as nth
+  from starts),
+gone as (
+  select distinct doc_id, unnest(range(p, p + 20)) as p from windows where nth > 1),
+words as (
+  select doc_id, unnest(range(1, len(w) + 1)) as p, unnest(w) as word from docs),
+kept as (
+  select doc_id, string_agg(word, ' ' order by p) as body, count(*) as n
+  from words anti join gone using (doc_id, p) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+       sha256(coalesce(body, '')) as kept_sha256
+from docs left join kept using (doc_id)
+""",
+}
