@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import bpe_stream, cover_tree, host_trust, jaccard_forest, packing, phrase_dedup, pii_votes, quality_rules
+from tablesync.llm import bpe_stream, cover_tree, host_trust, jaccard_forest, packing, phrase_dedup, pii_votes, quality_rules, toxic_terms, weak_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.score(_table(spark, sf_dir, "documents"))
+
+
 def op2_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_votes.find(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,12 @@ def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_terms.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_weak_quality": op1_weak_quality,
     "op2_pii_votes": op2_pii_votes,
     "op3_cover_tree": op3_cover_tree,
     "op4_host_trust": op4_host_trust,
@@ -66,6 +75,7 @@ QUERIES = {
     "op7_jaccard_forest": op7_jaccard_forest,
     "op8_binary_packing": op8_binary_packing,
     "op9_phrase_dedup": op9_phrase_dedup,
+    "op10_toxic_terms": op10_toxic_terms,
 }
 
 ORACLE: dict[str, str] = {
@@ -87,10 +97,11 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 with docs as (
   select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 starts as (
-  select doc_id, unnest(range(1, len(w) - 18)) as p, w from docs where len(w) >= 20),
+  select doc_id, unnest(range(1, len(w) - 18)) as p,
+         unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) as body
+  from docs where len(w) >= 20),
 windows as (
-  select doc_id, p, row_number() over (partition by array_to_string(w[p:p + 19], ' ') order by doc_id, p) as nth
-  from starts),
+  select doc_id, p, row_number() over (partition by body order by doc_id, p) as nth from starts),
 gone as (
   select distinct doc_id, unnest(range(p, p + 20)) as p from windows where nth > 1),
 words as (
