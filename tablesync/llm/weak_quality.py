@@ -99,7 +99,7 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 100) -> tuple
     """
     codes = sorted(counts)
     n = np.array([counts[c] for c in codes], float)
-    vote = np.array([_decoded(c) for c in codes]).reshape(len(codes), len(LABELERS))
+    vote = np.array([_decoded(c) for c in codes], int).reshape(len(codes), len(LABELERS))
     first = np.array([[0.05, 0.65, 0.30], [0.30, 0.65, 0.05]])
     share, rates = 0.8, np.repeat(first[None], len(LABELERS), 0)
     p = np.full(len(codes), share)
