@@ -48,7 +48,7 @@ PIECE = 32
 #: Occurrences of a seed that one task takes; more are dealt over several.
 SHARE = 1000
 #: Pieces that one automaton is compiled from; bounds its memory.
-AUTOMATON_PIECES = 20_000
+AUTOMATON_PIECES = 8_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -235,10 +235,29 @@ def locate(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return piece, offset, first, code
 
 
+def _collapsed(table: pa.Table) -> tuple[pa.Table, pa.RecordBatch]:
+    """The first of equal pieces, for the automata, and the spans of the others: all their windows came earlier."""
+    key, text_hash, start = (table.column(c).to_numpy() for c in ("key", "hash", "start"))
+    texts = table.column("text").to_pylist()
+    place: dict[bytes, int] = {}
+    order = np.lexsort((start, text_hash, key)).tolist()
+    head = np.empty(len(texts), np.int64)
+    for index in order:
+        head[index] = place.setdefault(texts[index], index)
+    first = head == np.arange(len(texts))
+    late = ~first & ((key != key[head]) | (text_hash != text_hash[head]) | (start != start[head]))
+    size = np.array([texts[i].count(b" ") + 1 for i in np.flatnonzero(late).tolist()], np.int64)
+    spans = [pa.array(x) for x in (key[late], text_hash[late], start[late], start[late] + size)]
+    repeats = pa.RecordBatch.from_arrays([*spans, pa.nulls(len(size), pa.binary())], ["key", "hash", "start", "end", "window"])
+    return table.filter(pa.array(first)), repeats
+
+
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of windows that are not the first of their kind; of seeds dealt over several tasks
     also every window that is the first here, with a hash of its words."""
-    for table in _by_seed(batches):
+    for whole in _by_seed(batches):
+        table, repeats = _collapsed(whole)
+        yield repeats
         piece, offset, first, _ = locate(table)
         key, text_hash, start, n = (table.column(c).to_numpy() for c in ("key", "hash", "start", "n"))
         own = np.arange(len(piece))
