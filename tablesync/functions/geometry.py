@@ -8,6 +8,7 @@ they receive NULL for every row that does not need them.
 from __future__ import annotations
 
 import json
+import struct
 import sys
 
 import numpy as np
@@ -29,6 +30,8 @@ GEOMETRY = T.StructType([T.StructField("srid", T.IntegerType()), T.StructField("
 UNDEFINED_SRID = 0
 EARTH_RADIUS = 6378137.0
 DEGREES, MERCATOR = 4326, 3857
+# Web mercator ends here; beyond it the northing grows without bound.
+MERCATOR_LATITUDE = 85.06
 MAX_BYTES = 2147483647
 
 
@@ -97,6 +100,16 @@ def geometry_kind(wkb: Column) -> Column:
     return type_code(wkb).bitwiseAND(F.lit(0x0FFFFFFF)) % 1000
 
 
+def is_whole(wkb: Column) -> Column:
+    """Whether the bytes have a known header and can hold what it announces; a point has to do so exactly."""
+    code, size = type_code(wkb), F.octet_length(wkb)
+    plain = code.bitwiseAND(F.lit(0x0FFFFFFF))
+    order = F.hex(F.substring(wkb, 1, 1)).isin("00", "01")
+    known = (plain < 4000) & (plain % 1000).between(1, 17)
+    point = size == 5 + 8 * coordinate_dimension(wkb)
+    return order & known & F.when(plain % 1000 == 1, point).otherwise(size >= 9)
+
+
 def is_collection(wkb: Column) -> Column:
     return geometry_kind(wkb).between(4, 7)
 
@@ -139,7 +152,8 @@ def degrees_lat(y: Column) -> Column:
 def _to_mercator(coords: np.ndarray) -> np.ndarray:
     out = coords.copy()
     out[:, 0] = np.radians(coords[:, 0]) * EARTH_RADIUS
-    out[:, 1] = np.log(np.tan(np.pi / 4 + np.radians(coords[:, 1]) / 2)) * EARTH_RADIUS
+    latitude = np.where(np.abs(coords[:, 1]) <= MERCATOR_LATITUDE, coords[:, 1], np.nan)
+    out[:, 1] = np.log(np.tan(np.pi / 4 + np.radians(latitude) / 2)) * EARTH_RADIUS
     return out
 
 
@@ -158,16 +172,27 @@ def _is_plain_point(value: bytes | None) -> bool:
 
 
 def _move_all(values: pd.Series, move) -> pd.Series:
-    """Move every geometry of a batch; plain points are moved as one array."""
+    """Move every geometry of a batch, plain points as one array; None where it is broken or the other system does not reach."""
     out = pd.Series([None] * len(values), dtype=object)
     plain = values.map(_is_plain_point).to_numpy(dtype=bool)
     if plain.any():
         points = np.frombuffer(b"".join(values[plain]), _POINT_DTYPE).copy()
         points["xy"] = move(points["xy"])
-        packed = points.tobytes()
-        out[plain] = [packed[at : at + 21] for at in range(0, len(packed), 21)]
+        packed, valid = points.tobytes(), np.isfinite(points["xy"]).all(axis=1)
+        out[plain] = [packed[21 * n : 21 * n + 21] if ok else None for n, ok in enumerate(valid)]
     for at in np.flatnonzero(~plain & values.notna().to_numpy()):
-        out[at] = W.write(W.map_coords(W.read(values.iloc[at]), move))
+        outside = []
+
+        def checked(coords: np.ndarray) -> np.ndarray:
+            moved = move(coords)
+            outside.append(not np.isfinite(moved[:, :2]).all())
+            return moved
+
+        try:
+            moved = W.write(W.map_coords(W.read(values.iloc[at]), checked))
+        except (ValueError, KeyError, IndexError, TypeError, struct.error):
+            continue
+        out[at] = None if any(outside) else moved
     return out
 
 
@@ -266,9 +291,15 @@ def point_wkb(x: pd.Series, y: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BinaryType())
 def geojson_wkb(text: pd.Series) -> pd.Series:
-    """Bytes of a GeoJSON geometry object given as text."""
-    values = (None if value is None else json.loads(value) for value in text)
-    return pd.Series([None if v is None else W.write(W.from_geojson(v)) for v in values], dtype=object)
+    """Bytes of a GeoJSON geometry object given as text; NULL if it is none."""
+
+    def read(value: str | None) -> bytes | None:
+        try:
+            return None if value is None else W.write(W.from_geojson(json.loads(value)))
+        except (ValueError, KeyError, TypeError, AttributeError, IndexError):
+            return None
+
+    return pd.Series([read(value) for value in text], dtype=object)
 
 
 @F.pandas_udf(T.BinaryType())

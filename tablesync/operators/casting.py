@@ -23,6 +23,8 @@ from tablesync.spec import SyncError
 
 ERRORS = "_errors"
 ORDER = "_order"
+# Column of a source with what could not be read of a row, where anything could not.
+UNREADABLE = "_unreadable"
 ERRORS_TYPE = "array<struct<column:string,value:string>>"
 
 # Accepted text forms.
@@ -167,7 +169,7 @@ def _always_fits(source: T.DataType, field: T.StructField) -> bool:
     """No value of the source type can fail: same type, wider number, any type as text."""
     target = field.dataType
     if is_geometry(target):
-        return True
+        return field.metadata.get("srid", 0) <= 0
     if max_length(field) is not None or is_time(field):
         return False
     if isinstance(target, T.StringType) or source == target:
@@ -212,6 +214,12 @@ def cast_value(
 # --- whole rows ----------------------------------------------------------------------
 
 
+def _raw_text(raw: Column, source: T.DataType, field: T.StructField) -> Column:
+    if is_geometry(source):
+        return F.hex(raw["wkb"])
+    return F.hex(raw) if isinstance(source, T.BinaryType) else _to_text(raw, source, field)
+
+
 def cast_rows(
     source: DataFrame,
     target: T.StructType,
@@ -236,9 +244,13 @@ def cast_rows(
         if not _always_fits(source_type, field):
             raw = F.col(f"_read_{position}")
             read.append(col.alias(f"_read_{position}"))
-            shown = F.hex(raw) if isinstance(source_type, T.BinaryType) else _to_text(raw, source_type, field)
+            shown = _raw_text(raw, source_type, field)
             bad.append(_misfit(raw, value, source_type, field))
             problems.append(F.when(bad[-1], F.struct(F.lit(name).alias("column"), shown.alias("value"))))
+    if UNREADABLE in source.columns:
+        read.append(F.col(UNREADABLE))
+        bad.append(F.col(UNREADABLE).isNotNull())
+        problems.append(F.when(bad[-1], F.struct(F.lit(UNREADABLE).alias("column"), F.col(UNREADABLE).alias("value"))))
     none = F.array().cast(ERRORS_TYPE)
     errors = F.when(reduce(or_, bad), F.array_compact(F.array(*problems)).cast(ERRORS_TYPE)).otherwise(none) if bad else none
     order = [F.col(f"`{order_by}`").alias(ORDER)] if order_by else []
@@ -248,7 +260,7 @@ def cast_rows(
 
 def all_always_fit(source: T.StructType, target: T.StructType, plan: ColumnPlan) -> bool:
     """No row of a source of this schema can be set aside."""
-    return all(_always_fits(source[s].dataType, target[t]) for t, s in plan.mapped.items())
+    return UNREADABLE not in source.names and all(_always_fits(source[s].dataType, target[t]) for t, s in plan.mapped.items())
 
 
 def failing_on_errors(staged: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ import json
 from collections import defaultdict
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +20,6 @@ from tablesync.spec import SyncError
 
 AttributeSet = Mapping[str, str | None]
 
-# Above this many sets a removal joins against a criteria table instead of
-# evaluating one predicate per set.
-MAX_INLINE_SETS = 200
-
-
 # --- filter text -------------------------------------------------------------------
 
 
@@ -40,10 +36,7 @@ def apply_filter(df: DataFrame, condition: str, layer_name: str) -> DataFrame:
     try:
         return df.filter(F.expr(condition))
     except (ParseException, AnalysisException) as error:
-        reason = (error.getMessage() or str(error)).splitlines()[0]
-        raise SyncError(
-            f'Layer "{layer_name}" got a filter that cannot be used: {reason} Applied filter: [ {condition} ]'
-        ) from error
+        raise SyncError(f'The rows of layer "{layer_name}" cannot be filtered by {condition!r}: {error}') from error
 
 
 # --- structured predicates ------------------------------------------------------------
@@ -71,22 +64,17 @@ def like_ci(col: Column, pattern: str) -> Column:
 
 
 def parse_attribute_sets(value: str | Sequence) -> list[dict[str, str | None]]:
-    """Validate a list of objects whose values are texts or null; drop empty ones."""
+    """The attribute sets of a request, empty ones left out; an error names every fault at once."""
     sets = json.loads(value) if isinstance(value, str) else value
-    if not isinstance(sets, Sequence) or isinstance(sets, (str, bytes)):
-        raise ValueError("attributeSets has to be a list")
-    parsed = []
-    for position, attributes in enumerate(sets):
-        if not isinstance(attributes, Mapping):
-            raise ValueError(f"attributeSets: entry {position} has to be an object")
-        for name, text in attributes.items():
-            if not isinstance(name, str):
-                raise ValueError("attributeSets: column names have to be texts")
-            if text is not None and not isinstance(text, str):
-                raise ValueError("attributeSets: values have to be texts or null")
-        if attributes:
-            parsed.append(dict(attributes))
-    return parsed
+    if isinstance(sets, (str, bytes)) or not isinstance(sets, Sequence):
+        raise ValueError("attributeSets is no list")
+    faults = [f"entry {n} is no object" for n, s in enumerate(sets) if not isinstance(s, Mapping)]
+    pairs = [(n, *item) for n, s in enumerate(sets) if isinstance(s, Mapping) for item in s.items()]
+    faults += [f"entry {n} has the column name {name!r}" for n, name, _ in pairs if not isinstance(name, str)]
+    faults += [f"entry {n} gives {name!r} no text" for n, name, text in pairs if not isinstance(text, (str, type(None)))]
+    if faults:
+        raise ValueError("attributeSets: " + "; ".join(faults))
+    return [dict(s) for s in sets if s]
 
 
 def check_attributes(sets: Iterable[AttributeSet], columns: Iterable[str], layer_name: str) -> None:
@@ -97,19 +85,16 @@ def check_attributes(sets: Iterable[AttributeSet], columns: Iterable[str], layer
                 raise SyncError(f'Layer "{layer_name}" has no column "{name}"')
 
 
-def matches_any(schema: T.StructType, sets: Sequence[AttributeSet]) -> Column:
-    """True for rows that equal, null-safely, every attribute of at least one set."""
-    one_set = [
-        reduce(and_, (F.col(f"`{name}`").eqNullSafe(_typed(schema, name, text)) for name, text in attributes.items()))
-        for attributes in sets
-        if attributes
-    ]
-    return reduce(or_, one_set, F.lit(False))
+def typed_criteria(criteria: DataFrame, schema: T.StructType) -> DataFrame:
+    """Criteria in the types of the table; a text that does not fit its column fails the job."""
 
+    def typed(name: str) -> Column:
+        text, kind = F.col(f"`{name}`"), schema[name].dataType
+        value = text.try_cast(kind)
+        message = F.concat(F.lit(f'Column "{name}" cannot be compared with: '), text.cast("string"))
+        return F.when(text.isNotNull() & value.isNull(), F.raise_error(message).cast(kind)).otherwise(value).alias(name)
 
-def _typed(schema: T.StructType, name: str, text: str | None) -> Column:
-    """The value in the column's type; a text that does not fit fails the job."""
-    return F.lit(text).cast("string").cast(schema[name].dataType)
+    return criteria.select(*[typed(name) for name in criteria.columns])
 
 
 def flag_criteria_matches(df: DataFrame, criteria: DataFrame, flag: str = "_matched") -> DataFrame:
@@ -120,28 +105,24 @@ def flag_criteria_matches(df: DataFrame, criteria: DataFrame, flag: str = "_matc
     group is on the side the adaptive planner can split.
     """
     names = criteria.columns
-    typed = criteria.select(*[F.col(f"`{n}`").cast(df.schema[n].dataType).alias(n) for n in names])
-    found = right_side(typed.distinct()).withColumn(flag, F.lit(True))
+    found = right_side(typed_criteria(criteria, df.schema).distinct()).withColumn(flag, F.lit(True))
     joined = df.join(found, key_condition(names), "left")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.col(flag), F.lit(False)).alias(flag))
 
 
 def flag_matches(df: DataFrame, sets: Sequence[AttributeSet], flag: str = "_matched") -> DataFrame:
-    """Mark the rows that match any attribute set.
+    """Mark the rows that match any attribute set: one join per group of sets that name the same columns.
 
-    Few sets become one predicate. Many are grouped by the columns they name
-    and joined, one criteria table per group of columns.
+    The criteria are a local table whose size the planner knows, so it broadcasts
+    them however many there are, up to its limit, and does not move ``df``.
     """
-    sets = [attributes for attributes in sets if attributes]
-    if len(sets) <= MAX_INLINE_SETS:
-        return df.withColumn(flag, matches_any(df.schema, sets))
     by_columns: dict[tuple[str, ...], list[AttributeSet]] = defaultdict(list)
     for attributes in sets:
-        by_columns[tuple(sorted(attributes))].append(attributes)
+        if attributes:
+            by_columns[tuple(sorted(attributes))].append(attributes)
     flags = []
     for position, (names, group) in enumerate(sorted(by_columns.items())):
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        criteria = df.sparkSession.createDataFrame([tuple(a[n] for n in names) for a in group], schema)
+        columns = {n: pa.array([a[n] for a in group], pa.string()) for n in names}
         flags.append(f"{flag}_{position}")
-        df = flag_criteria_matches(df, criteria, flags[-1])
-    return df.withColumn(flag, reduce(or_, (F.col(f) for f in flags))).drop(*flags)
+        df = flag_criteria_matches(df, df.sparkSession.createDataFrame(pa.table(columns)), flags[-1])
+    return df.withColumn(flag, reduce(or_, (F.col(f) for f in flags), F.lit(False))).drop(*flags)

@@ -28,10 +28,6 @@ QUARANTINED = "_quarantined"
 # Keys of a request document.
 LAYER_KEY, FILTER_KEY, SETS_KEY = "layerName", "filter", "attributeSets"
 
-# How much larger than its files a staged source may be in memory; decides
-# whether it is surely small enough to broadcast.
-PARQUET_GROWTH = 4
-
 # Source formats that later steps may read again instead of a staged copy.
 IN_PLACE = ("parquet", "orc")
 
@@ -106,7 +102,8 @@ class TableSync:
         if spec.geometry_source:
             rows = with_geometry(rows, spec.geometry_source, spec.source_srid)
         source = lower_names(rows, spec.fid_column)
-        return self._logged(R.PULL, spec, lambda run: self._sync(run, spec, source))
+        condition = P.compose_filter(spec.filter, None)
+        return self._logged(R.PULL, spec, lambda run: self._sync(run, spec, source, condition))
 
     def remove_by_attributes(
         self, layer_name: str, attribute_sets: Sequence | str | DataFrame
@@ -146,6 +143,7 @@ class TableSync:
             status=R.FINISHED, message=result.message, time_finished=R.utc_now(), version=result.version,
             **counts, **common,
         )
+        self.log.expire()
         return replace(result, id=run_id, type=kind, layer_name=spec.name)
 
     def _pull(self, run: _Run, spec: LayerSpec, request_filter: str | None) -> SyncResult:
@@ -206,7 +204,8 @@ class TableSync:
         if _rejects_nulls(spec, plan) and any(r["keyless"] for r in read if not r[QUARANTINED]):
             raise SyncError(f'The source of layer "{spec.name}" has rows without a value for {", ".join(plan.keys)}')
         good = staged.filter(~F.col(QUARANTINED)).drop(QUARANTINED, C.ERRORS)
-        return _Stage(self._unique(spec, good, plan), run.pulled, ignored, _estimated_bytes(good))
+        good = self._unique(run, spec, good, plan)
+        return _Stage(good, run.pulled, ignored, (run.pulled - ignored) * _row_width(good))
 
     def quarantine(self, spec: LayerSpec, run_id: str) -> DataFrame:
         """Rows a run ignored, with the columns and values that did not fit."""
@@ -215,16 +214,21 @@ class TableSync:
     def _quarantine_folder(self, spec: LayerSpec, run_id: str) -> str:
         return f"{self.root}/quarantine/{spec.name}/{run_id}"
 
-    def _unique(self, spec: LayerSpec, staged: DataFrame, plan: ColumnPlan) -> DataFrame:
-        """Each key at most once, by the layer's policy."""
+    def _unique(self, run: _Run, spec: LayerSpec, staged: DataFrame, plan: ColumnPlan) -> DataFrame:
+        """Each key at most once, by the layer's policy; the keys that are not are listed in the quarantine folder."""
         keys = list(plan.keys)
         if spec.on_duplicate_key != "error":
             return K.one_row_per_key(staged, keys, C.ORDER if C.ORDER in staged.columns else None).drop(C.ORDER)
-        repeated = K.duplicate_keys(staged, keys).limit(5).collect()
-        if repeated:
-            shown = "; ".join(f"{tuple(r[k] for k in keys)} {r['n']} times" for r in repeated)
-            raise SyncError(f'The source of layer "{spec.name}" repeats keys: {shown}')
-        return staged
+        repeated = K.duplicate_keys(staged, keys)
+        if repeated.isEmpty():
+            return staged
+        report = f"{self._quarantine_folder(spec, run.id)}-repeated-keys"
+        repeated.write.parquet(report)
+        listed = self.spark.read.parquet(report)
+        examples = "; ".join(f"{tuple(r[k] for k in keys)} {r['n']} times" for r in listed.limit(5).collect())
+        raise SyncError(
+            f'The source of layer "{spec.name}" repeats {listed.count()} keys, all listed in {report}, such as {examples}'
+        )
 
     # --- changing the target
 
@@ -255,7 +259,7 @@ class TableSync:
         if limit is not None and found["delete"] > limit * table.read(base).count():
             raise SyncError(f'Layer "{spec.name}" would delete {found["delete"]} rows, more than its limit')
         if unique:
-            return _finished(table.publish_changes(base, changes_path, spec.max_delta_share), counts)
+            return _finished(table.publish_changes(base, changes_path, spec.max_delta_share, spec.max_deltas), counts)
         self._check_primary_key(spec, base, plan, A.result_rows(changes))
         return _finished(table.publish(base, changes_path, changes_path, by_op=True), counts)
 
@@ -286,9 +290,9 @@ class TableSync:
         return large.unionByName(small)
 
     def choose_plan(self, staged_bytes: int, plan: ColumnPlan) -> str:
-        """``probe`` when the staged side is sure to be broadcast, by its estimated size."""
+        """``probe`` when the staged side, rows times their width, is small enough to broadcast."""
         threshold = self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-        if staged_bytes * PARQUET_GROWTH <= threshold:
+        if staged_bytes <= threshold:
             return "probe"
         return "merge" if plan.keys_from_table else "split"
 
@@ -338,7 +342,7 @@ class TableSync:
             files.delete(self.spark, changes_path)
             return _finished(base, {})
         if base.primary_key:
-            version = table.publish_changes(base, changes_path, spec.max_delta_share)
+            version = table.publish_changes(base, changes_path, spec.max_delta_share, spec.max_deltas)
         else:
             kept = flagged.filter("NOT _matched").drop("_matched")
             version = table.publish(base, table.write_rows(kept, base), changes_path)
@@ -386,9 +390,9 @@ def _rejects_nulls(spec: LayerSpec, plan: ColumnPlan) -> bool:
     return spec.key_nulls == "reject" or (plan.keys_from_table and spec.key_nulls == "safe")
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own estimate, from the sizes of the files that are read."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _row_width(df: DataFrame) -> int:
+    """Bytes that Catalyst reckons for a row of these columns."""
+    return 8 + int(df._jdf.schema().defaultSize())
 
 
 def _broken(schema: T.StructType) -> Column | None:
@@ -406,9 +410,5 @@ def _finished(version: Version, counts: dict) -> SyncResult:
 
 
 def _message(error: Exception) -> str:
-    """First line of an error; of a failing row, the reason given for it."""
-    text = str(error)
-    marker = "[USER_RAISED_EXCEPTION] "
-    if marker in text:
-        text = text.split(marker, 1)[1]
-    return text.splitlines()[0][:2000] if text else type(error).__name__
+    """The whole text of an error; of a failing row, from the reason given for it on."""
+    return str(error).rpartition("[USER_RAISED_EXCEPTION] ")[2] or type(error).__name__

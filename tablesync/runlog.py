@@ -18,6 +18,9 @@ PULL, REMOVE = "pull", "remove-by-attributes"
 # Fixed value: seconds a finished or failed run stays listed.
 MAX_AGE_SECONDS = 600
 
+# Name of the folder of a day.
+DAY = "%Y%m%d"
+
 COUNTERS = ("num_created", "num_updated", "num_deleted", "num_pulled", "num_ignored")
 SCHEMA = (
     "id string, type string, time_added timestamp_ntz, time_finished timestamp_ntz, status string,"
@@ -114,13 +117,15 @@ class RunLog:
         self.max_age_seconds = max_age_seconds
 
     def append(self, **record) -> None:
+        """Add a record to the folder of the day its run was added."""
         record.setdefault("recorded", utc_now())
         fields = dict(part.split() for part in SCHEMA.split(","))
         unknown = set(record) - set(fields)
         if unknown:
             raise ValueError(f"unknown run fields: {sorted(unknown)}")
         values = [_literal(record.get(name)).cast(kind).alias(name) for name, kind in fields.items()]
-        self.spark.range(0, 1, 1, 1).select(*values).write.mode("append").parquet(self._folder())
+        day = (record.get("time_added") or record["recorded"]).strftime(DAY)
+        self.spark.range(0, 1, 1, 1).select(*values).write.mode("append").parquet(f"{self.path}/{day}")
 
     def runs(self) -> DataFrame:
         """Current state of every run that has not expired."""
@@ -139,27 +144,22 @@ class RunLog:
         return status_counts(self.runs()).first().asDict()
 
     def expire(self) -> None:
-        """Rewrite the log without expired runs, as the next generation of its folder.
+        """Drop days that are over and hold no run that is still listed; nothing is rewritten.
 
-        Run it from one place at a time; a record appended during the rewrite
-        to the old generation would be lost.
+        New runs go to today's folder and an open run keeps its day, so no record is lost to a writer.
         """
-        generation = self._generation()
-        self.runs().write.parquet(f"{self.path}/{generation + 1:06d}")
-        files.delete(self.spark, f"{self.path}/{generation:06d}")
-
-    def _latest(self) -> DataFrame:
-        folder = self._folder()
-        if not files.exists(self.spark, folder):
+        today = utc_now().strftime(DAY)
+        for day in self._days():
+            if day < today and unexpired(self._latest([day]), utc_now(), self.max_age_seconds).isEmpty():
+                files.delete(self.spark, f"{self.path}/{day}")
+
+    def _latest(self, days: list[str] | None = None) -> DataFrame:
+        folders = [f"{self.path}/{day}" for day in (self._days() if days is None else days)]
+        if not folders:
             return self.spark.createDataFrame([], SCHEMA)
-        records = self.spark.read.schema(SCHEMA).parquet(folder)
+        records = self.spark.read.schema(SCHEMA).parquet(*folders)
         newest = Window.partitionBy("id").orderBy(F.desc("recorded"), F.desc(is_done()))
         return records.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
-    def _generation(self) -> int:
-        done = [n for n in files.names(self.spark, self.path) if n.isdigit()]
-        complete = [n for n in done if files.exists(self.spark, f"{self.path}/{n}/_SUCCESS")]
-        return int((complete or done or ["000000"])[-1])
-
-    def _folder(self) -> str:
-        return f"{self.path}/{self._generation():06d}"
+    def _days(self) -> list[str]:
+        return [name for name in files.names(self.spark, self.path) if name.isdigit()]

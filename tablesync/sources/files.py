@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import cache
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -66,19 +68,28 @@ def delete(spark: SparkSession, path: str) -> None:
     _fs(spark, path).delete(_path(spark, path), True)
 
 
+def delete_uri(spark: SparkSession, uri: str) -> None:
+    """Delete a folder named as file metadata names it, with escapes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors reach: the checkpoint folder the session names.
 
-    Only a local session without one falls back to a temporary folder.
+    Only a session in one process, which has no other executors, may do without.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir has to name a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="tablesync-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tablesync-")
 
 
 def run_folder(spark: SparkSession, run_id: str) -> str:

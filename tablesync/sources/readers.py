@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesync.functions import geometry as G
 from tablesync.functions.nearest import HINT_CUTOFF
+from tablesync.operators.casting import UNREADABLE
 from tablesync.sources import files
 from tablesync.spec import LayerSpec, SyncError
 
@@ -41,6 +43,8 @@ def read_source(spark: SparkSession, spec: LayerSpec) -> DataFrame:
 
 def open_layer(spark: SparkSession, spec: LayerSpec) -> DataFrame:
     options = {**DEFAULT_OPTIONS.get(spec.source_format, {}), **spec.source_options}
+    if spec.source_format == "xml" and _is_file(spec):
+        options = {**options, "rowTag": spec.source_layer}
     if spec.source_format == "table":
         return _open_table(spark, spec)
     if spec.source_format not in FILE_FORMATS:
@@ -49,6 +53,9 @@ def open_layer(spark: SparkSession, spec: LayerSpec) -> DataFrame:
     if not files.exists(spark, spec.source):
         raise SyncError(f'The dataset of layer "{spec.name}" cannot be opened: {spec.source}')
     layers = list_layers(spark, spec.source, spec.source_format)
+    if spec.source_format == "xml" and _is_file(spec):
+        # The layers of one document are its row tags; a tag that occurs nowhere gives no columns.
+        layers = {spec.source_layer: spec.source} if _load(spark, "xml", spec.source, options).columns else {}
     found = _find(spec.source_layer, layers)
     if found is None:
         raise SyncError(_missing_layer(spark, spec, layers, options))
@@ -60,6 +67,10 @@ def open_layer(spark: SparkSession, spec: LayerSpec) -> DataFrame:
         ) from error
 
 
+def _is_file(spec: LayerSpec) -> bool:
+    return spec.source.rstrip("/").endswith(ENDINGS[spec.source_format])
+
+
 def _opened(spec: LayerSpec, load) -> DataFrame:
     try:
         return load()
@@ -81,8 +92,6 @@ def list_layers(spark: SparkSession, source: str, source_format: str) -> dict[st
     """Layer name -> path of a dataset folder; a single file is its own layer."""
     endings = ENDINGS[source_format]
     source = source.rstrip("/")
-    if source.endswith(endings) and source_format == "xml":
-        return {}
     entries = files.names(spark, source)
     if source.endswith(endings):
         return {_stem(source.rsplit("/", 1)[-1], endings): source}
@@ -105,7 +114,12 @@ def _load(spark: SparkSession, source_format: str, path: str, options: Mapping[s
         document = spark.read.options(**options).schema(_COLLECTION).json(path, multiLine=True)
         return _feature_columns(document.select(F.explode("features").alias("feature")))
     if source_format == "geojsonseq":
-        return _feature_columns(spark.read.options(**options).text(path).select(F.from_json("value", _FEATURE).alias("feature")))
+        # A record may start with the separator of JSON sequences; blank lines are none.
+        line = F.btrim(F.col("value"), F.lit(" \t\r\x1e"))
+        lines = spark.read.options(**options).text(path).select(line.alias("line")).filter("line <> ''")
+        feature = F.from_json("line", _FEATURE)
+        lines = lines.select("line", F.when(F.get_json_object("line", "$.type") == "Feature", feature).alias("feature"))
+        return _feature_columns(lines.select("feature", F.when(F.col("feature").isNull(), F.col("line")).alias(UNREADABLE)))
     return spark.read.format(source_format).options(**options).load(path)
 
 
@@ -121,6 +135,7 @@ def _feature_columns(features: DataFrame) -> DataFrame:
         F.col("feature.id").alias("fid"),
         *[F.col("feature.properties")[name].alias(name) for name in columns if name != "fid"],
         F.col("feature.geometry").alias("geometry"),
+        *[F.col(name) for name in features.columns if name == UNREADABLE],
     )
 
 
@@ -136,12 +151,12 @@ def nearest_layer(spark: SparkSession, wanted: str, candidates: list[str]) -> tu
 
 def _missing_layer(spark: SparkSession, spec: LayerSpec, layers: Mapping[str, str], options: Mapping) -> str:
     unreadable = [n for n, path in layers.items() if not _readable(spark, spec.source_format, path, options)]
-    message = f'source_layer "{spec.source_layer}" of layer "{spec.name}" does not exist.'
+    message = f'Layer "{spec.name}" reads "{spec.source_layer}", which its dataset does not hold.'
     near = nearest_layer(spark, spec.source_layer, [n for n in layers if n not in unreadable])
     if near:
-        message += f' HINT: there is a layer named "{near[0]}".'
+        message += f' The closest name there is "{near[0]}".'
     if unreadable:
-        message += f" HINT: {len(unreadable)} layer(s) cannot be read."
+        message += f" Not readable: {', '.join(sorted(unreadable))}."
     return message
 
 
@@ -170,14 +185,17 @@ def with_geometry(df: DataFrame, how: Mapping[str, str], srid: int | None) -> Da
     """Build the geometry column from what the format provides.
 
     ``how`` names an ``encoding`` (``hex``, ``wkb``, ``ewkb``, ``geojson`` or
-    ``xy``), the column(s) it is read from, and optionally a ``name``.
+    ``xy``), the column(s) it is read from, and optionally a ``name``. A value that
+    is no geometry counts as one that does not fit, like any other.
     """
     encoding, name = how["encoding"], how.get("name", "geometry")
     if encoding == "xy":
-        x, y = F.col(how["x"]).cast("double"), F.col(how["y"]).cast("double")
-        built, used = G.geometry(G.point_wkb(x, y), srid), []
+        used = [how["x"], how["y"]]
+        x, y = (F.col(f"`{c}`").cast("string").try_cast("double") for c in used)
+        built, dropped = G.geometry(G.point_wkb(x, y), srid), []
+        bad = (F.col(f"`{used[0]}`").isNotNull() & x.isNull()) | (F.col(f"`{used[1]}`").isNotNull() & y.isNull())
     else:
-        used = [how.get("column", name)]
+        used = dropped = [how.get("column", name)]
         col = F.col(f"`{used[0]}`")
         builders = {
             "hex": lambda: G.geometry_from_hex(col, srid),
@@ -188,7 +206,19 @@ def with_geometry(df: DataFrame, how: Mapping[str, str], srid: int | None) -> Da
         if encoding not in builders:
             raise SyncError(f'Unknown geometry encoding "{encoding}"')
         built = builders[encoding]()
+        bad = col.isNotNull() & (F.length(F.btrim(col) if encoding in ("hex", "geojson") else col) > 0)
     if how.get("byte_order") == "mixed":
         big = F.when(F.hex(F.substring(built["wkb"], 1, 1)) == "00", built["wkb"])
         built = G.geometry(F.coalesce(G.little_endian(big), built["wkb"]), built["srid"])
-    return df.withColumn("_built", built).drop(*used).withColumnRenamed("_built", name)
+    shown = F.concat_ws(" ", *[_shown(df, c) for c in used])
+    df = df.withColumn("_built", built).withColumn("_built", F.when(G.is_whole(F.col("_built.wkb")), F.col("_built")))
+    if encoding != "xy":
+        bad = bad & F.col("_built").isNull()
+    earlier = [F.col(UNREADABLE)] if UNREADABLE in df.columns else []
+    df = df.withColumn(UNREADABLE, F.coalesce(*earlier, F.when(bad, shown)))
+    return df.drop(*dropped).withColumnRenamed("_built", name)
+
+
+def _shown(df: DataFrame, name: str) -> Column:
+    col = F.col(f"`{name}`")
+    return F.hex(col) if isinstance(df.schema[name].dataType, T.BinaryType) else col.cast("string")

@@ -25,8 +25,9 @@ def overwrite_partitions(
 ) -> int:
     """Rewrite only the partitions of ``path`` that hold changed rows.
 
-    ``target`` is read from ``path``, so the new contents are written to the
-    folder ``work`` first. Publishing is per partition, not all at once; use
+    ``target`` has to be read from the files of ``path`` as they are: the new
+    contents are written to the folder ``work`` first, and emptied partitions are
+    found by the files they are in. Publishing is per partition, not all at once; use
     a snapshot table where readers must never see a mixture. Returns the
     number of partitions touched.
     """
@@ -35,6 +36,11 @@ def overwrite_partitions(
     touched = spark.read.parquet(f"{work}/touched")
     partition_rows(target, changes, touched, keys, partition_by).write.parquet(f"{work}/rows")
     rows = spark.read.parquet(f"{work}/rows")
+    # A folder's name is not its value: NULL and special characters are written in another form.
+    folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder")
+    named = target.select(*[F.col(f"`{p}`") for p in partition_by], folder).distinct()
+    named.join(right_side(touched.select(*partition_by)), key_condition(partition_by), "left_semi").write.parquet(f"{work}/folders")
+    folders = spark.read.parquet(f"{work}/folders")
     # Small partitions become one file each; a large one is split over several tasks.
     (
         rows.hint("rebalance", *partition_by)
@@ -45,9 +51,9 @@ def overwrite_partitions(
     )
     filled = right_side(rows, partition_by).distinct()
     emptied = touched.join(filled, key_condition(partition_by), "left_anti")
-    for row in emptied.toLocalIterator():
-        folder = "/".join(f"{p}={row[p]}" for p in partition_by)
-        files.delete(spark, f"{path}/{folder}")
+    gone = folders.join(right_side(emptied.select(*partition_by)), key_condition(partition_by), "left_semi")
+    for row in gone.select("_folder").distinct().toLocalIterator():
+        files.delete_uri(spark, row["_folder"])
     return touched.count()
 
 

@@ -207,7 +207,9 @@ class SnapshotTable:
             raise ConflictError(f"Version {number} of {self.path} was published by someone else")
         return self.version(number)
 
-    def publish_changes(self, base: Version, changes: str, max_delta_share: float = MAX_DELTA_SHARE) -> Version:
+    def publish_changes(
+        self, base: Version, changes: str, max_delta_share: float = MAX_DELTA_SHARE, max_deltas: int = MAX_DELTAS
+    ) -> Version:
         """Make the result of a change set the next version.
 
         ``changes`` was written by :meth:`write_by_op` and compared with
@@ -216,7 +218,7 @@ class SnapshotTable:
         deltas = (*base.deltas, changes)
         if base.data is None or self._size(*deltas) > max_delta_share * self._size(base.data):
             return self._publish_whole(base, deltas, changes)
-        if len(deltas) > MAX_DELTAS:
+        if len(deltas) > max_deltas:
             # Many small ones become one, without touching the data below.
             change_sets = [self.read_ops(path, base) for path in deltas]
             deltas = (self.write_by_op(newest_changes(change_sets, base.primary_key)),)

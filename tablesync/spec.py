@@ -33,6 +33,13 @@ FALSE_WORDS = ("false", "no", "0", "n", "f")
 SETTING_TRIM = "'\"\r\n\t "
 BULK_DELETE_METHODS = ("delete", "truncate")
 
+NUMBERS = {
+    "source_srid": int,
+    "real_scale": int,
+    "max_deltas": int,
+    "max_delta_share": float,
+    "max_delete_fraction": float,
+}
 DUPLICATE_POLICIES = ("error", "latest", "any")
 KEY_NULL_POLICIES = ("safe", "not_in", "reject")
 
@@ -72,11 +79,12 @@ class LayerSpec:
     allow_bulk_filter: bool = False
     max_delete_fraction: float | None = None
     max_delta_share: float = 0.1
+    max_deltas: int = 16
 
     def __post_init__(self) -> None:
         for setting in ("source", "source_layer", "target_table_name", "target_table_schema"):
             if not getattr(self, setting):
-                raise SpecError(f'Layer "{self.name}" is missing the "{setting}" setting')
+                raise SpecError(f'Layer "{self.name}": {setting} is empty')
         _one_of("bulk delete method", self.bulk_delete_method, BULK_DELETE_METHODS)
         _one_of("duplicate key policy", self.on_duplicate_key, DUPLICATE_POLICIES)
         _one_of("key null policy", self.key_nulls, KEY_NULL_POLICIES)
@@ -97,7 +105,7 @@ class LayerSpec:
         }
         for setting, value in settings.items():
             if setting not in known or setting == "name":
-                raise SpecError(f'Unknown option "{setting}" in section "{name}"')
+                raise SpecError(f'Layer "{name}" has no setting called "{setting}"')
             if isinstance(value, str):
                 value = _setting_from_text(setting, value, known[setting].default)
             values[setting] = value
@@ -110,7 +118,7 @@ def parse_bool(setting: str, text: str) -> bool:
         return True
     if word in FALSE_WORDS:
         return False
-    raise SpecError(f"{setting} must be a boolean value (true,false,yes,no,1,0).")
+    raise SpecError(f"{setting}: {text!r} is neither a yes nor a no word")
 
 
 def _setting_from_text(setting: str, text: str, default: Any) -> Any:
@@ -122,8 +130,13 @@ def _setting_from_text(setting: str, text: str, default: Any) -> Any:
     if setting == "bulk_delete_method":
         word = text.strip(SETTING_TRIM).lower()
         if word not in BULK_DELETE_METHODS:
-            raise SpecError(f'Unknown bulk delete method: "{text}"')
+            raise SpecError(f"bulk_delete_method: {text!r} is none of {', '.join(BULK_DELETE_METHODS)}")
         return word
+    if setting in NUMBERS:
+        try:
+            return NUMBERS[setting](text.strip(SETTING_TRIM))
+        except ValueError as error:
+            raise SpecError(f"{setting}: {text!r} is no number of its kind") from error
     return text
 
 

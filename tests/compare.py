@@ -21,7 +21,7 @@ def connect(sf_dir):
 
 def _plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 9)
+        return "nan" if math.isnan(value) else round(value, 9)
     if isinstance(value, dt.datetime):
         return value.replace(tzinfo=None)
     return value

@@ -70,7 +70,20 @@ def test_the_newest_record_counts(spark, folder):
     assert log.status()["num_finished_jobs"] == 1
 
 
-def test_expiry_rewrites_the_log(spark, folder):
+def test_expiry_drops_days_without_listed_runs(spark, folder):
+    log = RunLog(spark, folder)
+    for day in (1, 2):
+        at = T0.replace(day=day)
+        log.append(id=f"done{day}", status=R.FINISHED, time_added=at, time_finished=at)
+    log.append(id="open", status=R.IN_PROCESS, time_added=T0.replace(day=2))
+    log.expire()
+    assert [d for d in log._days()] == ["20131002"]
+    log.append(id="open", status=R.FINISHED, time_added=T0.replace(day=2), time_finished=T0)
+    log.expire()
+    assert log._days() == [] and log.list().count() == 0
+
+
+def test_expiry_keeps_open_and_new_runs(spark, folder):
     log = RunLog(spark, folder)
     log.append(id="old", status=R.FINISHED, time_added=T0, time_finished=later(1))
     log.append(id="new", status=R.FINISHED, time_added=R.utc_now(), time_finished=R.utc_now())

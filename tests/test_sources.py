@@ -53,7 +53,7 @@ def test_table_in_a_database(spark, folder):
     spark.createDataFrame(ROWS, SCHEMA).write.mode("overwrite").option("path", f"{folder}/t").saveAsTable("geo.places")
     df = read_source(spark, layer("geo", "places", source_format="table"))
     assert df.count() == 2
-    with pytest.raises(SyncError, match='named "places"'):
+    with pytest.raises(SyncError, match='closest name there is "places"'):
         read_source(spark, layer("geo", "place", source_format="table"))
     with pytest.raises(SyncError, match="cannot be opened"):
         read_source(spark, layer("nowhere", "places", source_format="table"))
@@ -122,7 +122,7 @@ def test_missing_layer_hints(spark, folder):
     os.makedirs(f"{folder}/data/empty.parquet")
     with pytest.raises(SyncError) as caught:
         read_source(spark, layer(f"{folder}/data", "afrika"))
-    assert 'does not exist. HINT: there is a layer named "africa". HINT: 1 layer(s) cannot be read.' in str(caught.value)
+    assert 'which its dataset does not hold. The closest name there is "africa". Not readable: ' in str(caught.value)
     with pytest.raises(SyncError) as caught:
         read_source(spark, layer(f"{folder}/data", "something quite different"))
     assert "named" not in str(caught.value)

@@ -40,9 +40,10 @@ def test_mandatory_settings(missing):
 @pytest.mark.parametrize(
     "extra, message",
     [
-        ({"colour": "red"}, "Unknown option"),
-        ({"bulk_mode": "maybe"}, "boolean"),
-        ({"bulk_delete_method": "drop"}, "delete method"),
+        ({"colour": "red"}, "no setting called"),
+        ({"bulk_mode": "maybe"}, "yes nor a no"),
+        ({"bulk_delete_method": "drop"}, "none of delete"),
+        ({"real_scale": "six"}, "no number"),
         ({"on_duplicate_key": "latest"}, "order_by"),
         ({"key_nulls": "x"}, "null policy"),
     ],
@@ -77,7 +78,7 @@ def test_layers_are_listed_by_name(spark, folder):
         ('{"layerName": "a", "filter": 3}', "filter"),
         ('{"layerName": "a", "attributeSets": {}}', "list"),
         ('{"layerName": "a", "attributeSets": [1]}', "object"),
-        ('{"layerName": "a", "attributeSets": [{"x": 1}]}', "texts or null"),
+        ('{"layerName": "a", "attributeSets": [{"x": 1}]}', "no text"),
     ],
 )
 def test_bad_requests(document, message):

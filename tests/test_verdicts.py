@@ -1,0 +1,114 @@
+"""Cases that went wrong once."""
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tablesync import LayerSpec
+from tablesync.functions import geometry as G
+from tablesync.operators import casting as C
+from tablesync.operators import diff as D
+from tablesync.operators import predicates as P
+from tablesync.operators.columns import plan_columns
+from tablesync.sources.readers import read_source, with_geometry
+from tablesync.sources.sinks import overwrite_partitions
+from tablesync.spec import SyncError
+
+
+def layer(source, name, **settings):
+    return LayerSpec("l", source, name, "s", "t", **settings)
+
+
+@pytest.mark.parametrize("emptied", [None, "a:b", "a/b", "50%", "plain"])
+def test_emptied_partitions_go_whatever_their_name(spark, folder, emptied):
+    table = f"{folder}/table"
+    spark.createDataFrame([(1, emptied), (2, "F")], "id int, p string").write.partitionBy("p").parquet(table)
+    target = spark.read.schema("id int, p string").parquet(table)
+    staged = spark.createDataFrame([(1, "F")], "id int, p string")
+    D.changes_of(D.classify(target, staged, ["id"], null_safe=False)).write.parquet(f"{folder}/changes")
+    overwrite_partitions(table, target, spark.read.parquet(f"{folder}/changes"), ["id"], ["p"], f"{folder}/work")
+    rows = spark.read.schema("id int, p string").parquet(table).collect()
+    assert sorted(map(tuple, rows)) == [(1, "F"), (2, "F")]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_literal_that_does_not_fit_fails_a_removal(spark, ansi):
+    rows = spark.createDataFrame([(1,), (None,)], "c int")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="cannot be compared"):
+            P.flag_matches(rows, [{"c": "abc"}]).collect()
+        assert [r["_matched"] for r in P.flag_matches(rows, [{"c": None}]).orderBy("c").collect()] == [True, False]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+@pytest.mark.parametrize("n", [1, 201, 5000])
+def test_removals_do_not_move_the_target(spark, n):
+    """The only exchanges bring the criteria together."""
+    target = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    sets = [{"a": str(i)} if i % 2 else {"a": str(i), "b": "1"} for i in range(n)]
+    flagged = P.flag_matches(target, sets)
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
+    expected = sum(1 for i in range(min(n, 1000)) if i % 2 or i % 7 == 1)
+    assert flagged.filter("_matched").count() == expected
+
+
+def test_every_fault_of_attribute_sets_is_named():
+    with pytest.raises(ValueError, match="entry 0 is no object; entry 1 gives 'a' no text"):
+        P.parse_attribute_sets([1, {"a": 2}])
+
+
+def test_json_sequences_and_broken_lines(spark, folder):
+    good = '{"type":"Feature","properties":{"id":"%d"},"geometry":{"type":"Point","coordinates":[1,2]}}'
+    lines = ["\x1e" + good % 1, good % 2, "", '{"type":"Feature", broken', "{}"]
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(f"{folder}/data/places.geojsons")
+    spec = layer(f"{folder}/data", "places", source_format="geojsonseq", geometry_source={"encoding": "geojson"})
+    source = read_source(spark, spec)
+    target = T.StructType([T.StructField("id", T.IntegerType()), C.geometry_field("geometry", G.MERCATOR, 2)])
+    rows = C.cast_rows(source, target, plan_columns("l", source.schema, target, ["id"], []))
+    good_rows, bad = C.split_rows(rows)
+    assert sorted(r["id"] for r in good_rows.collect()) == [1, 2]
+    assert sorted(r[C.ERRORS][0]["value"] for r in bad.collect()) == ['{"type":"Feature", broken', "{}"]
+
+
+def geometry_errors(spark, rows, schema, how, srid=G.DEGREES):
+    source = with_geometry(spark.createDataFrame(rows, schema), how, srid)
+    target = T.StructType([T.StructField("id", T.IntegerType()), C.geometry_field("geometry", G.MERCATOR, 2)])
+    cast = C.cast_rows(source, target, plan_columns("l", source.schema, target, ["id"], []))
+    return {r["id"]: [e["value"] for e in r[C.ERRORS]] for r in cast.collect()}
+
+
+def test_values_that_are_no_geometry_are_set_aside(spark):
+    point = "0101000000000000000000F03F0000000000000040"
+    rows = [(1, point), (2, "zz"), (3, "0101000000"), (4, None), (5, ""), (6, "77" + point[2:])]
+    found = geometry_errors(spark, rows, "id int, g string", {"encoding": "hex", "column": "g", "name": "geometry"})
+    assert {i for i, e in found.items() if e} == {2, 3, 6}
+    found = geometry_errors(spark, [(1, "1", "2"), (2, "x", "2"), (3, None, "2")], "id int, x string, y string", {"encoding": "xy", "x": "x", "y": "y"})
+    assert {i for i, e in found.items() if e} == {2}
+    found = geometry_errors(spark, [(1, "{"), (2, '{"type":"Point","coordinates":[1,2]}'), (3, '{"type":"Blob"}')], "id int, g string", {"encoding": "geojson", "column": "g", "name": "geometry"})
+    assert {i for i, e in found.items() if e} == {1, 3}
+
+
+def test_latitudes_that_the_projection_does_not_reach(spark):
+    rows = [(n, 10.0, lat) for n, lat in enumerate((0.0, 85.0, 85.1, 90.0, 95.0, -90.0))]
+    found = geometry_errors(spark, rows, "id int, x double, y double", {"encoding": "xy", "x": "x", "y": "y"})
+    assert {i for i, e in found.items() if e} == {2, 3, 4, 5}
+
+
+def test_a_single_document_is_read_by_its_row_tag(spark, folder):
+    with open(f"{folder}/places.xml", "w", encoding="utf-8") as file:
+        file.write("<all><place id='1'><name>a</name></place><place id='2'><name>b</name></place></all>")
+    spec = layer(f"{folder}/places.xml", "place", source_format="xml")
+    assert sorted((r["id"], r["name"]) for r in read_source(spark, spec).collect()) == [(1, "a"), (2, "b")]
+    with pytest.raises(SyncError, match="does not hold"):
+        read_source(spark, layer(f"{folder}/places.xml", "street", source_format="xml"))
+
+
+def test_numeric_settings_become_numbers():
+    spec = LayerSpec.from_settings("a", {
+        "source": "s", "source_layer": "l", "target_table_schema": "t", "target_table_name": "n",
+        "max_delta_share": "0.2", "real_scale": "6", "source_srid": "4326", "max_deltas": "3", "max_delete_fraction": "0.5",
+    })
+    assert (spec.max_delta_share, spec.real_scale, spec.source_srid, spec.max_deltas, spec.max_delete_fraction) == (0.2, 6, 4326, 3, 0.5)
