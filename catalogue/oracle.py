@@ -96,6 +96,8 @@ ORACLE: dict[str, str] = {
           where not exists (select 1 from tgt_null t where {MAYBE_EQUAL})""",
     "sync_not_in_single_key": sql_with("src_null", "tgt_null")
     + "select * from src_null where k1 not in (select k1 from tgt_null where k1 is not null)",
+    "sync_not_in_null_trap": sql_with("src_null", "tgt_null")
+    + "select * from src_null where k1 not in (select k1 from tgt_null)",
     "sync_duplicate_keys": """
         select l_orderkey, l_linenumber, count(*) as n from lineitem
         group by l_orderkey, l_linenumber having count(*) > 1""",
@@ -106,7 +108,8 @@ ORACLE: dict[str, str] = {
     "sync_idempotent": sql_with("src") + "select 'same' as op, count(*) as n from src",
     "sync_apply_changes": sql_with("src", "tgt") + RESULT_FULL,
     "sync_labels_of_documents": """
-        select case when l.doc_id is null then 'insert' when d.doc_id is null then 'delete' else 'same' end as op,
+        select case when l.doc_id is null then 'insert' when d.doc_id is null then 'delete'
+                    when l.quality is distinct from d.n_chars % 2 then 'update' else 'same' end as op,
                count(*) as n
         from labels l full outer join documents d on l.doc_id = d.doc_id group by 1""",
     "list_columns": sql_with("src_tags", "tgt_tags")
@@ -124,7 +127,7 @@ ORACLE: dict[str, str] = {
     + """select id, 'user_txt' as column_name, user_txt as value from src_dirty where user_txt = 'n/a'
          union all select id, 'day_txt', day_txt from src_dirty where day_txt = 'n/a'""",
     "cast_empty_temporal": sql_with("src_dirty")
-    + "select id, cast(null as date) as day, false as bad from src_dirty where day_txt = ''",
+    + """select id, try_cast(nullif(day_txt, '') as date) as day, day_txt = 'n/a' as bad from src_dirty""",
     "cast_year_month_day": """
         select o_orderkey, cast(o_orderdate as date) as day,
                case when o_orderkey % 3 = 2 then date_trunc('second', o_orderdate)
@@ -239,7 +242,7 @@ ORACLE: dict[str, str] = {
                 (select count(*) from src_dirty) as num_pulled,
                 (select count(*) from good where id % 4 = 0) as num_created,
                 (select count(*) from good where id % 4 <> 0 and id % 9 = 0 and dbl is distinct from -1.0) as num_updated,
-                cast(0 as bigint) as num_deleted,
+                (select count(*) from src_dirty where id % 4 <> 0 and (user_txt = 'n/a' or day_txt = 'n/a')) as num_deleted,
                 (select count(*) from src_dirty) - (select count(*) from good) as num_ignored""",
     "pull_filtered_published": sql_with("src", "tgt") + RESULT_FILTERED,
     "pull_on_change_sets_published": sql_with("src", "tgt") + RESULT_FULL,
@@ -256,10 +259,26 @@ ORACLE: dict[str, str] = {
                  case when op = 'delete' then old_odate else new_odate end as odate, note, op
           from ({CLASSIFIED}) where op <> 'same'""",
     "partitions_overwritten": sql_with("src", "tgt")
-    + """, part_src as (select id, cust, price, status from src where status in ('F', 'O'))
-         select s.id, s.cust, s.price, t.note, s.status from part_src s left join tgt t on t.id = s.id
+    + """select s.id, s.cust, s.price, t.note, s.status from src s left join tgt t on t.id = s.id
          union all
          select t.id, t.cust, t.price, t.note, t.status from tgt t
-         where not exists (select 1 from part_src s where s.id = t.id)""",
+         where not exists (select 1 from src s where s.id = t.id)""",
+    "partitions_null_and_escaped": sql_with("src", "tgt")
+    + "select s.id, t.note, 'z' as part from src s left join tgt t on t.id = s.id",
+    "geom_bad_values_quarantined": sql_with("pts")
+    + "select id, id % 10 = 0 or y + 10 > 85.06 as bad from pts",
+    "geojson_lines_quarantined": sql_with("pts")
+    + """select id, cast(x as double) as x, cast(y as double) as y,
+                (select count(*) from pts where id % 10 = 0) as ignored
+         from pts where id % 10 <> 0""",
+    "source_xml_published": sql_with("pts") + "select id, cast(srid as integer) as code from pts",
+    "remove_bad_literal": sql_with("src")
+    + "select id, cust, status, price, odate, cast(1 as bigint) as failed from src",
+    "stream_layer_filter": sql_with("src", "tgt")
+    + """select s.id, s.cust, s.status, s.price, s.odate, t.note
+         from src s left join tgt t on t.id = s.id where s.status = 'F'
+         union all
+         select t.id, t.cust, t.status, t.price, t.odate, t.note from tgt t
+         where not exists (select 1 from src s where s.id = t.id and s.status = 'F')""",
     "stream_incremental": sql_with("src", "tgt") + RESULT_NO_DELETE,
 }

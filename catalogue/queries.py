@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalogue.fixtures import table, view
-from tablesync import LayerSpec, SnapshotTable, TableSync
+from tablesync import LayerSpec, SnapshotTable, SyncError, TableSync
 from tablesync import runlog as R
 from tablesync.functions import geometry as G
 from tablesync.functions import text as X
@@ -176,6 +176,12 @@ def sync_not_in_single_key(spark, sf_dir):
     return D.missing_rows_not_in(view(spark, sf_dir, "src_null"), target, ["k1"])
 
 
+@query
+def sync_not_in_null_trap(spark, sf_dir):
+    """With a NULL among the target's keys no key is surely missing there: no rows."""
+    return D.missing_rows_not_in(view(spark, sf_dir, "src_null"), view(spark, sf_dir, "tgt_null"), ["k1"])
+
+
 @query
 def sync_duplicate_keys(spark, sf_dir):
     return K.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -203,9 +209,9 @@ def sync_apply_changes(spark, sf_dir):
 
 @query
 def sync_labels_of_documents(spark, sf_dir):
-    """Documents as source, their labels as target: partial cover, no common values."""
+    """Documents as source, their labels as target: partial cover, one common value."""
     target = table(spark, sf_dir, "labels")
-    staged = table(spark, sf_dir, "documents").select("doc_id")
+    staged = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("quality"))
     return op_counts(D.classify(target, staged, ["doc_id"], deletion=True))
 
 
@@ -255,7 +261,7 @@ def cast_quarantine(spark, sf_dir):
 def cast_empty_temporal(spark, sf_dir):
     source = view(spark, sf_dir, "src_dirty")
     day, bad = C.cast_value(F.col("day_txt"), T.StringType(), DIRTY_TARGET["day_txt"])
-    return source.filter("day_txt = ''").select("id", day.alias("day"), bad.alias("bad"))
+    return source.select("id", day.alias("day"), bad.alias("bad"))
 
 
 @query
@@ -499,6 +505,27 @@ def points(spark, sf_dir) -> DataFrame:
     return pts.withColumn("geom", G.geometry(G.point_wkb("x", "y"), F.col("srid")))
 
 
+@query
+def geom_bad_values_quarantined(spark, sf_dir):
+    """Points by text coordinates; those without numbers or too far north for the target are set aside."""
+    pts = view(spark, sf_dir, "pts").select(
+        "id", F.when(F.col("id") % 10 == 0, "n/a").otherwise(F.col("x").cast("string")).alias("x"),
+        (F.col("y").cast("double") + 10).cast("string").alias("y"), F.col("srid").alias("code"),
+    )
+    root = work_folder(spark)
+    pts.write.parquet(f"{root}/source/places.parquet")
+    target = T.StructType([T.StructField("id", T.LongType()), C.geometry_field("geometry", G.MERCATOR, 2)])
+    stored = SnapshotTable.create(spark, f"{root}/tables/geo/places", target, ["id"])
+    spec = LayerSpec(
+        "places", f"{root}/source", "places", "geo", "places", ignore_failures=True,
+        geometry_source={"encoding": "xy", "x": "x", "y": "y"}, source_srid=G.DEGREES,
+    )
+    sync = TableSync(spark, f"{root}/tables", [spec])
+    result = sync.pull("places")
+    bad = sync.quarantine(spec, result.id).select("id", F.lit(True).alias("bad"))
+    return stored.read().select("id", F.lit(False).alias("bad")).union(bad)
+
+
 @query
 def geom_srid_plan(spark, sf_dir):
     """Reference system and bytes after each kind of target column."""
@@ -515,13 +542,17 @@ def geom_srid_plan(spark, sf_dir):
 
 @query
 def geom_reproject_points(spark, sf_dir):
-    x, y = F.col("x"), F.col("y")
-    return points(spark, sf_dir).select(
+    """Coordinates in the bytes after moving points to the other system and back."""
+    there = G.transform(G.geometry(F.col("geom.wkb"), G.DEGREES), G.MERCATOR)
+    moved = points(spark, sf_dir).select("id", there.alias("there"))
+    moved = moved.select("id", "there", G.transform(F.col("there"), G.DEGREES).alias("back"))
+    there, back = G.point_coordinates(F.col("there.wkb")), G.point_coordinates(F.col("back.wkb"))
+    return moved.select(
         "id",
-        F.round(G.mercator_x(x), 3).alias("mx"),
-        F.round(G.mercator_y(y), 3).alias("my"),
-        F.round(G.degrees_lat(G.mercator_y(y)), 6).alias("lat"),
-        F.round(G.degrees_lon(G.mercator_x(x)), 6).alias("lon"),
+        F.round(there[0], 3).alias("mx"),
+        F.round(there[1], 3).alias("my"),
+        F.round(back[1], 6).alias("lat"),
+        F.round(back[0], 6).alias("lon"),
     )
 
 
@@ -608,7 +639,12 @@ def pull_published_bucketed(spark, sf_dir):
 @query
 def pull_counters(spark, sf_dir):
     """Counters of a pull that ignores rows it cannot cast."""
-    target = cast_to(view(spark, sf_dir, "src_dirty"), DIRTY_TARGET, "id")[0].filter("id % 4 <> 0")
+    dirty = view(spark, sf_dir, "src_dirty")
+    target = cast_to(dirty, DIRTY_TARGET, "id")[0].filter("id % 4 <> 0")
+    # Old rows of source rows that are set aside now are not in the source any more.
+    old = dirty.filter("id % 4 <> 0 and (user_txt = 'n/a' or day_txt = 'n/a')")
+    old = old.select("id", F.lit(None).cast("long").alias("user_txt"), F.lit(None).cast("date").alias("day_txt"), "kind", "dbl")
+    target = target.select(old.columns).union(old)
     target = target.withColumn("dbl", F.when(F.col("id") % 9 == 0, -F.lit(1.0)).otherwise(F.col("dbl")))
     sync, spec, _ = published(
         spark, view(spark, sf_dir, "src_dirty"), target, ["id"], ignore_failures=True, allow_feature_deletion=True
@@ -679,6 +715,38 @@ def source_geojson_published(spark, sf_dir):
     )
 
 
+@query
+def geojson_lines_quarantined(spark, sf_dir):
+    """Records with the separator of JSON sequences are read, broken ones set aside."""
+    root = work_folder(spark)
+    point = F.format_string('{"type":"Point","coordinates":[%s,%s]}', F.col("x").cast("string"), F.col("y").cast("string"))
+    whole = F.format_string('{"type":"Feature","properties":{"id":"%s"},"geometry":%s}', F.col("id").cast("string"), point)
+    line = F.when(F.col("id") % 10 == 0, F.substring(whole, 1, 40)).otherwise(F.concat(F.lit("\x1e"), whole))
+    view(spark, sf_dir, "pts").select(line.alias("value")).write.text(f"{root}/source/places.geojsons")
+    target = T.StructType([T.StructField("id", T.LongType()), C.geometry_field("geometry")])
+    stored = SnapshotTable.create(spark, f"{root}/tables/geo/places", target, ["id"])
+    spec = LayerSpec(
+        "places", f"{root}/source", "places", "geo", "places", source_format="geojsonseq",
+        geometry_source={"encoding": "geojson"}, ignore_failures=True,
+    )
+    result = TableSync(spark, f"{root}/tables", [spec]).pull("places")
+    at = G.point_coordinates(F.col("geometry.wkb"))
+    return stored.read().select("id", at[0].alias("x"), at[1].alias("y"), F.lit(result.num_ignored).cast("long").alias("ignored"))
+
+
+@query
+def source_xml_published(spark, sf_dir):
+    """Row elements of one XML document; identifiers are attributes."""
+    root = work_folder(spark)
+    rows = view(spark, sf_dir, "pts").select(F.col("id").alias("_id"), F.col("srid").alias("code"))
+    rows.coalesce(1).write.option("rowTag", "place").option("rootTag", "places").xml(f"{root}/source.xml")
+    target = T.StructType([T.StructField("id", T.LongType()), T.StructField("code", T.IntegerType())])
+    stored = SnapshotTable.create(spark, f"{root}/tables/geo/places", target, ["id"])
+    spec = LayerSpec("places", f"{root}/source.xml", "place", "geo", "places", source_format="xml")
+    TableSync(spark, f"{root}/tables", [spec]).pull("places")
+    return stored.read()
+
+
 @query
 def bulk_published(spark, sf_dir):
     sync, spec, stored = published(
@@ -714,8 +782,7 @@ def partitions_overwritten(spark, sf_dir):
     keep = ["id", "cust", "price", "note", "status"]
     view(spark, sf_dir, "tgt").select(*keep).write.partitionBy("status").parquet(f"{folder}/table")
     target = spark.read.parquet(f"{folder}/table")
-    source = view(spark, sf_dir, "src").filter("status in ('F', 'O')")
-    staged = mapped(source, target, ["id"])
+    staged = mapped(view(spark, sf_dir, "src"), target, ["id"])
     changes = D.changes_of(D.classify(target, staged, ["id"], null_safe=False))
     changes.write.parquet(f"{folder}/changes")
     stored = spark.read.parquet(f"{folder}/changes")
@@ -723,6 +790,50 @@ def partitions_overwritten(spark, sf_dir):
     return spark.read.parquet(f"{folder}/table").select(*keep)
 
 
+@query
+def partitions_null_and_escaped(spark, sf_dir):
+    """Partitions whose folders are not named by their values are emptied by the change set."""
+    folder = work_folder(spark)
+    part = F.element_at(F.array(F.lit(None).cast("string"), F.lit("a:b"), F.lit("a/b"), F.lit("50%"), F.lit("z")), (F.col("id") % 5 + 1).cast("int"))
+    view(spark, sf_dir, "tgt").select("id", "note", part.alias("part")).write.partitionBy("part").parquet(f"{folder}/table")
+    schema = "id bigint, note string, part string"
+    target = spark.read.schema(schema).parquet(f"{folder}/table")
+    staged = view(spark, sf_dir, "src").select("id", F.lit("z").alias("part"))
+    D.changes_of(D.classify(target, staged, ["id"], deletion=True, null_safe=False)).write.parquet(f"{folder}/changes")
+    stored = spark.read.parquet(f"{folder}/changes")
+    overwrite_partitions(f"{folder}/table", target, stored, ["id"], ["part"], f"{folder}/work")
+    return spark.read.schema(schema).parquet(f"{folder}/table")
+
+
+@query
+def remove_bad_literal(spark, sf_dir):
+    """A text that its column cannot hold fails the removal, also where casts are lenient; the target stays."""
+    source = view(spark, sf_dir, "src").drop("src_only")
+    sync, spec, stored = published(spark, source, source, ["id"], allow_feature_deletion=True)
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        sync.remove_by_attributes(spec.name, [{"cust": "abc"}])
+    except SyncError:
+        pass
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    failed = sync.status()["num_failed_jobs"]
+    return stored.read().withColumn("failed", F.lit(failed).cast("long"))
+
+
+@query
+def stream_layer_filter(spark, sf_dir):
+    """The layer's own filter holds for rows that arrive in a stream."""
+    source, target = view(spark, sf_dir, "src"), view(spark, sf_dir, "tgt")
+    sync, spec, stored = published(spark, source, target, ["id"], filter="status = 'F'")
+    arriving = f"{work_folder(spark)}/arriving"
+    source.write.parquet(arriving)
+    rows = spark.readStream.schema(source.schema).parquet(arriving)
+    incremental_pull(sync, spec.name, rows, f"{work_folder(spark)}/progress").awaitTermination()
+    return stored.read()
+
+
 @query
 def stream_incremental(spark, sf_dir):
     """Source files upserted batch by batch; nothing is deleted."""

@@ -133,22 +133,6 @@ def set_srid(geom: Column, value: int) -> Column:
     return geometry(geom["wkb"], value)
 
 
-def mercator_x(lon: Column) -> Column:
-    return F.radians(lon) * EARTH_RADIUS
-
-
-def mercator_y(lat: Column) -> Column:
-    return F.log(F.tan(F.lit(np.pi / 4) + F.radians(lat) / 2)) * EARTH_RADIUS
-
-
-def degrees_lon(x: Column) -> Column:
-    return F.degrees(x / EARTH_RADIUS)
-
-
-def degrees_lat(y: Column) -> Column:
-    return F.degrees(F.atan(F.exp(y / EARTH_RADIUS)) * 2 - F.lit(np.pi / 2))
-
-
 def _to_mercator(coords: np.ndarray) -> np.ndarray:
     out = coords.copy()
     out[:, 0] = np.radians(coords[:, 0]) * EARTH_RADIUS
@@ -289,6 +273,12 @@ def point_wkb(x: pd.Series, y: pd.Series) -> pd.Series:
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def point_coordinates(wkb: pd.Series) -> pd.Series:
+    """The coordinates in a plain point's bytes; NULL for anything else."""
+    return wkb.map(lambda data: list(struct.unpack("<2d", data[5:21])) if _is_plain_point(data) else None)
+
+
 @F.pandas_udf(T.BinaryType())
 def geojson_wkb(text: pd.Series) -> pd.Series:
     """Bytes of a GeoJSON geometry object given as text; NULL if it is none."""
