@@ -245,6 +245,16 @@ ORACLE: dict[str, str] = {
                 (select count(*) from src_dirty where id % 4 <> 0 and (user_txt = 'n/a' or day_txt = 'n/a')) as num_deleted,
                 (select count(*) from src_dirty) - (select count(*) from good) as num_ignored""",
     "pull_filtered_published": sql_with("src", "tgt") + RESULT_FILTERED,
+    "pull_override_published": sql_with("src_segment", "tgt")
+    + """select t.id, t.cust, case when s.cust is null then t.status else s.status end as status,
+                t.price, t.odate, t.note
+         from tgt t left join src_segment s on t.cust = s.cust""",
+    "pull_filter_ci_published": sql_with("src", "tgt")
+    + """, f as (select * from src where lower(src_only) in ('1-urgent', '2-high') and status ilike 'f%' and price > 50000)
+         select s.id, s.cust, s.status, s.price, s.odate, t.note from f s left join tgt t on t.id = s.id
+         union all
+         select t.id, t.cust, t.status, t.price, t.odate, t.note from tgt t
+         where not exists (select 1 from f s where s.id = t.id)""",
     "pull_on_change_sets_published": sql_with("src", "tgt") + RESULT_FULL,
     "source_csv_published": sql_with("src", "tgt") + RESULT_FULL,
     "source_geojson_published": sql_with("pts")

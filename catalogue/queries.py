@@ -655,6 +655,29 @@ def pull_counters(spark, sf_dir):
     )
 
 
+@query
+def pull_override_published(spark, sf_dir):
+    """A pull by another key than the table's own; the table stays bucketed."""
+    target = view(spark, sf_dir, "tgt")
+    source = view(spark, sf_dir, "src_segment").join(target.select("cust").distinct(), "cust", "left_semi")
+    sync, spec, stored = published(spark, source, target, ["id"], buckets=4, primary_key_columns=("cust",))
+    sync.pull(spec.name)
+    return stored.read()
+
+
+@query
+def pull_filter_ci_published(spark, sf_dir):
+    """Comparisons of a request that ignore case."""
+    sync, spec, stored = published(spark, view(spark, sf_dir, "src"), view(spark, sf_dir, "tgt"), ["id"], allow_feature_deletion=True)
+    conditions = [
+        {"column": "src_only", "operator": "in", "value": ["1-urgent", "2-HIGH"]},
+        {"column": "status", "operator": "like", "value": "f%"},
+        {"column": "price", "operator": ">", "value": 50000},
+    ]
+    sync.pull(spec.name, conditions=conditions)
+    return stored.read()
+
+
 @query
 def pull_filtered_published(spark, sf_dir):
     sync, spec, stored = published(

@@ -6,10 +6,11 @@ import json
 from collections import defaultdict
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
+from typing import Any
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from tablesync.operators.keys import key_condition, right_side
 from tablesync.spec import SyncError
 
 AttributeSet = Mapping[str, str | None]
+Condition = Mapping[str, Any]
 
 # --- filter text -------------------------------------------------------------------
 
@@ -60,6 +62,39 @@ def like_ci(col: Column, pattern: str) -> Column:
     return col.ilike(pattern)
 
 
+def condition_column(schema: T.StructType, condition: Condition, layer_name: str) -> Column:
+    """One comparison ``{column, operator, value}``; texts are compared without regard to case."""
+    name, operator = condition.get("column"), str(condition.get("operator", "=")).lower()
+    if name not in schema.names:
+        raise SyncError(f'Layer "{layer_name}" cannot compare "{name}", which is no source column')
+    col, value = F.col(f"`{name}`"), condition.get("value")
+    text = isinstance(schema[name].dataType, T.StringType)
+    known = {
+        "=": lambda: eq_ci(col, value) if text else col == value,
+        "<>": lambda: ne_ci(col, value) if text else col != value,
+        "<": lambda: col < value,
+        "<=": lambda: col <= value,
+        ">": lambda: col > value,
+        ">=": lambda: col >= value,
+        "in": lambda: in_ci(col, value) if text else col.isin(list(value)),
+        "between": lambda: col.between(*value),
+        "like": lambda: like_ci(col, value),
+        "ilike": lambda: like_ci(col, value),
+        "is null": col.isNull,
+        "is not null": col.isNotNull,
+    }
+    if operator not in known:
+        raise SyncError(f'Layer "{layer_name}" has no comparison "{operator}"; known: {", ".join(known)}')
+    try:
+        return known[operator]()
+    except (TypeError, AttributeError, PySparkException) as error:
+        raise SyncError(f'Layer "{layer_name}" cannot use {value!r} with "{operator}"') from error
+
+
+def all_conditions(schema: T.StructType, conditions: Sequence[Condition], layer_name: str) -> Column:
+    return reduce(and_, (condition_column(schema, c, layer_name) for c in conditions), F.lit(True))
+
+
 # --- attribute sets --------------------------------------------------------------------
 
 

@@ -27,6 +27,8 @@ QUARANTINED = "_quarantined"
 
 # Keys of a request document.
 LAYER_KEY, FILTER_KEY, SETS_KEY = "layerName", "filter", "attributeSets"
+# Key of this library: comparisons that ignore case, next to the filter text.
+CONDITIONS_KEY = "conditions"
 
 # Source formats that later steps may read again instead of a staged copy.
 IN_PLACE = ("parquet", "orc")
@@ -80,20 +82,26 @@ class TableSync:
     def pull_request(self, document: str) -> SyncResult:
         """A pull from its JSON document."""
         request = parse_request(document)
-        return self.pull(request[LAYER_KEY], request.get(FILTER_KEY))
+        return self.pull(request[LAYER_KEY], request.get(FILTER_KEY), request.get(CONDITIONS_KEY, ()))
 
     def remove_request(self, document: str) -> SyncResult:
         request = parse_request(document)
         return self.remove_by_attributes(request[LAYER_KEY], request.get(SETS_KEY, []))
 
-    def pull(self, layer_name: str, request_filter: str | None = None) -> SyncResult:
-        """Make the target match the layer's source, or its rows that satisfy the filters."""
+    def pull(
+        self, layer_name: str, request_filter: str | None = None, conditions: Sequence[P.Condition] = ()
+    ) -> SyncResult:
+        """Make the target match the layer's source, or its rows that satisfy the filters.
+
+        ``conditions`` are comparisons of a column, such as
+        ``{"column": "name", "operator": "like", "value": "a%"}``; on texts they ignore case.
+        """
         spec = self.layer(layer_name)
+        shown = (request_filter or "").strip(P.BLANKS)
+        if conditions:
+            shown = P.compose_filter(shown, json.dumps(list(conditions)))
         return self._logged(
-            R.PULL,
-            spec,
-            lambda run: self._pull(run, spec, request_filter),
-            filter=(request_filter or "").strip(P.BLANKS),
+            R.PULL, spec, lambda run: self._pull(run, spec, request_filter, conditions), filter=shown
         )
 
     def pull_rows(self, layer_name: str, rows: DataFrame) -> SyncResult:
@@ -103,7 +111,7 @@ class TableSync:
             rows = with_geometry(rows, spec.geometry_source, spec.source_srid)
         source = lower_names(rows, spec.fid_column)
         condition = P.compose_filter(spec.filter, None)
-        return self._logged(R.PULL, spec, lambda run: self._sync(run, spec, source, condition))
+        return self._logged(R.PULL, spec, lambda run: self._sync(run, spec, source, condition, spec.conditions))
 
     def remove_by_attributes(
         self, layer_name: str, attribute_sets: Sequence | str | DataFrame
@@ -146,26 +154,37 @@ class TableSync:
         self.log.expire()
         return replace(result, id=run_id, type=kind, layer_name=spec.name)
 
-    def _pull(self, run: _Run, spec: LayerSpec, request_filter: str | None) -> SyncResult:
+    def _pull(
+        self, run: _Run, spec: LayerSpec, request_filter: str | None, conditions: Sequence[P.Condition]
+    ) -> SyncResult:
         condition = P.compose_filter(spec.filter, request_filter)
-        if spec.bulk_mode and (request_filter or "").strip(P.BLANKS) and not spec.allow_bulk_filter:
+        asked = conditions or (request_filter or "").strip(P.BLANKS)
+        if spec.bulk_mode and asked and not spec.allow_bulk_filter:
             raise SyncError(f'Layer "{spec.name}" is refreshed in bulk; a filter would drop all other rows')
         source = read_source(self.spark, spec)
-        in_place = spec.source_format in IN_PLACE and not condition and not spec.geometry_source
-        return self._sync(run, spec, source, condition, in_place)
+        conditions = (*spec.conditions, *conditions)
+        in_place = spec.source_format in IN_PLACE and not condition and not conditions and not spec.geometry_source
+        return self._sync(run, spec, source, condition, conditions, in_place)
 
     def _sync(
-        self, run: _Run, spec: LayerSpec, source: DataFrame, condition: str = "", in_place: bool = False
+        self,
+        run: _Run,
+        spec: LayerSpec,
+        source: DataFrame,
+        condition: str,
+        conditions: Sequence[P.Condition],
+        in_place: bool = False,
     ) -> SyncResult:
         table = self.target(spec)
         base = table.current()
         source = P.apply_filter(source, condition, spec.name)
+        source = source.filter(P.all_conditions(source.schema, conditions, spec.name))
         plan = plan_columns(spec.name, source.schema, base.schema, base.primary_key, spec.primary_key_columns)
         stage = self._stage(run, spec, source, base, plan, in_place)
         counts = dict(num_pulled=stage.pulled, num_ignored=stage.ignored)
         if spec.bulk_mode:
             return self._refresh(spec, table, base, stage.rows, plan, counts)
-        deletion = spec.allow_feature_deletion and not condition
+        deletion = spec.allow_feature_deletion and not condition and not conditions
         return self._merge(spec, table, base, stage, plan, deletion, counts)
 
     # --- staging
@@ -242,11 +261,8 @@ class TableSync:
         deletion: bool,
         counts: dict[str, int],
     ) -> SyncResult:
-        # A unique key lets unchanged rows stay out of the change set; otherwise
-        # rows sharing a key differ, and every row is written with its label.
-        unique = plan.keys_from_table
         classified = self._classified(spec, table, base, stage, plan, deletion)
-        changes_path = table.write_by_op(D.changes_of(classified) if unique else classified)
+        changes_path = table.write_by_op(D.changes_of(classified))
         changes = table.read_ops(changes_path, base)
         found, broken = A.counters(changes, _broken(base.schema))
         counts |= dict(num_created=found["insert"], num_updated=found["update"], num_deleted=found["delete"])
@@ -258,10 +274,13 @@ class TableSync:
         limit = spec.max_delete_fraction
         if limit is not None and found["delete"] > limit * table.read(base).count():
             raise SyncError(f'Layer "{spec.name}" would delete {found["delete"]} rows, more than its limit')
-        if unique:
+        # Rows changed by another key still carry the table's own, unless the source writes or lacks it.
+        keeps_key = base.primary_key and not set(base.primary_key) & set(plan.mapped) and not found["insert"]
+        if plan.keys_from_table or keeps_key:
             return _finished(table.publish_changes(base, changes_path, spec.max_delta_share, spec.max_deltas), counts)
-        self._check_primary_key(spec, base, plan, A.result_rows(changes))
-        return _finished(table.publish(base, changes_path, changes_path, by_op=True), counts)
+        rows = A.result_rows(classified)
+        self._check_primary_key(spec, base, plan, rows)
+        return _finished(table.publish(base, table.write_rows(rows, base), changes_path), counts)
 
     def _check_primary_key(self, spec: LayerSpec, base: Version, plan: ColumnPlan, rows: DataFrame) -> None:
         """A pull by another key must leave the table's own key unique."""
@@ -381,6 +400,8 @@ def parse_request(document: str) -> dict:
         if not isinstance(request[FILTER_KEY], str):
             raise ValueError(f"{FILTER_KEY} has to be a text")
         request[FILTER_KEY] = request[FILTER_KEY].strip(P.BLANKS)
+    if not isinstance(request.get(CONDITIONS_KEY, []), list):
+        raise ValueError(f"{CONDITIONS_KEY} is no list")
     if SETS_KEY in request:
         request[SETS_KEY] = P.parse_attribute_sets(request[SETS_KEY])
     return request

@@ -4,12 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalogue.queries import published
 from tablesync import LayerSpec
 from tablesync.functions import geometry as G
 from tablesync.operators import casting as C
 from tablesync.operators import diff as D
 from tablesync.operators import predicates as P
 from tablesync.operators.columns import plan_columns
+from tablesync.sources import files
 from tablesync.sources.readers import read_source, with_geometry
 from tablesync.sources.sinks import overwrite_partitions
 from tablesync.spec import SyncError
@@ -112,3 +114,34 @@ def test_numeric_settings_become_numbers():
         "max_delta_share": "0.2", "real_scale": "6", "source_srid": "4326", "max_deltas": "3", "max_delete_fraction": "0.5",
     })
     assert (spec.max_delta_share, spec.real_scale, spec.source_srid, spec.max_deltas, spec.max_delete_fraction) == (0.2, 6, 4326, 3, 0.5)
+
+
+def test_an_override_pull_writes_changes_only(spark, folder):
+    rows = [(i, f"c{i % 5}", "old") for i in range(100)]
+    target = spark.createDataFrame(rows, "id int, cust string, status string")
+    source = spark.createDataFrame([("c1", "new"), ("c2", "old")], "cust string, status string")
+    sync, spec, stored = published(spark, source, target, ["id"], buckets=4, primary_key_columns=("cust",), max_delta_share=1e9)
+    before = stored.current()
+    assert sync.pull(spec.name).num_updated == 20
+    now = stored.current()
+    assert (now.data, now.buckets) == (before.data, 4) and stored.read_ops(now.deltas[-1], now).count() == 20
+    folders = files.names(spark, f"{stored.path}/data")
+    assert sync.pull(spec.name).num_updated == 0
+    assert files.names(spark, f"{stored.path}/data") == folders and stored.current().number == now.number
+
+
+def test_conditions_ignore_case_and_disable_deletion(spark):
+    rows = [(1, "Ann"), (2, "BOB"), (3, None)]
+    table = spark.createDataFrame(rows, "id int, name string")
+    found = lambda *c: [r["id"] for r in table.filter(P.all_conditions(table.schema, c, "l")).orderBy("id").collect()]
+    assert found({"column": "name", "value": "ann"}) == [1]
+    assert found({"column": "name", "operator": "<>", "value": "ann"}) == [2]
+    assert found({"column": "name", "operator": "LIKE", "value": "b%"}, {"column": "id", "operator": "between", "value": [1, 2]}) == [2]
+    assert found({"column": "name", "operator": "is null"}) == [3] and found() == [1, 2, 3]
+    for bad in ({"column": "x"}, {"column": "id", "operator": "near"}, {"column": "name", "operator": "in"}):
+        with pytest.raises(SyncError):
+            found(bad)
+    sync, spec, stored = published(spark, table.filter("id = 1"), table.filter("id < 3"), ["id"], allow_feature_deletion=True)
+    assert sync.pull(spec.name, conditions=[{"column": "name", "value": "ANN"}]).num_deleted == 0
+    assert sync.pull_request('{"layerName": "layer", "conditions": [{"column": "name", "value": "ann"}]}').num_pulled == 1
+    assert sync.pull(spec.name).num_deleted == 1
