@@ -143,7 +143,7 @@ def test_search_equals_all_products(spark, monkeypatch):
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(300)]
     rows += [(400 + i, rows[5][1]) for i in range(40)]
     rows += [(500, None), (550, [math.nan] * 6), (600, [math.inf] * 6), (None, rows[1][1]), (650, [1.0, None]), (700, [0.5, 0.5]), (750, [1.0, 2.0]), (800, [])]
-    rows += [(850, [3e7, -2e7, 1e7]), (851, [1e7, 1.0, 2.0]), (852, [3e7, 5.5, 0.25])]
+    rows += [(850, [3e6, -2e6, 1e6]), (851, [1e6, 1.0, 2.0]), (852, [3e6, 5.5, 0.25])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     monkeypatch.setattr(cover_tree, "BLOCK", 64)
     monkeypatch.setattr(cover_tree, "LEAF", 4)
