@@ -30,6 +30,8 @@ ENDINGS = {
     "geojson": (".geojson",),
     "geojsonseq": (".geojsonl", ".geojsons"),
 }
+# What a database source needs to be read by several tasks.
+SPLIT_OPTIONS = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"}
 DEFAULT_OPTIONS = {"csv": {"header": "true"}, "xml": {"attributePrefix": "", "rowTag": "row"}}
 
 
@@ -48,6 +50,11 @@ def open_layer(spark: SparkSession, spec: LayerSpec) -> DataFrame:
     if spec.source_format == "table":
         return _open_table(spark, spec)
     if spec.source_format not in FILE_FORMATS:
+        if spec.source_format == "jdbc" and options.get("numPartitions") != "1" and not SPLIT_OPTIONS <= options.keys():
+            raise SyncError(
+                f'Layer "{spec.name}" would read its database table in one task: set {", ".join(sorted(SPLIT_OPTIONS))},'
+                " or numPartitions alone to 1 if that is meant"
+            )
         reader = spark.read.format(spec.source_format).options(url=spec.source, dbtable=spec.source_layer, **options)
         return _opened(spec, reader.load)
     if not files.exists(spark, spec.source):
@@ -55,12 +62,12 @@ def open_layer(spark: SparkSession, spec: LayerSpec) -> DataFrame:
     layers = list_layers(spark, spec.source, spec.source_format)
     if spec.source_format == "xml" and _is_file(spec):
         # The layers of one document are its row tags; a tag that occurs nowhere gives no columns.
-        layers = {spec.source_layer: spec.source} if _load(spark, "xml", spec.source, options).columns else {}
+        layers = {spec.source_layer: spec.source} if _load(spark, "xml", spec.source, options, spec.source_schema).columns else {}
     found = _find(spec.source_layer, layers)
     if found is None:
         raise SyncError(_missing_layer(spark, spec, layers, options))
     try:
-        return _load(spark, spec.source_format, layers[found], options)
+        return _load(spark, spec.source_format, layers[found], options, spec.source_schema)
     except PySparkException as error:
         raise SyncError(
             f'source_layer "{spec.source_layer}" of layer "{spec.name}" exists, but cannot be read: {error}'
@@ -109,28 +116,38 @@ def _find(wanted: str, layers: Mapping[str, str]) -> str | None:
     return next((name for name in layers if name.lower() == wanted.lower()), None)
 
 
-def _load(spark: SparkSession, source_format: str, path: str, options: Mapping[str, str]) -> DataFrame:
+def _load(
+    spark: SparkSession, source_format: str, path: str, options: Mapping[str, str], schema: str | None = None
+) -> DataFrame:
+    """The rows of one layer. A ``schema`` (columns with types) saves the pass that finds it out."""
+    names = [f.name for f in T.StructType.fromDDL(schema) if f.name != "geometry"] if schema else None
     if source_format == "geojson":
         document = spark.read.options(**options).schema(_COLLECTION).json(path, multiLine=True)
-        return _feature_columns(document.select(F.explode("features").alias("feature")))
+        return _feature_columns(document.select(F.explode("features").alias("feature")), names)
     if source_format == "geojsonseq":
         # A record may start with the separator of JSON sequences; blank lines are none.
         line = F.btrim(F.col("value"), F.lit(" \t\r\x1e"))
         lines = spark.read.options(**options).text(path).select(line.alias("line")).filter("line <> ''")
         feature = F.from_json("line", _FEATURE)
         lines = lines.select("line", F.when(F.get_json_object("line", "$.type") == "Feature", feature).alias("feature"))
-        return _feature_columns(lines.select("feature", F.when(F.col("feature").isNull(), F.col("line")).alias(UNREADABLE)))
-    return spark.read.format(source_format).options(**options).load(path)
+        unreadable = F.when(F.col("feature").isNull(), F.col("line")).alias(UNREADABLE)
+        return _feature_columns(lines.select("feature", unreadable), names)
+    reader = spark.read.format(source_format).options(**options)
+    return (reader.schema(schema) if schema else reader).load(path)
 
 
 _FEATURE = "struct<id:string,properties:map<string,string>,geometry:string>"
 _COLLECTION = f"features array<{_FEATURE}>"
 
 
-def _feature_columns(features: DataFrame) -> DataFrame:
-    """One column per property name plus the geometry as GeoJSON text."""
-    properties = features.select(F.explode(F.map_keys("feature.properties"))).distinct()
-    columns = sorted(row[0] for row in properties.collect())
+def _feature_columns(features: DataFrame, columns: list[str] | None) -> DataFrame:
+    """One column per property name plus the geometry as GeoJSON text.
+
+    Names that are not given are looked for in all features; as columns, they have to come to the driver.
+    """
+    if columns is None:
+        properties = features.select(F.explode(F.map_keys("feature.properties"))).distinct()
+        columns = sorted(row[0] for row in properties.collect())
     return features.select(
         F.col("feature.id").alias("fid"),
         *[F.col("feature.properties")[name].alias(name) for name in columns if name != "fid"],

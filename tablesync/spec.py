@@ -69,6 +69,7 @@ class LayerSpec:
 
     source_format: str = "parquet"
     source_options: Mapping[str, str] = field(default_factory=dict)
+    source_schema: str | None = None
     fid_column: str | None = None
     source_srid: int | None = None
     geometry_source: Mapping[str, str] | None = None

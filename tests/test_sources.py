@@ -136,4 +136,4 @@ def test_unreadable_layer(spark, folder):
 
 def test_missing_driver(spark, folder):
     with pytest.raises(SyncError, match="cannot be opened"):
-        read_source(spark, layer("jdbc:postgresql://localhost/x", "t", source_format="jdbc"))
+        read_source(spark, layer("jdbc:postgresql://localhost/x", "t", source_format="jdbc", source_options={"numPartitions": "1"}))

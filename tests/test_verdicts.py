@@ -145,3 +145,18 @@ def test_conditions_ignore_case_and_disable_deletion(spark):
     assert sync.pull(spec.name, conditions=[{"column": "name", "value": "ANN"}]).num_deleted == 0
     assert sync.pull_request('{"layerName": "layer", "conditions": [{"column": "name", "value": "ann"}]}').num_pulled == 1
     assert sync.pull(spec.name).num_deleted == 1
+
+
+def test_a_given_schema_saves_the_search_for_columns(spark, folder):
+    line = '{"type":"Feature","properties":{"id":"1","more":"x"},"geometry":{"type":"Point","coordinates":[1,2]}}'
+    spark.createDataFrame([(line,)], "value string").write.text(f"{folder}/data/places.geojsonl")
+    spark.createDataFrame([('{"id": 7, "more": "y"}',)], "value string").write.text(f"{folder}/data/rows.json")
+    source = read_source(spark, layer(f"{folder}/data", "places", source_format="geojsonseq", source_schema="id string, name string"))
+    assert [(r["id"], r["name"]) for r in source.select("id", "name").collect()] == [("1", None)] and "more" not in source.columns
+    source = read_source(spark, layer(f"{folder}/data", "rows", source_format="json", source_schema="id bigint"))
+    assert [tuple(r) for r in source.collect()] == [(7,)]
+
+
+def test_a_database_is_not_read_in_one_task_by_chance(spark):
+    with pytest.raises(SyncError, match="one task"):
+        read_source(spark, layer("jdbc:none:", "t", source_format="jdbc", source_options={"numPartitions": "4"}))
