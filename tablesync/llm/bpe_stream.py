@@ -29,6 +29,7 @@ import sys
 import types
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from tablesync.llm import ships
 ships(__name__)
 
 #: Words kept with their tokens in a Python worker; beyond it the memory starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 1_000_000
 #: Characters of a word that is kept; longer ones go through the transducer.
 LONG_WORD = 256
 #: Texts whose new words are encoded together.
@@ -353,6 +354,11 @@ class Decoder:
         return self.bytes.decode(b"", True) if self.as_text else ""
 
 
+def _split_word(word: str) -> list[str]:
+    text = lower(word if word.isascii() else unicodedata.normalize("NFC", word))
+    return [text] if text.isalpha() else _PIECE.findall(text)
+
+
 class Words(dict):
     """Words with a value made from their ids, about as many as :data:`KEPT_WORDS`."""
 
@@ -364,12 +370,12 @@ class Words(dict):
         return self.make(self.bpe, encode_long(self.bpe, word))
 
     def _learn(self, words: set[str]) -> None:
-        new = words.difference(self)
+        new = set(filterfalse(self.__contains__, words))
         if len(self) + len(new) > KEPT_WORDS:
             self.clear()
             new = words
         # A long word goes through the transducer each time instead.
-        split = {w: _PIECE.findall(lower(unicodedata.normalize("NFC", w))) for w in new if len(w) <= LONG_WORD}
+        split = {w: _split_word(w) for w in new if len(w) <= LONG_WORD}
         texts = list({piece for pieces in split.values() for piece in pieces})
         tokens = dict(zip(texts, self.bpe.pieces(texts)))
         for word, pieces in split.items():

@@ -11,6 +11,7 @@ sequences of one length share a bucket, and a batch is taken from one bucket.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ def lengths(n: int, longest: int = LONGEST) -> list[int]:
 
 
 def _packed_ids(bpe: Bpe, ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def sequences(
