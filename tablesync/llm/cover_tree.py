@@ -43,6 +43,8 @@ BLOCK = 4096
 GROUP = 512
 #: Points of a leaf: below it distances cost more than products.
 LEAF = 64
+#: Children of a node at most; also no more than a quarter of its points.
+FAN = 128
 _EXACT = float(1 << 53)
 
 
@@ -64,7 +66,7 @@ class CoverTree:
     def _distances(self, centre: int, rows: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.points[rows] - self.points[centre]) ** 2).sum(1))
 
-    def _grow(self, centre: int, rows: np.ndarray, far: np.ndarray) -> int:
+    def _grow(self, centre: int, rows: np.ndarray, far: np.ndarray) -> None:
         stack = [(centre, rows, far, -1)]
         while stack:
             centre, rows, far, parent = stack.pop()
@@ -78,22 +80,24 @@ class CoverTree:
             if len(rows) <= self.leaf or radius == 0:
                 continue
             # Children: centres more than half the radius apart, each with the points it is the first to cover.
-            rest, rest_far, next_ = rows, far, centre
-            while len(rest):
+            rest, rest_far, next_, found = rows, far, centre, []
+            while len(rest) and len(found) < min(FAN, len(rows) // 4 + 1):
                 own_far = rest_far if next_ == centre else self._distances(next_, rest)
                 covered = own_far <= radius / 2
-                stack.append((next_, rest[covered], own_far[covered], node))
+                found.append((next_, rest[covered], own_far[covered], node))
                 rest, rest_far = rest[~covered], rest_far[~covered]
                 if len(rest):
                     next_ = int(rest[rest_far.argmax()])
-        return 0
+            # Points that no few balls of half the radius cover have no structure to prune by: they stay a leaf.
+            if not len(rest):
+                stack += found
 
 
 def top_scores(
     queries: np.ndarray, query_ids: np.ndarray, right: "CoverTree", ids: np.ndarray, k: int, big: bool
 ) -> tuple[list[list[int]], list[list[int]]]:
     """For each query the ``k`` best scores and ids here, ties to smaller ids."""
-    left, points, n = CoverTree(queries, 16), right.points, len(queries)
+    left, points, n = CoverTree(queries), right.points, len(queries)
     best = [[] for _ in range(n)]
     worst = np.full(n, -np.inf)
 
