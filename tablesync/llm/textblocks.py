@@ -19,7 +19,7 @@ from tablesync.llm import ships
 ships(__name__)
 
 #: Text handled at once; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
