@@ -7,7 +7,9 @@ failing the base rules, do not stay.
 
 Tokens are runs of letters, digits and non-ASCII bytes, or runs of other
 characters; hence symbols glued to words count by themselves. Counts are sums
-of integers, so scores do not depend on the partitioning.
+of integers, so scores do not depend on the partitioning. Trusted documents are found by a
+shuffled join with all labels. The number of buckets follows the number of different n-grams
+up to :data:`MOST_BUCKETS`, from which on several n-grams share a bucket.
 
 * NULL and empty texts have no words: all counts are 0 and ``base_failed`` is true.
 * Repeated rows each get their own result and each count towards the corpus.
@@ -21,8 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.llm import ships
@@ -30,12 +33,13 @@ from tablesync.llm.textblocks import Block, blocks, grams, mix
 
 ships(__name__)
 
-#: Buckets of the hashed n-grams; bounds what is sent to the driver and back.
-BUCKETS = 1 << 14
-#: Most trusted rows used; those with the smallest hashes. A bound on the broadcast of their ids.
-TRUSTED_ROWS = 20_000
-#: N-grams that the corpus adds to the trusted counts, by their shares there.
-PRIOR = 8192
+#: Buckets of the hashed n-grams: a power of two of at least twice the different n-grams, within these bounds.
+#: The upper one bounds memory: 32 MB of counts in a task, 16 MB of ratios that are broadcast.
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 14, 1 << 22
+#: Neighbouring buckets that travel as one row.
+RANGE = 1 << 12
+#: N-grams added to the trusted count of each bucket and to the count that its share in the corpus lets expect.
+PRIOR = 8
 #: Mean log ratio that a document needs to stay.
 THRESHOLD = -0.15
 
@@ -96,44 +100,81 @@ def base_counts(block: Block) -> dict[str, np.ndarray]:
     }
 
 
-def ngram_counts(docs: DataFrame, text: str, trusted: Column, buckets: int = BUCKETS) -> DataFrame:
-    """``bucket``, ``n_trusted``, ``n_all``: each task sends one row per bucket at most."""
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, buckets), np.int64)
-        for batch in batches:
-            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for block in blocks(batch.column(0)):
-                bucket, doc = gram_buckets(block, buckets)
-                total[1] += np.bincount(bucket, minlength=buckets)
-                total[0] += np.bincount(bucket[flags[block.rows][doc]], minlength=buckets)
-        found = np.flatnonzero(total[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found), pa.array(total[0][found]), pa.array(total[1][found])], ["bucket", "n_trusted", "n_all"]
-        )
-
-    rows = docs.select(F.col(text).alias("text"), F.coalesce(trusted, F.lit(False)).alias("trusted"))
-    counted = rows.mapInArrow(count, "bucket long, n_trusted long, n_all long")
-    return counted.groupBy("bucket").agg(F.sum("n_trusted").alias("n_trusted"), F.sum("n_all").alias("n_all"))
-
-
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Smoothed log ratio of each bucket; one row per bucket comes to the driver."""
-    total = np.zeros((2, buckets))
-    for row in counts.collect():
-        total[:, row["bucket"]] = row["n_trusted"], row["n_all"]
-    if not total[0].any():
-        return np.zeros(buckets)
-    # Trusted counts shrink towards the corpus, so a bucket that few documents reach says little.
-    corpus = (total[1] + 1) / (total[1].sum() + buckets)
-    trusted = (total[0] + PRIOR * corpus) / (total[0].sum() + PRIOR)
-    return np.log(trusted) - np.log(corpus)
-
-
-def trusted_ids(labels: DataFrame, doc_id: str, quality: str, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids of at most ``rows`` trusted documents, chosen by hash."""
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=1)
+    for part in _parts(batches):
+        texts = [pack.compress(text.encode()) for text in part.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], ["doc_id", "ztext"])
+
+
+def _rows(ranges: dict[int, np.ndarray]) -> pa.RecordBatch:
+    pack = zstandard.ZstdCompressor(level=1)
+    counts = [pack.compress(found.tobytes()) for found in ranges.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(ranges), pa.int64()), pa.array(counts, pa.binary())], ["range", "counts"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams of each bucket in the texts, or packed texts, of a task."""
+    unpack = zstandard.ZstdDecompressor()
+    total = np.zeros(MOST_BUCKETS, np.int64)
+    for part in _parts(batches):
+        texts = part.column(0)
+        if pa.types.is_binary(texts.type):
+            texts = pa.array([unpack.decompress(z).decode() for z in texts.to_pylist()], pa.large_string())
+        for block in blocks(texts):
+            np.add.at(total, gram_buckets(block, MOST_BUCKETS)[0], 1)
+    split = total.reshape(-1, RANGE)
+    yield _rows({at: split[at] for at in np.flatnonzero(split.any(axis=1)).tolist()})
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held[at] = held.get(at, 0) + np.frombuffer(unpack.decompress(counts), np.int64)
+    yield _rows(held)
+
+
+def ngram_counts(texts: DataFrame) -> np.ndarray:
+    """N-grams of each of MOST_BUCKETS buckets in the only column; one packed row per range of buckets comes to the driver."""
+    schema = "range long, counts binary"
+    rows = texts.mapInArrow(_count, schema).repartition("range").mapInArrow(_sum, schema).collect()
+    total = np.zeros((MOST_BUCKETS // RANGE, RANGE), np.int64)
+    for row in rows:
+        total[row["range"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), np.int64)
+    return total.reshape(-1)
+
+
+def buckets_for(counts: np.ndarray) -> int:
+    """Buckets for the different n-grams that the share of empty buckets tells of."""
+    empty = max(np.count_nonzero(counts == 0), 1) / len(counts)
+    buckets = LEAST_BUCKETS
+    while buckets < MOST_BUCKETS and buckets < -2 * len(counts) * np.log(empty):
+        buckets *= 2
+    return buckets
+
+
+def log_ratios(trusted: np.ndarray, corpus: np.ndarray) -> np.ndarray:
+    """Smoothed log ratio of each bucket."""
+    buckets = buckets_for(corpus)
+    # Bucket numbers are remainders by powers of two, so those of fewer buckets are sums.
+    trusted, corpus = trusted.reshape(-1, buckets).sum(axis=0), corpus.reshape(-1, buckets).sum(axis=0)
+    if not trusted.any():
+        return np.zeros(buckets, np.float32)
+    # Trusted counts shrink towards the corpus, so a bucket that few n-grams reach says little.
+    expected = corpus * (trusted.sum() / corpus.sum())
+    return np.log((trusted + PRIOR) / (expected + PRIOR)).astype(np.float32)
+
+
+def trusted_ids(labels: DataFrame, doc_id: str, quality: str) -> DataFrame:
+    """Ids of all trusted documents."""
     ids = labels.filter((F.col(quality) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("trusted_id"))
-    return ids.distinct().orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(rows)
+    return ids.distinct()
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -150,11 +191,14 @@ def verdicts(block: Block, ratios: np.ndarray, threshold: float) -> dict[str, np
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> Broadcast:
-    """Log ratios of the buckets, counted over all documents."""
+    """Log ratios of the buckets, counted over all documents and over all trusted ones."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    trusted = F.broadcast(trusted_ids(labels, "doc_id", "quality"))  # TRUSTED_ROWS ids at most
-    marked = own.join(trusted, own["doc_id"] == trusted["trusted_id"], "left")
-    ratios = log_ratios(ngram_counts(marked, "text", F.col("trusted_id").isNotNull()))
+    kind = own.schema["doc_id"].dataType.simpleString()
+    known = own.filter("doc_id is not null and text is not null").mapInArrow(_packed, f"doc_id {kind}, ztext binary")
+    ids = trusted_ids(labels, "doc_id", "quality")
+    # A merge join at any size: both sides are shuffled, neither has to fit anywhere.
+    trusted = known.join(ids.hint("merge"), known["doc_id"] == ids["trusted_id"], "left_semi")
+    ratios = log_ratios(ngram_counts(trusted.select("ztext")), ngram_counts(own.select("text")))
     return docs.sparkSession.sparkContext.broadcast(ratios)
 
 

@@ -1,5 +1,6 @@
 """Quality rules, weak labels and toxicity: base counts against plain versions, accuracy on labels."""
 
+import re
 import zlib
 from collections import Counter
 
@@ -67,6 +68,41 @@ def test_rules_separate_labelled_documents(spark):
     assert share[1] > 0.99 and share[0] < 0.1
 
 
+def test_every_trusted_document_counts(spark):
+    """More trusted documents than were once used: if all are trusted, they are the corpus."""
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), "id") for i in range(25)])
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), words.alias("text"))
+    judged = quality_rules.judge(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    assert judged.filter("llr = 0 and kept").count() == 21_000
+
+
+def test_ratios_equal_a_plain_count(spark, docs, labels):
+    """Without shared buckets a score is that of the n-grams themselves."""
+    trusted = {r["doc_id"] for r in labels.filter("quality = 1 and doc_id is not null").collect()}
+    token = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\x20\x09-\x0d]+")
+    found, n = [], [Counter(), Counter()]
+    for doc_id, text in rows_of(docs):
+        one = token.findall(text)
+        found.append((doc_id, [*one, *zip(one, one[1:])]))
+        for counts in n[: 1 + (doc_id in trusted)]:
+            counts.update(found[-1][1])
+    share = n[1].total() / n[0].total()
+    ratio = {g: np.log((n[1][g] + quality_rules.PRIOR) / (c * share + quality_rules.PRIOR)) for g, c in n[0].items()}
+    expected = sorted((doc_id or 0, float(np.mean([ratio[g] for g in grams])) if grams else 0.0) for doc_id, grams in found)
+    judged = sorted((r["doc_id"] or 0, r["llr"]) for r in quality_rules.judge(docs, labels).collect())
+    assert [d for d, _ in judged] == [d for d, _ in expected]
+    # Some n-grams share a bucket.
+    assert np.abs(np.array([x for _, x in judged]) - np.array([x for _, x in expected])).mean() < 0.02
+
+
+def test_buckets_follow_the_ngrams():
+    counts = np.zeros(quality_rules.MOST_BUCKETS, np.int64)
+    for n, buckets in ((0, 1 << 14), (100_000, 1 << 18), (1_000_000, 1 << 21), (4_000_000, 1 << 22)):
+        counts[: int(len(counts) * (1 - np.exp(-n / len(counts))))] = 1
+        assert quality_rules.buckets_for(counts) == buckets
+    assert len(quality_rules.log_ratios(counts * 0, counts)) == 1 << 22
+
+
 def test_weak_labels_agree_with_labels(spark):
     labels = spark.read.parquet(f"{LABELLED}/labels.parquet")
     scored = weak_quality.score(spark.read.parquet(f"{LABELLED}/documents.parquet"))
