@@ -4,7 +4,8 @@
    more often than others; learned on one half of a bounded sample of labelled rows.
 2. *Matching.* The lexicon is a trie; its product with a Levenshtein automaton is made deterministic
    state by state as texts need them, so a word costs one lookup per character until no term
-   can be reached. Terms of 5 letters may differ by one edit, of 9 by two; stems match exactly.
+   can be reached. Terms of 4 letters may differ by one edit, of 9 by two; stems of 5 letters by one.
+   Misspelled stems and terms of 4 letters weigh half a misspelling. Stems do not replace learned words.
 3. *Context.* In a window of :data:`WINDOW` words around a hit, quotation marks and reporting words
    speak for quoting, words of address for abuse. Each hit is exact, misspelled or a stem, and open or quoted.
 4. *Score.* A logistic model of these features, fitted on the other half of the sample.
@@ -40,9 +41,13 @@ LEXICON = 2_000
 #: Times that a term has to be likelier in toxic documents, and their least share and number that have it.
 ODDS = 20.0
 MIN_SHARE, MIN_DOCS = 0.003, 5
-#: Lengths of stems, and the words that have to continue one.
+#: Lengths of stems, and the mostly toxic words that have to continue one.
 STEMS = range(4, 9)
 STEM_WORDS = 8
+#: Share of a stem's toxic counts with which a longer stem takes its place.
+SHARPER = 0.9
+#: Misspellings that a misspelled stem or term of 4 letters counts as.
+WEAK = 0.5
 WINDOW = 8
 THRESHOLD = 0.3
 
@@ -61,24 +66,35 @@ def held_out(doc_id: Column) -> Column:
 
 
 def edits_allowed(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
+
+
+def stem_edits(stem: str) -> int:
+    return 0 if len(stem) < 5 else 1
 
 
 class FuzzyLexicon:
     """The trie of the terms, intersected with a Levenshtein automaton, made deterministic on demand.
 
-    A state is a set of ``(trie node, edits so far)``; state 0 is dead.
+    A state is a set of ``(trie node, edits so far)``; state 0 is dead. What begins with a stem
+    stays at :data:`STEM`, or at :data:`NEAR_STEM` if the stem is misspelled.
     """
 
+    STEM, NEAR_STEM = (-1, 0), (-2, 0)
+
     def __init__(self, words: list[str], stems: list[str]):
         self.child: list[dict[str, int]] = [{}]
         self.word_at: dict[int, int] = {}
-        self.stem_at: set[int] = set()
+        self.short: set[int] = set()
+        self.stem_at: dict[int, int] = {}
         self.budget = [0]
         for stem in stems:
-            self.stem_at.add(self._add(stem, 0))
+            self.stem_at[self._add(stem, stem_edits(stem))] = stem_edits(stem)
         for word in words:
-            self.word_at[self._add(word, edits_allowed(word))] = edits_allowed(word)
+            node = self._add(word, edits_allowed(word))
+            self.word_at[node] = edits_allowed(word)
+            if len(word) < 5:
+                self.short.add(node)
         self.ids: dict[frozenset, int] = {frozenset(): 0}
         self.sets: list[frozenset] = [frozenset()]
         self.next: list[dict[str, int]] = [{}]
@@ -98,15 +114,21 @@ class FuzzyLexicon:
         return node
 
     def _closure(self, states: set) -> frozenset:
-        """With the letters of a term that the text leaves out."""
+        """With the letters of a term that the text leaves out, and the stems that are reached."""
         found, todo = set(states), list(states)
         while todo:
             node, edits = todo.pop()
+            if node < 0:
+                continue
+            if edits <= self.stem_at.get(node, -1):
+                found.add(self.NEAR_STEM if edits else self.STEM)
             for child in self.child[node].values():
                 new = (child, edits + 1)
                 if edits < self.budget[child] and new not in found:
                     found.add(new)
                     todo.append(new)
+        if self.STEM in found:
+            found.discard(self.NEAR_STEM)
         return frozenset(found)
 
     def _state(self, states: frozenset) -> int:
@@ -114,15 +136,23 @@ class FuzzyLexicon:
             self.ids[states] = len(self.sets)
             self.sets.append(states)
             self.next.append({})
-            ends = [edits for node, edits in states if node in self.word_at and edits <= self.word_at[node]]
-            # 1: a term, 2: a misspelled one, 3: a stem and more.
-            stem = any(node in self.stem_at and not edits for node, edits in states)
-            self.kind.append(3 if stem else 1 if 0 in ends else 2 if ends else 0)
+            ends = {(node, edits) for node, edits in states if edits <= self.word_at.get(node, -1)}
+            # 1: a term, 2: a misspelled one, 3: a stem and more, 4: a misspelled stem or short term.
+            self.kind.append(
+                1 if any(not edits for _, edits in ends)
+                else 3 if self.STEM in states
+                else 2 if any(node not in self.short for node, _ in ends)
+                else 4 if ends or self.NEAR_STEM in states
+                else 0
+            )
         return self.ids[states]
 
     def _step(self, state: int, c: str) -> int:
         new = set()
         for node, edits in self.sets[state]:
+            if node < 0:
+                new.add((node, edits))
+                continue
             hit = self.child[node].get(c)
             if hit is not None:
                 new.add((hit, edits))
@@ -134,16 +164,24 @@ class FuzzyLexicon:
         found = self.next[state][c] = self._state(self._closure(new))
         return found
 
-    def match(self, word: str) -> int:
-        """0: nothing, 1: a term, 2: a misspelled term, 3: a word from a stem."""
+    def kind_of(self, word: str) -> int:
+        """0: nothing, 1: a term, 2: a misspelled term, 3: a word from a stem, 4: from a misspelled stem, or a misspelled short term."""
         state, step = self.start, self.next
         for c in word:
             follow = step[state].get(c)
             state = follow if follow is not None else self._step(state, c)
-            if not state or self.kind[state] == 3:
+            if not state:
                 break
         return self.kind[state]
 
+    def match(self, word: str) -> int:
+        """0: nothing, 1: a term, 2: misspelled, 3: a word from a stem."""
+        kind = self.kind_of(word)
+        return 2 if kind == 4 else kind
+
+
+#: Kinds of hits, the surest last.
+_SURENESS = (0, 4, 2, 3, 1)
 
 FEATURES = ["exact", "fuzzy", "stem", "exact quoted", "fuzzy quoted", "stem quoted", "address", "reporting", "exact share", "fuzzy share", "stem share"]
 
@@ -157,7 +195,7 @@ def features(texts: list[str | None], lexicon: FuzzyLexicon) -> np.ndarray:
     split = [_lowered(text).split() for text in texts]
     hits = {}
     for token in set().union(*split):
-        kind = max((lexicon.match(w) for w in _WORD.findall(token)), default=0)
+        kind = max((lexicon.kind_of(w) for w in _WORD.findall(token)), key=_SURENESS.index, default=0)
         if kind:
             hits[token] = kind
     out = np.zeros((len(texts), len(FEATURES)))
@@ -172,7 +210,7 @@ def features(texts: list[str | None], lexicon: FuzzyLexicon) -> np.ndarray:
             near = tokens[max(0, at - WINDOW) : at + WINDOW + 1]
             bare = [t.strip(".,;:!?" + QUOTES) for t in near]
             quoted = _quoted(tokens, at)
-            counts[kind - 1 + 3 * quoted] += 1
+            counts[(1 if kind == 4 else kind - 1) + 3 * quoted] += WEAK if kind == 4 else 1
             counts[6] += any(w in ADDRESS for w in bare)
             counts[7] += any(w in REPORTING for w in bare)
         counts[8:11] = counts[0:3] * 100 / len(tokens)
@@ -217,12 +255,20 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     size = F.explode(F.array(*[F.lit(n) for n in STEMS])).alias("size")
     stems = words.select("term", "toxic", "n", size).filter(F.length("term") > F.col("size"))
     stems = stems.groupBy(F.substring("term", F.lit(1), F.col("size")).alias("term"))
-    stems = stems.agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"), F.count("*").alias("words"))
+    stems = stems.agg(
+        F.sum("toxic").alias("toxic"), F.sum("n").alias("n"), F.count_if(F.col("toxic") * 2 > F.col("n")).alias("words"),
+        F.max(F.struct("toxic", "n")).alias("strongest"),
+    ).filter(F.col("words") >= STEM_WORDS)
+    # Toxic without its strongest word too: one toxic word makes no stem of what else begins like it.
+    rest = {name: F.col(name) - F.col(f"strongest.{name}") for name in ("toxic", "n")}
+    named = stems.withColumns(rest).filter(strong).select("term")
+    sums = {r["term"]: r["toxic"] for r in stems.join(named, "term", "left_semi").filter(strong).orderBy(F.desc("toxic"), "term").limit(LEXICON).collect()}
     found: list[str] = []
-    for stem in sorted(chosen(stems.filter(F.col("words") >= STEM_WORDS)), key=lambda s: (len(s), s)):
-        if not stem.startswith(tuple(found)):
-            found.append(stem)
-    return [w for w in chosen(words) if not w.startswith(tuple(found))], found
+    for stem in sorted(sums, key=lambda s: (len(s), s)):
+        if not any(stem.startswith(s) or s.startswith(stem) for s in found):
+            longer = [s for s in sums if s.startswith(stem) and sums[s] >= SHARPER * sums[stem]]
+            found.append(max(longer, key=lambda s: (len(s), sums[s], s)))
+    return chosen(words), found
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:

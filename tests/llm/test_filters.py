@@ -143,6 +143,30 @@ def test_toxicity_of_odd_rows(spark, docs, labels):
     assert toxic_terms.score(nothing(spark, docs), labels).collect() == []
 
 
+def test_misspellings_of_every_learned_term_are_found(spark):
+    docs, labels = (spark.read.parquet(f"{LABELLED}/{t}.parquet") for t in ("documents", "labels"))
+    words, stems = toxic_terms.learn_lexicon(toxic_terms._sample(docs.select("doc_id", "text"), labels).filter("first_half"))
+    lexicon = toxic_terms.FuzzyLexicon(words, stems)
+    assert "loser" in words and "lose" not in stems and stems
+    for word in words:
+        for at in range(len(word)):
+            for near in (word[:at] + "0" + word[at + 1 :], word[:at] + word[at:at + 1] + word[at:], word[:at] + word[at + 1 :]):
+                assert lexicon.match(near), (word, near)
+    for stem in stems:
+        assert lexicon.kind_of(stem + "0123") == 3
+        if len(stem) > 4:
+            assert all(lexicon.kind_of(stem[:at] + "0" + stem[at + 1 :] + "0123") == 4 for at in range(1, len(stem)))
+    assert [lexicon.match(w) for w in ("loser", "looser", "l0ser", "lozer", "losesartaga")] == [1, 2, 2, 2, 0]
+
+
+def test_words_from_a_stem_are_told_from_terms():
+    lexicon = toxic_terms.FuzzyLexicon(["loser", "scum"], ["lose", "bomente"])
+    found = [lexicon.kind_of(w) for w in ("loser", "losexyzr", "looser", "scvm", "bomentera", "bomfntera", "lise")]
+    assert found == [1, 3, 2, 4, 3, 4, 0]
+    full, weak = (toxic_terms.features([f"a {w} b"], lexicon)[0] for w in ("looser", "scvm"))
+    assert 0 < weak[1] < full[1]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
