@@ -84,9 +84,9 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end = len(runs) - back
                 chosen[back:] |= whole[:end] & (least[:end] == runs[back:])
             at = np.flatnonzero(chosen)
-            ids = batch.column(0).to_numpy()[block.rows]
+            places = batch.column(0).to_numpy()[block.rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(runs[at].view(np.int64)), pa.array(ids[block.doc_of_word[at]])], ["seed", "key"]
+                [pa.array(runs[at].view(np.int64)), pa.array(places[block.doc_of_word[at]])], ["seed", "place"]
             )
 
 
@@ -295,13 +295,17 @@ def _key(doc_id: Column) -> Column:
 
 def _triaged(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     own = docs.select(F.col(doc_id).alias("doc_id"), _key(F.col(doc_id)).alias("key"), F.col(text).alias("text"))
-    seeds = own.select("key", "text").mapInArrow(_seeds, "seed long, key long")
+    # One list per id and text: rows with a NULL or a repeated id do not share one. Should two
+    # places have one hash, their lists are joined, which is harmless: pieces are cut by a text's own seeds.
+    place = F.xxhash64("key", F.xxhash64("text")).alias("place")
+    seeds = own.select(place, "text").mapInArrow(_seeds, "seed long, place long")
     recurring = stored(seeds.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1"), "seeds")
-    lists = seeds.join(recurring, "seed").groupBy("key").agg(F.collect_set(F.struct("seed", "n")).alias("seeds"))
+    lists = seeds.join(recurring, "seed").groupBy("place").agg(F.collect_set(F.struct("seed", "n")).alias("seeds"))
     kind = own.schema["doc_id"].dataType.simpleString()
     packed = own.select("doc_id", "key", F.xxhash64("text").alias("hash"), "text")
     packed = packed.mapInArrow(_packed, f"doc_id {kind}, key long, hash long, ztext binary")
-    met = packed.join(stored(lists, "lists"), "key", "left").select("doc_id", "key", "hash", "ztext", "seeds")
+    packed = packed.withColumn("place", F.xxhash64("key", "hash"))
+    met = packed.join(stored(lists, "lists"), "place", "left").select("doc_id", "key", "hash", "ztext", "seeds")
     schema = (
         f"doc_id {kind}, key long, hash long, n_words long, sha string, ztext binary,"
         " seeds array<struct<seed: long, n: long>>"

@@ -48,6 +48,17 @@ def test_repeated_rows_are_one_document(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in phrase_dedup.digests(rows).collect()) == [(1, 0), (1, 0), (2, 30)]
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_with_one_id_have_lists_of_their_own(spark, doc_id):
+    """A row meets the recurring seeds of its text, not those of all rows with the same or no id."""
+    texts = [" ".join(f"t{n // 2}w{i}" for i in range(30)) + f" end{n}" for n in range(80)]
+    rows = spark.createDataFrame([(doc_id, text) for text in texts], "doc_id long, text string")
+    triaged = phrase_dedup._triaged(rows, "doc_id", "text").collect()
+    assert len(triaged) == 80 and all(0 < len(r["seeds"]) <= 31 for r in triaged)
+    removed = sorted(r["n_removed"] for r in phrase_dedup.digests(rows).collect())
+    assert removed == [0] * 40 + [30] * 40
+
+
 def test_empty_table(spark, docs):
     assert phrase_dedup.digests(nothing(spark, docs)).collect() == []
     assert phrase_dedup.cut(nothing(spark, docs)).collect() == []
