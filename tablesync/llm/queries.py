@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import bpe_stream, cover_tree, host_trust, jaccard_forest, packing, phrase_dedup, pii_votes, quality_rules, toxic_terms, weak_quality
+from tablesync.llm import bpe_stream, cover_tree, host_trust, jaccard_forest, packing, periodic_runs, phrase_dedup, pii_votes, quality_rules, token_counts, toxic_terms, weak_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,29 @@ def op10_toxic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_terms.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """In one of ten documents, by the crc32 of its id, the words from some place on repeat with a period."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", code.alias("code"), F.floor(code / 10).alias("g"))
+    docs = docs.withColumn("words", F.when(F.col("code") % 10 == 0, words))
+    docs = docs.withColumn("n", F.nullif(F.size("words"), F.lit(0)))
+    docs = docs.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    times = F.expr("cast((n - a) div p + 1 as int)")
+    repeated = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
+    planted = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), repeated), F.lit(1), F.col("n")), " ")
+    return docs.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(_with_planted_runs(_table(spark, sf_dir, "documents")))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_weak_quality": op1_weak_quality,
     "op2_pii_votes": op2_pii_votes,
@@ -76,6 +99,8 @@ QUERIES = {
     "op8_binary_packing": op8_binary_packing,
     "op9_phrase_dedup": op9_phrase_dedup,
     "op10_toxic_terms": op10_toxic_terms,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE: dict[str, str] = {
