@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import bpe_stream, cover_tree, host_trust, jaccard_forest, packing, periodic_runs, phrase_dedup, pii_votes, quality_rules, token_counts, toxic_terms, weak_quality
+from tablesync.llm import bpe_stream, cover_tree, host_trust, jaccard_forest, packing, periodic_runs, phrase_dedup, pii_votes, prefix_trie, quality_rules, token_counts, toxic_terms, weak_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(_with_planted_runs(_table(spark, sf_dir, "documents")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Of each twenty conversations the first lends the others up to three turns.
+    base, taken = F.col("conv") - F.col("conv") % 20, F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"), base=base, taken=taken).drop("node")
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -100,6 +106,7 @@ QUERIES = {
     "op9_phrase_dedup": op9_phrase_dedup,
     "op10_toxic_terms": op10_toxic_terms,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -117,6 +124,52 @@ s as (
   where q.vec_id % 50 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+""",
+    "op12_prefix_trie": r"""
+with ids as (
+  select distinct conv_id as c,
+         list_reduce(
+           list_transform(string_split(cast(conv_id as varchar), ''), lambda d: cast(ascii(d) as bigint)),
+           lambda crc, byte: list_reduce(range(8), lambda s, i:
+             case when s % 2 = 1 then xor(s // 2, 3988292384) else s // 2 end, xor(crc, byte)),
+           cast(4294967295 as bigint)) as crc
+  from conversations where conv_id is not null),
+heads as (select c, c - c % 20 as base, xor(crc, 4294967295) % 4 as h from ids),
+own as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, role, text) as pos
+  from conversations where conv_id is not null),
+turns as (
+  select heads.c, 0 as part, pos, role, text from heads join own on own.c = base and pos <= h
+  union all
+  select heads.c, 1, pos, role, text from heads join own on own.c = heads.c and pos > h),
+placed as (
+  select c, row_number() over (partition by c order by part, pos) as depth, role, text,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words
+  from turns),
+rows as (
+  select c, depth, words,
+         list(sha256(role || chr(0) || text)) over (partition by c order by depth) as path
+  from placed
+  union all
+  select c, 0, 0, [] from heads),
+keyed as (
+  select c, depth, words, sha256(array_to_string(path, ',')) as key,
+         sha256(array_to_string(path[:-2], ',')) as parent, max(depth) over (partition by c) as deepest
+  from rows),
+nodes as (
+  select key, depth, min(c) as conv_id, any_value(parent) as parent, count(*) as n_convs, any_value(words) as words,
+         sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (depth = deepest), '')) as ends_sha256
+  from keyed group by key, depth),
+children as (select parent, count(*) as n from nodes where depth > 0 group by parent),
+below as (
+  select k.key, sum((n.n_convs - 1) * n.words) as saved, count(*) filter (ch.n is null) as leaves
+  from nodes n join keyed k on k.c = n.conv_id and k.depth <= n.depth left join children ch on ch.parent = n.key
+  group by k.key)
+select n.conv_id, cast(n.depth as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs,
+       coalesce(ch.n, 0) as n_children, leaves as n_leaves, cast(saved as bigint) as saved_tokens, n.ends_sha256
+from nodes n left join nodes p on n.depth > 0 and p.key = n.parent
+left join children ch on ch.parent = n.key join below b on b.key = n.key
 """,
     "op9_phrase_dedup": r"""
 with docs as (
