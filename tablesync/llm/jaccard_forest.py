@@ -153,27 +153,27 @@ def _cells(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return edge, np.r_[edge[1:], len(prefix)]
 
 
-def _new_pairs(keys: np.ndarray, side: np.ndarray, prefix: np.int64) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell that no earlier trie joins; across its two blocks, or within its only one."""
+def _new_pairs(keys: np.ndarray, side: np.ndarray, within: bool, prefix: np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a cell that no earlier trie joins; within its only block, or across its two, one of which may have no nodes."""
     tree = int(np.flatnonzero(keys[0] == prefix)[0])
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(keys)),) * 2
+    left, right = (np.arange(len(keys)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     met = np.zeros((len(left), len(right)), bool)
     for earlier in range(tree):
         met |= keys[left, earlier][:, None] == keys[right, earlier][None, :]
     i, j = np.nonzero(~met)
     i, j = left[i], right[j]
-    return (i, j) if side.any() else (i[i < j], j[i < j])
+    return (i[i < j], j[i < j]) if within else (i, j)
 
 
 def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the nodes that have a pair to verify in their cell."""
     for table in _by_cell(batches):
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(-1, TREES)
-        side, prefix = table.column("side").to_numpy(), table.column("prefix").to_numpy()
+        side, prefix, within = (table.column(c).to_numpy() for c in ("side", "prefix", "within"))
         wanted = np.zeros(len(keys), bool)
         for a, b in zip(*_cells(table)):
             if b - a > 1:
-                i, j = _new_pairs(keys[a:b], side[a:b], prefix[a])
+                i, j = _new_pairs(keys[a:b], side[a:b], bool(within[a]), prefix[a])
                 wanted[a + i] = wanted[a + j] = True
         yield from table.filter(pa.array(wanted)).to_batches()
 
@@ -206,7 +206,7 @@ def _verify(threshold: float, k: int):
         unpack = zstandard.ZstdDecompressor()
         for table in _by_cell(batches):
             keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(-1, TREES)
-            side, prefix = table.column("side").to_numpy(), table.column("prefix").to_numpy()
+            side, prefix, within = (table.column(c).to_numpy() for c in ("side", "prefix", "within"))
             node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
             packed = table.column("ztext").to_pylist()
             links, root = np.zeros(len(node), np.int64), node.copy()
@@ -217,7 +217,7 @@ def _verify(threshold: float, k: int):
                 for block in blocks(pa.array([unpack.decompress(z).decode() for z in packed[a:b]], pa.large_string())):
                     value, start = shingle_sets(block, k)
                     sets += [value[x:y] for x, y in zip(start, start[1:])]
-                i, j = _new_pairs(keys[a:b], side[a:b], prefix[a])
+                i, j = _new_pairs(keys[a:b], side[a:b], bool(within[a]), prefix[a])
                 shared = _shared_counts(sets, i, j)
                 sizes = np.array([len(s) for s in sets])
                 linked = shared >= threshold * (sizes[i] + sizes[j] - shared) - 1e-9
@@ -275,13 +275,14 @@ def classes(rows: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) ->
     cells = cells.select("prefix", "node", "spread", "own", other)
     place = F.least("own", "other") * F.col("spread") + F.greatest("own", "other")
     side = (F.col("own") > F.col("other")).cast("int")
-    cells = cells.select("prefix", place.alias("cell"), "node", side.alias("side"))
-    cells = cells.join(labels.hint("merge"), "node").select("prefix", "cell", "node", "side", "copies", "keys")
+    within = (F.col("own") == F.col("other")).alias("within")
+    cells = cells.select("prefix", place.alias("cell"), "node", side.alias("side"), within)
+    cells = cells.join(labels.hint("merge"), "node").select("prefix", "cell", "node", "side", "within", "copies", "keys")
     sorted_cells = cells.repartition("prefix", "cell").sortWithinPartitions("prefix", "cell", "node")
     needed = stored(sorted_cells.mapInArrow(_needed, cells.schema), "needed")
 
     texts = signed.select(F.col("row").alias("node"), "ztext").join(needed.select("node").distinct().hint("merge"), "node")
-    pairs = needed.join(stored(texts, "texts").hint("merge"), "node").select("prefix", "cell", "node", "side", "copies", "keys", "ztext")
+    pairs = needed.join(stored(texts, "texts").hint("merge"), "node").select("prefix", "cell", "node", "side", "within", "copies", "keys", "ztext")
     pairs = pairs.repartition("prefix", "cell").sortWithinPartitions("prefix", "cell", "node")
     found = stored(pairs.mapInArrow(_verify(threshold, k), "node long, root long, links long"), "links")
 

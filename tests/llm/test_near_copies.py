@@ -30,12 +30,14 @@ def test_classes_and_links_equal_all_pairs(docs):
     assert found == expected(rows_of(docs))
 
 
-def test_blocks_of_one_prefix_lose_nothing(spark, monkeypatch):
-    """A prefix shared by many nodes is spread over cells."""
+@pytest.mark.parametrize(("block", "partitions"), [(2, 3), (3, 16), (7, 8), (7, 1)])
+def test_blocks_of_one_prefix_lose_nothing(spark, monkeypatch, block, partitions):
+    """A prefix shared by many nodes is spread over cells; a block that got no node adds nothing."""
     base = [f"w{i}" for i in range(60)]
     rows = [(n, " ".join([*base, f"end{n}"])) for n in range(40)]
-    monkeypatch.setattr(jaccard_forest, "BLOCK", 7)
-    found = jaccard_forest.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    monkeypatch.setattr(jaccard_forest, "BLOCK", block)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    found = jaccard_forest.join(docs).collect()
     assert {(r["class_id"], r["n_links"]) for r in found} == {(0, 39)}
     assert len(found) == 40
 
