@@ -31,16 +31,59 @@ def compose_filter(layer_filter: str | None, request_filter: str | None) -> str:
     return parts[0] if len(parts) == 1 else " and ".join(f"({part})" for part in parts)
 
 
-def apply_filter(df: DataFrame, condition: str, layer_name: str) -> DataFrame:
-    """Keep the source rows that satisfy ``condition`` (text over source columns)."""
+def apply_filter(df: DataFrame, condition: str, layer_name: str, ignore_case: bool = True) -> DataFrame:
+    """Keep the source rows that satisfy ``condition`` (text over source columns).
+
+    With ``ignore_case`` texts are equal, listed by ``IN`` or matched by ``LIKE`` whatever their
+    case, wherever in the condition they are compared; ``<``, ``<=``, ``>`` and ``>=`` mind it.
+    """
     if not condition:
         return df
     try:
-        return df.filter(F.expr(condition))
+        filtered = df.filter(F.expr(condition))
+        return without_case(df, filtered) if ignore_case else filtered
     except (ParseException, AnalysisException) as error:
         raise SyncError(f'The rows of layer "{layer_name}" cannot be filtered by {condition!r}: {error}') from error
 
 
+#: Comparisons whose sides are all texts or none, by the name of their expression.
+_EQUALITIES = {"EqualTo", "EqualNullSafe", "In", "Like"}
+#: Comparisons with patterns that are values of the expression, not parts of it.
+_MANY_PATTERNS = {"LikeAll", "LikeAny", "NotLikeAll", "NotLikeAny"}
+
+
+def without_case(df: DataFrame, filtered: DataFrame) -> DataFrame:
+    """``df`` under the condition of ``filtered``, made from it, with texts compared in lower case.
+
+    Spark has parsed and typed the condition; its tree is walked once and only the comparisons of
+    texts are built anew. Everything else is the same expression, so it is still pushed to the source.
+    """
+    jvm = df.sparkSession._jvm
+    condition = filtered._jdf.queryExecution().analyzed().condition()
+    new = _lowered(jvm, condition)
+    return filtered if new is None else df.filter(Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(new)))
+
+
+def _lowered(jvm, node):
+    """The expression with texts compared in lower case; None where nothing in it changes."""
+    package = jvm.org.apache.spark.sql.catalyst.expressions
+    parts = _items(node.children())
+    new = [_lowered(jvm, part) for part in parts]
+    changed = any(part is not None for part in new)
+    parts = [old if part is None else part for old, part in zip(parts, new)]
+    kind = node.getClass().getSimpleName()
+    if kind in _EQUALITIES and parts[0].dataType().simpleString() == "string":
+        parts, changed = [package.Lower(part) for part in parts], True
+    elif kind in _MANY_PATTERNS and parts[0].dataType().simpleString() == "string":
+        patterns = [None if text is None else text.toLowerCase() for text in _items(node.patterns())]
+        return getattr(package, kind)(package.Lower(parts[0]), jvm.PythonUtils.toSeq(patterns))
+    return node.withNewChildren(jvm.PythonUtils.toSeq(parts)) if changed else None
+
+
+def _items(seq) -> list:
+    return [seq.apply(n) for n in range(seq.size())]
+
+
 # --- structured predicates ------------------------------------------------------------
 
 
@@ -69,6 +112,12 @@ def condition_column(schema: T.StructType, condition: Condition, layer_name: str
         raise SyncError(f'Layer "{layer_name}" cannot compare "{name}", which is no source column')
     col, value = F.col(f"`{name}`"), condition.get("value")
     text = isinstance(schema[name].dataType, T.StringType)
+    if operator in ("in", "between") and (isinstance(value, (str, bytes)) or not isinstance(value, Sequence)):
+        raise SyncError(f'Layer "{layer_name}": "{operator}" needs a list of values, not {value!r}')
+    if operator == "between" and len(value) != 2:
+        raise SyncError(f'Layer "{layer_name}": "between" needs two values, not {len(value)}')
+    if not operator.startswith("is ") and (value is None or (operator in ("in", "between") and None in value)):
+        raise SyncError(f'Layer "{layer_name}" cannot compare "{name}" with NULL; use "is null" or "is not null"')
     known = {
         "=": lambda: eq_ci(col, value) if text else col == value,
         "<>": lambda: ne_ci(col, value) if text else col != value,

@@ -177,7 +177,7 @@ class TableSync:
     ) -> SyncResult:
         table = self.target(spec)
         base = table.current()
-        source = P.apply_filter(source, condition, spec.name)
+        source = P.apply_filter(source, condition, spec.name, spec.filter_ignores_case)
         source = source.filter(P.all_conditions(source.schema, conditions, spec.name))
         plan = plan_columns(spec.name, source.schema, base.schema, base.primary_key, spec.primary_key_columns)
         stage = self._stage(run, spec, source, base, plan, in_place)

@@ -59,6 +59,7 @@ class LayerSpec:
     target_table_name: str
     description: str = ""
     filter: str = ""
+    filter_ignores_case: bool = True
     conditions: tuple[Mapping[str, Any], ...] = ()
     allow_feature_deletion: bool = False
     ignore_failures: bool = False
