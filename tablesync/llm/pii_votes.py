@@ -126,7 +126,9 @@ def between(blocks: Column, start: Column, end: Column) -> Column:
     """The code points from ``start`` on and ahead of ``end``, reading only the blocks they lie in."""
     low = F.floor(start / BLOCK).cast("int")
     count = F.floor((end - 1) / BLOCK).cast("int") - low + 1
-    part = F.array_join(F.slice(blocks, low + 1, F.greatest(count, F.lit(0))), "")
+    # A slice visits the whole array, so short stretches take their blocks one by one.
+    near = F.concat(F.get(blocks, low), F.when(count > 1, F.get(blocks, low + 1)).otherwise(""))
+    part = F.when(count <= 2, near).otherwise(F.array_join(F.slice(blocks, low + 1, F.greatest(count, F.lit(0))), ""))
     return F.when(end > start, F.substr(part, start - low * BLOCK + 1, end - start)).otherwise("")
 
 
@@ -151,7 +153,7 @@ def _candidate(blocks: Column, size: Column, kind: int, base: Callable, gazettee
     def of(m: Column) -> Column:
         ahead = between(blocks, F.greatest(m["start"] - CONTEXT, F.lit(0)), m["start"])
         cue, false_cue = ahead.rlike(CUES[kind]), ahead.rlike(FALSE_CUES)
-        before = between(blocks, F.greatest(m["start"] - 1, F.lit(0)), m["start"])
+        before = F.right(ahead, F.lit(1))
         after = between(blocks, m["end"], F.least(m["end"] + 1, size))
         strict = base(m["value"])
         return F.struct(
