@@ -100,14 +100,27 @@ def geometry_kind(wkb: Column) -> Column:
     return type_code(wkb).bitwiseAND(F.lit(0x0FFFFFFF)) % 1000
 
 
+@F.pandas_udf(T.BooleanType())
+def _holds_all(wkb: pd.Series) -> pd.Series:
+    out = pd.Series([None] * len(wkb), dtype=object)
+    known = wkb.notna().to_numpy()
+    if known.any():
+        out[known] = W.whole(wkb[known].tolist())
+    return out
+
+
 def is_whole(wkb: Column) -> Column:
-    """Whether the bytes have a known header and can hold what it announces; a point has to do so exactly."""
+    """Whether the bytes are one geometry with all that its header and its members announce, and nothing after it.
+
+    Points are judged by their header and length; only other kinds are walked through, in batches.
+    """
     code, size = type_code(wkb), F.octet_length(wkb)
     plain = code.bitwiseAND(F.lit(0x0FFFFFFF))
     order = F.hex(F.substring(wkb, 1, 1)).isin("00", "01")
-    known = (plain < 4000) & (plain % 1000).between(1, 17)
-    point = size == 5 + 8 * coordinate_dimension(wkb)
-    return order & known & F.when(plain % 1000 == 1, point).otherwise(size >= 9)
+    known = order & (plain < 4000) & (plain % 1000).between(1, 17)
+    head = F.when(code.bitwiseAND(F.lit(W.FLAG_SRID)) != 0, 9).otherwise(5)
+    walked = _holds_all(F.when(known & (plain % 1000 != 1), wkb))
+    return known & F.when(plain % 1000 == 1, size == head + 8 * coordinate_dimension(wkb)).otherwise(walked)
 
 
 def is_collection(wkb: Column) -> Column:
@@ -174,7 +187,7 @@ def _move_all(values: pd.Series, move) -> pd.Series:
 
         try:
             moved = W.write(W.map_coords(W.read(values.iloc[at]), checked))
-        except (ValueError, KeyError, IndexError, TypeError, struct.error):
+        except W.UNREADABLE:
             continue
         out[at] = None if any(outside) else moved
     return out
@@ -294,7 +307,12 @@ def geojson_wkb(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BinaryType())
 def little_endian(wkb: pd.Series) -> pd.Series:
-    """The same geometry in little-endian byte order."""
-    return pd.Series(
-        [v if v is None or v[0] == 1 else W.write(W.read(v)) for v in wkb], dtype=object
-    )
+    """The same geometry in little-endian byte order; broken bytes as they are."""
+
+    def turned(value: bytes | None) -> bytes | None:
+        try:
+            return value if value is None or value[0] == 1 else W.write(W.read(value))
+        except W.UNREADABLE:
+            return value
+
+    return pd.Series([turned(value) for value in wkb], dtype=object)

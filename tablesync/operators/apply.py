@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tablesync.operators.diff import CHANGES, DELETE, INSERT, OP, SAME, UPDATE, as_inserts
@@ -72,13 +73,35 @@ def counts_per_op(classified: DataFrame) -> DataFrame:
     return classified.groupBy(OP).agg(F.count(F.lit(1)).alias("n"))
 
 
-def counters(classified: DataFrame, broken: Column | None = None) -> tuple[dict[str, int], int]:
-    """Rows per operation, zero for absent ones, and how many new or changed rows are ``broken``."""
+def counters(classified: DataFrame) -> dict[str, int]:
+    """Rows per operation, zero for absent ones."""
+    found = {row[OP]: row["n"] for row in counts_per_op(classified).collect()}
+    return {op: found.get(op, 0) for op in (SAME, *CHANGES)}
+
+
+class Watched:
+    """Counts of rows on their way to the one place they are written to; no pass of their own.
+
+    ``df`` has to be written once and as it is; then ``counts`` has a number for every name.
+    """
+
+    def __init__(self, df: DataFrame, **conditions: Column):
+        self.names = list(conditions)
+        self._observation = Observation(f"counts-{uuid.uuid4().hex}")
+        # The planner drops the observation of rows it knows to be none; nothing is found then.
+        self.df = df.observe(self._observation, *[F.count_if(c).alias(name) for name, c in conditions.items()])
+
+    @property
+    def counts(self) -> dict[str, int]:
+        found = self._observation.get
+        return {name: int(found.get(name) or 0) for name in self.names}
+
+
+def watched_changes(changes: DataFrame, broken: Column | None = None) -> Watched:
+    """Rows per operation, and how many new or changed rows are ``broken``."""
     fresh = F.col(OP).isin(INSERT, UPDATE)
-    bad = F.lit(0) if broken is None else F.count_if(fresh & broken)
-    rows = classified.groupBy(OP).agg(F.count(F.lit(1)).alias("n"), bad.alias("bad")).collect()
-    found = {row[OP]: row["n"] for row in rows}
-    return {op: found.get(op, 0) for op in (SAME, *CHANGES)}, sum(row["bad"] for row in rows)
+    bad = F.lit(False) if broken is None else fresh & broken
+    return Watched(changes, **{op: F.col(OP) == op for op in CHANGES}, broken=bad)
 
 
 def touched_partitions(

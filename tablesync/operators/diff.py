@@ -25,10 +25,10 @@ from pyspark.sql import types as T
 
 from tablesync.functions.geometry import geometry_changed, is_geometry
 from tablesync.operators.keys import (
+    NTH,
     flag_not_in_blocked,
     key_condition,
     left,
-    null_masks,
     right,
     right_side,
 )
@@ -99,12 +99,16 @@ def classify(
     null_safe: bool = True,
     key_nulls: str = "safe",
     plan: str = "merge",
+    order_by: str | None = None,
 ) -> DataFrame:
     """Target columns plus ``_op`` for every target and every new row.
 
     Updated and inserted rows carry the staged values, and keep (or get NULL
     for) columns the source does not provide. Deleted rows carry the old
-    values. Without ``deletion`` vanished rows count as ``same``.
+    values. Without ``deletion`` vanished rows count as ``same``. A staged row
+    whose ``order_by`` is lower than that of the row it would update, or missing, comes
+    too late: the stored row stays. In the ``merge``
+    plan a staged side that :func:`~tablesync.operators.keys.numbered` has numbered passes its numbers on.
     """
     if plan not in PLANS:
         raise ValueError(f"unknown plan {plan!r}")
@@ -112,7 +116,8 @@ def classify(
         plan = "split"
     kind = "full_outer" if plan == "merge" else "left"
     joined = _joined(target, staged, keys, null_safe, kind)
-    rows = _labelled(joined, target, staged.columns, keys, deletion)
+    mapped = [c for c in staged.columns if c != NTH]
+    rows = _labelled(joined, target, mapped, keys, deletion, [NTH] if NTH in staged.columns else [], order_by)
     if plan == "merge":
         return rows
 
@@ -168,10 +173,13 @@ def _label(differ: Column, deletion: bool) -> Column:
 
 
 def _labelled(
-    joined: DataFrame, target: DataFrame, mapped: Sequence[str], keys: Sequence[str], deletion: bool
+    joined: DataFrame, target: DataFrame, mapped: Sequence[str], keys: Sequence[str], deletion: bool, passed: Sequence[str] = (), order_by: str | None = None
 ) -> DataFrame:
     """One projection turns the joined pair into the row as it should be, and ``_op``."""
     differ = rows_differ(target.schema, [c for c in mapped if c not in keys])
+    if order_by:
+        late = left(order_by).isNotNull() & (right(order_by).isNull() | (right(order_by) < left(order_by)))
+        differ = differ & ~late
     labelled = joined.withColumn(OP, _label(differ, deletion))
     values = []
     for name in target.columns:
@@ -181,7 +189,7 @@ def _labelled(
         elif name in mapped:
             value = F.when(F.col(OP).isin(INSERT, UPDATE), right(name)).otherwise(value)
         values.append(value.alias(name))
-    return labelled.select(*values, OP)
+    return labelled.select(*values, OP, *[right(name).alias(name) for name in passed])
 
 
 def _present(target: DataFrame, staged: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
@@ -192,6 +200,6 @@ def _present(target: DataFrame, staged: DataFrame, keys: Sequence[str], null_saf
 
 def _only_not_in_deletes(rows: DataFrame, target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keep deletes that ``NOT IN`` would delete; the others stay as they are."""
-    flagged = flag_not_in_blocked(rows, staged.select(*keys), keys, masks=null_masks(target, keys))
+    flagged = flag_not_in_blocked(rows, staged.select(*keys), keys, same_keys=target)
     label = F.when((F.col(OP) == DELETE) & F.col("_blocked"), SAME).otherwise(F.col(OP))
     return flagged.withColumn(OP, label).drop("_blocked")

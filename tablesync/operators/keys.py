@@ -76,38 +76,53 @@ def _null_mask(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, bits)
 
 
-def null_masks(df: DataFrame, keys: Sequence[str]) -> list[int]:
-    """The combinations of NULL key columns that occur: at most 2^len(keys) values."""
-    return sorted(row[0] for row in df.select(_null_mask(keys).alias("m")).distinct().collect())
+def _masks_of(df: DataFrame, keys: Sequence[str]) -> Column:
+    """The NULL patterns that occur, found when the query runs: at most 2^len(keys) numbers."""
+    return df.agg(F.collect_set(_null_mask(keys))).scalar()
+
+
+def _common_part(keys: Sequence[str], mine: Column, theirs: Column) -> Column:
+    """Both patterns and the values of the columns known in both; NULLs in a struct are equal."""
+    hidden = mine.bitwiseOR(theirs)
+    shown = [F.when(hidden.bitwiseAND(F.lit(1 << i)) == 0, left(k)).alias(f"k{i}") for i, k in enumerate(keys)]
+    return F.struct(mine.alias("mine"), theirs.alias("theirs"), *shown)
 
 
 def flag_not_in_blocked(
-    df: DataFrame,
-    others: DataFrame,
-    keys: Sequence[str],
-    flag: str = "_blocked",
-    masks: Sequence[int] | None = None,
+    df: DataFrame, others: DataFrame, keys: Sequence[str], flag: str = "_blocked", same_keys: DataFrame | None = None
 ) -> DataFrame:
     """Mark rows for which SQL ``keys NOT IN (others)`` is not true.
 
-    A row is blocked by any other key that is equal on all columns where both
-    are known. Rows are grouped by which key columns are NULL; each pair of
-    groups then needs one equi-join on the columns known on both sides, and
-    none at all when no column is. Meant for data with few NULL patterns.
+    A row is blocked by any other key that is equal on all columns where both are known. Each
+    key of a side is cut down, for every NULL pattern that occurs on the other side, to the columns
+    known in both; equal cuts then meet in one equi-join, however many key columns there are. What
+    is cut on the other side is made distinct before it is shuffled. ``same_keys`` has the keys
+    of ``df`` where that is cheaper to read.
+    """
+    rows = df if same_keys is None else same_keys
+    theirs = others.select(*keys, F.explode(_masks_of(rows, keys)).alias("_m"))
+    cuts = theirs.select(_common_part(keys, F.col("_m"), _null_mask(keys)).alias("_cut")).distinct()
+    mine = rows.select(*keys, F.explode(_masks_of(others, keys)).alias("_m"))
+    mine = mine.select(_key_struct(keys).alias("_key"), _common_part(keys, _null_mask(keys), F.col("_m")).alias("_cut"))
+    blocked = mine.join(cuts, "_cut", "left_semi").select("_key").distinct().withColumn(flag, F.lit(True))
+    joined = df.join(blocked, _key_struct(keys) == F.col("_key"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.col(flag), F.lit(False)).alias(flag))
+
+
+def _key_struct(keys: Sequence[str]) -> Column:
+    return F.struct(*[left(k).alias(f"k{i}") for i, k in enumerate(keys)])
+
+
+# --- rows counted where they are joined ---------------------------------------------
+
+NTH = "_nth"
+
+
+def numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows numbered within their key, in no particular order.
+
+    The window needs the rows by key, as a sorted join by the same key does: it
+    adds neither an exchange nor a sort there, and keeps no rows back.
     """
-    other_masks = null_masks(others, keys)
-    parts = []
-    for mask in null_masks(df, keys) if masks is None else masks:
-        part = df.filter(_null_mask(keys) == mask).withColumn(flag, F.lit(False))
-        for other_mask in other_masks:
-            known = [k for i, k in enumerate(keys) if not (mask | other_mask) >> i & 1]
-            if not known:
-                part = part.withColumn(flag, F.lit(True))
-                continue
-            same_mask = others.filter(_null_mask(keys) == other_mask)
-            hits = right_side(same_mask, known).distinct().withColumn("_hit", F.lit(True))
-            joined = part.join(hits, key_condition(known, null_safe=False), "left")
-            blocked = F.col(flag) | F.col("_hit").isNotNull()
-            part = joined.select(*[F.col(f"`{c}`") for c in df.columns], blocked.alias(flag))
-        parts.append(part)
-    return reduce(DataFrame.unionByName, parts) if parts else df.withColumn(flag, F.lit(False))
+    window = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*[F.col(f"`{k}`") for k in keys])
+    return df.withColumn(NTH, F.row_number().over(window))

@@ -185,7 +185,7 @@ class TableSync:
         if spec.bulk_mode:
             return self._refresh(spec, table, base, stage.rows, plan, counts)
         deletion = spec.allow_feature_deletion and not condition and not conditions
-        return self._merge(spec, table, base, stage, plan, deletion, counts)
+        return self._merge(run, spec, table, base, stage, plan, deletion, counts)
 
     # --- staging
 
@@ -208,23 +208,33 @@ class TableSync:
             if not spec.ignore_failures:
                 rows = C.failing_on_errors(rows)
             path = f"{files.run_folder(self.spark, run.id)}/staged"
-            rows.withColumn(QUARANTINED, F.size(C.ERRORS) > 0).write.partitionBy(QUARANTINED).parquet(path)
+            watched = A.Watched(rows.withColumn(QUARANTINED, F.size(C.ERRORS) > 0), **_staging_counts(plan))
+            watched.df.write.partitionBy(QUARANTINED).parquet(path)
             stored = T.StructType([*rows.schema.fields, T.StructField(QUARANTINED, T.BooleanType())])
             staged = self.spark.read.schema(stored).parquet(path)
 
-        keyless = F.count_if(K.any_null(plan.keys))
-        read = staged.groupBy(QUARANTINED).agg(F.count(F.lit(1)).alias("n"), keyless.alias("keyless")).collect()
-        found = {r[QUARANTINED]: r["n"] for r in read}
-        run.pulled = sum(found.values())
-        ignored = found.get(True, 0)
+        if in_place:
+            # Nothing is written that could be counted on its way; only the key columns are read.
+            sums = [F.count_if(c).alias(name) for name, c in _staging_counts(plan).items()]
+            found = staged.agg(*sums).first().asDict()
+        else:
+            found = watched.counts
+        run.pulled, ignored = found["pulled"], found["ignored"]
         if ignored:
             bad = staged.filter(QUARANTINED).drop(QUARANTINED)
             bad.write.parquet(self._quarantine_folder(spec, run.id))
-        if _rejects_nulls(spec, plan) and any(r["keyless"] for r in read if not r[QUARANTINED]):
+        if _rejects_nulls(spec, plan) and found["keyless"]:
             raise SyncError(f'The source of layer "{spec.name}" has rows without a value for {", ".join(plan.keys)}')
         good = staged.filter(~F.col(QUARANTINED)).drop(QUARANTINED, C.ERRORS)
-        good = self._unique(run, spec, good, plan)
-        return _Stage(good, run.pulled, ignored, (run.pulled - ignored) * _row_width(good))
+        size = (run.pulled - ignored) * _row_width(good)
+        if spec.on_duplicate_key != "error":
+            good = K.one_row_per_key(good, list(plan.keys), C.ORDER if C.ORDER in good.columns else None).drop(C.ORDER)
+        elif not spec.bulk_mode and spec.key_nulls != "not_in" and self.choose_plan(size, plan) == "merge":
+            # The join brings the rows of a key together anyway; they are numbered there.
+            good = K.numbered(good, list(plan.keys))
+        else:
+            self._check_unique(run, spec, good, plan)
+        return _Stage(good, run.pulled, ignored, size)
 
     def quarantine(self, spec: LayerSpec, run_id: str) -> DataFrame:
         """Rows a run ignored, with the columns and values that did not fit."""
@@ -233,14 +243,12 @@ class TableSync:
     def _quarantine_folder(self, spec: LayerSpec, run_id: str) -> str:
         return f"{self.root}/quarantine/{spec.name}/{run_id}"
 
-    def _unique(self, run: _Run, spec: LayerSpec, staged: DataFrame, plan: ColumnPlan) -> DataFrame:
-        """Each key at most once, by the layer's policy; the keys that are not are listed in the quarantine folder."""
+    def _check_unique(self, run: _Run, spec: LayerSpec, staged: DataFrame, plan: ColumnPlan) -> None:
+        """Fail if a key is repeated; the keys that are, are listed in the quarantine folder."""
         keys = list(plan.keys)
-        if spec.on_duplicate_key != "error":
-            return K.one_row_per_key(staged, keys, C.ORDER if C.ORDER in staged.columns else None).drop(C.ORDER)
         repeated = K.duplicate_keys(staged, keys)
         if repeated.isEmpty():
-            return staged
+            return
         report = f"{self._quarantine_folder(spec, run.id)}-repeated-keys"
         repeated.write.parquet(report)
         listed = self.spark.read.parquet(report)
@@ -253,6 +261,7 @@ class TableSync:
 
     def _merge(
         self,
+        run: _Run,
         spec: LayerSpec,
         table: SnapshotTable,
         base: Version,
@@ -262,9 +271,17 @@ class TableSync:
         counts: dict[str, int],
     ) -> SyncResult:
         classified = self._classified(spec, table, base, stage, plan, deletion)
-        changes_path = table.write_by_op(D.changes_of(classified))
-        changes = table.read_ops(changes_path, base)
-        found, broken = A.counters(changes, _broken(base.schema))
+        numbered = K.NTH in classified.columns
+        again = A.Watched(classified, repeated=F.col(K.NTH) > 1) if numbered else None
+        if again:
+            classified = again.df.drop(K.NTH)
+        changes = A.watched_changes(D.changes_of(classified), _broken(base.schema))
+        changes_path = table.write_by_op(changes.df)
+        if again and again.counts["repeated"]:
+            files.delete(self.spark, changes_path)
+            self._check_unique(run, spec, stage.rows.drop(K.NTH), plan)
+        found = changes.counts
+        broken = found["broken"]
         counts |= dict(num_created=found["insert"], num_updated=found["update"], num_deleted=found["delete"])
         if not any(found[op] for op in D.CHANGES):
             files.delete(self.spark, changes_path)
@@ -299,6 +316,8 @@ class TableSync:
         """
         keys = list(plan.keys)
         rules = dict(deletion=deletion, null_safe=not plan.keys_from_table, key_nulls=spec.key_nulls)
+        if spec.keep_newer:
+            rules["order_by"] = _stored_order(spec, plan)
         chosen = self.choose_plan(stage.size, plan)
         if not (base.deltas and plan.keys_from_table and spec.key_nulls != "not_in"):
             return D.classify(table.read(base), stage.rows, keys, plan=chosen, **rules)
@@ -354,9 +373,9 @@ class TableSync:
                 return _finished(base, {})
             flagged = P.flag_matches(target, criteria)
         # The matching rows are the change set.
-        matched = flagged.filter("_matched").drop("_matched").withColumn(D.OP, F.lit(D.DELETE))
-        changes_path = table.write_by_op(matched)
-        deleted = A.counters(table.read_ops(changes_path, base))[0][D.DELETE]
+        matched = A.watched_changes(flagged.filter("_matched").drop("_matched").withColumn(D.OP, F.lit(D.DELETE)))
+        changes_path = table.write_by_op(matched.df)
+        deleted = matched.counts[D.DELETE]
         if not deleted:
             files.delete(self.spark, changes_path)
             return _finished(base, {})
@@ -407,6 +426,19 @@ def parse_request(document: str) -> dict:
     return request
 
 
+def _stored_order(spec: LayerSpec, plan: ColumnPlan) -> str:
+    """The target column that keeps the order of the source rows."""
+    for name, source_name in plan.mapped.items():
+        if source_name == spec.order_by:
+            return name
+    raise SyncError(f'Layer "{spec.name}" keeps newer rows; its target needs the column "{spec.order_by}"')
+
+
+def _staging_counts(plan: ColumnPlan) -> dict[str, Column]:
+    good = ~F.col(QUARANTINED)
+    return {"pulled": F.lit(True), "ignored": ~good, "keyless": good & K.any_null(plan.keys)}
+
+
 def _rejects_nulls(spec: LayerSpec, plan: ColumnPlan) -> bool:
     return spec.key_nulls == "reject" or (plan.keys_from_table and spec.key_nulls == "safe")
 

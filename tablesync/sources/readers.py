@@ -35,15 +35,26 @@ SPLIT_OPTIONS = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"}
 DEFAULT_OPTIONS = {"csv": {"header": "true"}, "xml": {"attributePrefix": "", "rowTag": "row"}}
 
 
-def read_source(spark: SparkSession, spec: LayerSpec) -> DataFrame:
-    """The layer's source rows: lower-case names, at most one geometry column."""
-    df = open_layer(spark, spec)
+def read_source(spark: SparkSession, spec: LayerSpec, paths: list[str] | None = None) -> DataFrame:
+    """The layer's source rows, or those of some of its files: lower-case names, at most one geometry column."""
+    df = open_layer(spark, spec, paths)
     if spec.geometry_source:
         df = with_geometry(df, spec.geometry_source, spec.source_srid)
     return lower_names(df, spec.fid_column)
 
 
-def open_layer(spark: SparkSession, spec: LayerSpec) -> DataFrame:
+def layer_path(spark: SparkSession, spec: LayerSpec) -> str:
+    """Folder or file of a layer that is made of files."""
+    if spec.source_format not in FILE_FORMATS or not files.exists(spark, spec.source):
+        raise SyncError(f'The files of layer "{spec.name}" cannot be listed: {spec.source}')
+    layers = list_layers(spark, spec.source, spec.source_format)
+    found = _find(spec.source_layer, layers)
+    if found is None:
+        raise SyncError(_missing_layer(spark, spec, layers, spec.source_options))
+    return layers[found]
+
+
+def open_layer(spark: SparkSession, spec: LayerSpec, paths: list[str] | None = None) -> DataFrame:
     options = {**DEFAULT_OPTIONS.get(spec.source_format, {}), **spec.source_options}
     if spec.source_format == "xml" and _is_file(spec):
         options = {**options, "rowTag": spec.source_layer}
@@ -67,7 +78,7 @@ def open_layer(spark: SparkSession, spec: LayerSpec) -> DataFrame:
     if found is None:
         raise SyncError(_missing_layer(spark, spec, layers, options))
     try:
-        return _load(spark, spec.source_format, layers[found], options, spec.source_schema)
+        return _load(spark, spec.source_format, paths or layers[found], options, spec.source_schema)
     except PySparkException as error:
         raise SyncError(
             f'source_layer "{spec.source_layer}" of layer "{spec.name}" exists, but cannot be read: {error}'
@@ -117,7 +128,7 @@ def _find(wanted: str, layers: Mapping[str, str]) -> str | None:
 
 
 def _load(
-    spark: SparkSession, source_format: str, path: str, options: Mapping[str, str], schema: str | None = None
+    spark: SparkSession, source_format: str, path: str | list[str], options: Mapping[str, str], schema: str | None = None
 ) -> DataFrame:
     """The rows of one layer. A ``schema`` (columns with types) saves the pass that finds it out."""
     names = [f.name for f in T.StructType.fromDDL(schema) if f.name != "geometry"] if schema else None

@@ -77,6 +77,7 @@ class LayerSpec:
 
     on_duplicate_key: str = "error"
     order_by: str | None = None
+    keep_newer: bool = False
     key_nulls: str = "safe"
     real_scale: int | None = None
     allow_bulk_filter: bool = False
@@ -93,6 +94,8 @@ class LayerSpec:
         _one_of("key null policy", self.key_nulls, KEY_NULL_POLICIES)
         if self.on_duplicate_key == "latest" and not self.order_by:
             raise SpecError(f'Layer "{self.name}" keeps the latest duplicate and so needs order_by')
+        if self.keep_newer and not self.order_by:
+            raise SpecError(f'Layer "{self.name}" keeps newer rows and so needs order_by')
         object.__setattr__(self, "primary_key_columns", tuple(self.primary_key_columns))
 
     @property

@@ -28,7 +28,9 @@ def incremental_pull(
     """Upsert every micro-batch of ``rows``; never delete, as a batch is partial.
 
     Without ``interval`` the query takes what is there and stops. Repeating a
-    batch after a failure changes nothing, as its rows already match.
+    batch after a failure changes nothing, as its rows already match. Files may
+    arrive in any order if the layer has ``keep_newer``: the target then keeps the
+    ``order_by`` column, and a row that is older than the stored one changes nothing.
     """
 
     def upsert(batch: DataFrame, _epoch: int) -> None:

@@ -5,9 +5,11 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame as ClassicFrame
+from pyspark.sql.readwriter import DataFrameWriter
 
 from catalogue.fixtures import view
-from catalogue.queries import QUERIES
+from catalogue.queries import QUERIES, published
 from tablesync import SnapshotTable
 from tablesync.operators import apply as A
 from tablesync.operators import diff as D
@@ -88,6 +90,55 @@ def test_repeated_target_keys_are_distinct_before_their_shuffle(spark, sf_dir):
     assert len(shuffled) == 2 and plan.count("HashAggregate") == 2
 
 
+def test_only_comparisons_of_texts_are_not_pushed_down(spark, sf_dir):
+    condition = "l_quantity > 10 and l_returnflag = 'a' and l_linestatus >= 'F' and not (l_linestatus in ('f') or l_tax = 0.0)"
+    with settings(spark, spark__sql__maxMetadataStringLength="10000"):
+        plan = plan_of(P.apply_filter(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), condition, "x"))
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "GreaterThan(l_quantity,10.0)" in pushed and "GreaterThanOrEqual(l_linestatus,F)" in pushed and "l_tax" in pushed
+    assert "EqualTo(l_returnflag" not in pushed and "lower(l_returnflag" in plan and "lower(l_linestatus" in plan
+
+
+def test_repeated_keys_are_counted_in_the_exchange_of_the_join(spark, sf_dir):
+    with settings(spark, **NO_BROADCAST):
+        target, staged = pair(spark, sf_dir)
+        rows = D.classify(target, K.numbered(staged, ["id"]), ["id"], deletion=True, null_safe=False)
+        watched = A.watched_changes(D.changes_of(A.Watched(rows, repeated=F.col(K.NTH) > 1).df.drop(K.NTH)))
+        plan = plan_of(watched.df)
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Window [") == 1
+    assert len(re.findall(r"\bSort \[", plan)) == 2 and plan.count("CollectMetrics") == 2
+    assert plan.count("FileScan") == 2
+
+
+def test_a_pull_reads_its_source_once(spark, sf_dir, monkeypatch):
+    """Counters, repeated keys and changes come from the staging and from the one join that is written."""
+    written = []
+    save = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (written.append(self._df), save(self, path, *a, **k))[1])
+    collected = []
+    for name in ("collect", "first", "count", "isEmpty"):
+        plain = getattr(ClassicFrame, name)
+        monkeypatch.setattr(ClassicFrame, name, lambda self, *a, _plain=plain, **k: (collected.append(plan_of(self)), _plain(self, *a, **k))[1])
+    with settings(spark, **NO_BROADCAST, spark__sql__maxMetadataStringLength="10000"):
+        target, source = pair(spark, sf_dir)
+        sync, spec, stored = published(spark, source, target, ["id"], buckets=4, allow_feature_deletion=True, source_format="csv")
+        written.clear(), collected.clear()
+        result = sync.pull(spec.name)
+        runs = [plan_of(df) for df in written]
+    staging = [plan for plan in runs if "Scan csv" in plan or "FileScan csv" in plan]
+    joins = [plan for plan in runs if "/staged" in plan]
+    assert len(staging) == 1 and len(joins) == 1 and "CollectMetrics" in staging[0] and joins[0].count("CollectMetrics") == 2
+    assert not [plan for plan in collected if "/staged" in plan or "source/layer" in plan]
+    assert result.num_updated and result.num_deleted and stored.read().count()
+
+
+@pytest.mark.parametrize("keys", [["id"], ["id", "cust"], ["id", "cust", "status"]])
+def test_not_in_reads_each_side_as_often_for_any_number_of_keys(spark, sf_dir, keys):
+    target, staged = pair(spark, sf_dir)
+    plan = D.missing_rows_not_in(staged, target, keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[", plan)) <= 6 and "Union" not in plan and plan.count("Join ") == 2
+
+
 def test_latest_row_is_limited_before_the_shuffle(spark, sf_dir):
     plan = plan_of(K.one_row_per_key(spark.read.parquet(f"{sf_dir}/events.parquet"), ["user_id"], "ts"))
     assert plan.count("WindowGroupLimit") == 2
@@ -100,7 +151,7 @@ def test_duplicate_count_is_combined_before_the_shuffle(spark, sf_dir):
 
 def test_filter_reaches_the_scan_and_columns_are_pruned(spark, sf_dir):
     condition = P.compose_filter("l_quantity > 10", "l_returnflag = 'A'")
-    lines = P.apply_filter(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), condition, "x").select("l_orderkey")
+    lines = P.apply_filter(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), condition, "x", ignore_case=False).select("l_orderkey")
     plan = plan_of(lines)
     assert "l_quantity,10.0)" in plan and "EqualTo(l_returnfl" in plan
     assert re.search(r"ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_returnflag:string>", plan)
@@ -147,7 +198,7 @@ def test_counts_come_from_footers(spark, sf_dir, folder):
     D.classify(target, staged, ["id"], deletion=True).write.partitionBy(D.OP).parquet(f"{folder}/c")
     plan = plan_of(A.counts_per_op(spark.read.parquet(f"{folder}/c")))
     assert "ReadSchema: struct<>" in plan
-    assert A.counters(spark.read.parquet(f"{folder}/c"))[0] == {
+    assert A.counters(spark.read.parquet(f"{folder}/c")) == {
         r["_op"]: r["n"] for r in A.counts_per_op(spark.read.parquet(f"{folder}/c")).collect()
     }
 

@@ -71,14 +71,14 @@ def test_convergence_and_idempotence(spark, seed):
     result = A.result_rows(classified)
     # Mapped columns equal the source, and a second pull finds nothing to do.
     assert rows(result.select("a", "b", "v")) == sorted(staged, key=repr)
-    counts, _ = A.counters(D.classify(result, s, KEYS, deletion=True))
+    counts = A.counters(D.classify(result, s, KEYS, deletion=True))
     assert (counts["insert"], counts["update"], counts["delete"]) == (0, 0, 0)
     # The change set leads to the same table, and untouched columns keep their values.
     assert rows(A.apply_changes(t, D.changes_of(classified), KEYS)) == rows(result)
     notes = {row[:2]: row[3] for row in target}
     assert all(r["note"] == notes.get((r["a"], r["b"])) for r in result.collect())
     # Every staged row is created, updated or unchanged.
-    kinds, _ = A.counters(classified)
+    kinds = A.counters(classified)
     assert kinds["insert"] + kinds["update"] + kinds["same"] == len(staged)
 
 
