@@ -4,7 +4,7 @@
    more often than others; learned on one half of a bounded sample of labelled rows.
 2. *Matching.* The lexicon is a trie; its product with a Levenshtein automaton is made deterministic
    state by state as texts need them, so a word costs one lookup per character until no term
-   can be reached. Terms of 4 letters may differ by one edit, of 9 by two; stems of 5 letters by one.
+   can be reached. Terms of 4 letters may differ by one edit, of 9 by two, shorter ones by none; stems of 5 letters by one.
    Misspelled stems and terms of 4 letters weigh half a misspelling. Stems do not replace learned words.
 3. *Context.* In a window of :data:`WINDOW` words around a hit, quotation marks and reporting words
    speak for quoting, words of address for abuse. Each hit is exact, misspelled or a stem, and open or quoted.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesync.llm import ships
@@ -36,8 +36,6 @@ ships(__name__)
 
 #: Labelled rows used at most, those with the smallest hashes: bounds the broadcast and what is fitted on the driver.
 SAMPLE_ROWS = 30_000
-#: Terms of the lexicon at most, the most frequent ones; bounds the automaton.
-LEXICON = 2_000
 #: Times that a term has to be likelier in toxic documents, and their least share and number that have it.
 ODDS = 20.0
 MIN_SHARE, MIN_DOCS = 0.003, 5
@@ -232,25 +230,29 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = known.orderBy(F.xxhash64("labelled"), "labelled").limit(SAMPLE_ROWS)
     # SAMPLE_ROWS pairs at most.
     met = docs.join(F.broadcast(known), docs["doc_id"] == F.col("labelled"))
+    # Of a repeated id one row is a sample; the rank is cut down ahead of the shuffle, too.
+    one = F.row_number().over(Window.partitionBy("labelled").orderBy(F.xxhash64("text"), "text"))
+    met = met.withColumn("nth", one).filter("nth = 1")
     half = (F.xxhash64("labelled", F.lit("half")) % 2 == 0).alias("first_half")
     return stored(met.select("text", "toxic", half), "toxic_sample")
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """Words and stems; at most LEXICON of each come to the driver."""
+    """Words and stems, of any length. Each is in MIN_SHARE of the toxic rows of the sample at least, so that no
+    more come to the driver than 1 / MIN_SHARE times the different words that a row has on average."""
     totals = sample.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
     toxic, clean = totals["toxic"] or 0, totals["n"] - (totals["toxic"] or 0)
     if not toxic or not clean:
         return [], []
     word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("term")
     words = sample.filter("text is not null").select(word, "toxic").groupBy("term")
-    words = words.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).filter(F.length("term").between(4, 40))
+    words = words.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).filter("term <> ''")
     words = stored(words, "toxic_words")
     odds = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("n") - F.col("toxic") + 0.5) / (clean + 1))
     strong = (F.col("toxic") >= max(MIN_DOCS, MIN_SHARE * toxic)) & (odds >= ODDS)
 
     def chosen(terms: DataFrame) -> list[str]:
-        return [r["term"] for r in terms.filter(strong).orderBy(F.desc("toxic"), "term").limit(LEXICON).collect()]
+        return [r["term"] for r in terms.filter(strong).orderBy(F.desc("toxic"), "term").collect()]
 
     size = F.explode(F.array(*[F.lit(n) for n in STEMS])).alias("size")
     stems = words.select("term", "toxic", "n", size).filter(F.length("term") > F.col("size"))
@@ -262,7 +264,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     # Toxic without its strongest word too: one toxic word makes no stem of what else begins like it.
     rest = {name: F.col(name) - F.col(f"strongest.{name}") for name in ("toxic", "n")}
     named = stems.withColumns(rest).filter(strong).select("term")
-    sums = {r["term"]: r["toxic"] for r in stems.join(named, "term", "left_semi").filter(strong).orderBy(F.desc("toxic"), "term").limit(LEXICON).collect()}
+    sums = {r["term"]: r["toxic"] for r in stems.join(named, "term", "left_semi").filter(strong).collect()}
     found: list[str] = []
     for stem in sorted(sums, key=lambda s: (len(s), s)):
         if not any(stem.startswith(s) or s.startswith(stem) for s in found):

@@ -195,3 +195,18 @@ def test_quotation_is_told_from_abuse():
     open_, quoted = toxic_terms.features(["you are an idiot here", 'they said "idiot" to us'], lexicon)
     assert open_[0] > 0 and open_[3] == 0 and open_[6] > 0
     assert quoted[3] > 0 and quoted[0] == 0 and quoted[7] > 0
+
+
+def test_the_lexicon_has_terms_of_any_length_and_number(spark):
+    """Short, long and very many toxic words; a repeated id counts once."""
+    many = [f"bad{n:04d}word" for n in range(2_500)]
+    rows = [(i, " ".join(["zz", "q" * 45, *many, f"say{i}"]), 1) for i in range(0, 40)]
+    rows += [(i, f"a calm text about zebras {i}", 0) for i in range(100, 400)]
+    rows += [(7, rows[7][1], 1)] * 30
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = sample.select("doc_id", "toxic").distinct()
+    words, _ = toxic_terms.learn_lexicon(sample.select("text", "toxic"))
+    assert {"zz", "q" * 45, *many} <= set(words)
+    assert toxic_terms._sample(sample.select("doc_id", "text"), labels).count() <= labels.count()
+    lexicon = toxic_terms.FuzzyLexicon(["zz", "q" * 45], [])
+    assert [lexicon.kind_of(w) for w in ("zz", "zy", "z", "q" * 45, "q" * 44)] == [1, 0, 0, 1, 2]

@@ -112,7 +112,8 @@ def test_verdicts_follow_rules_then_links(spark):
     assert host_trust.judge(nothing(spark, pages), RULES).collect() == []
 
 
-def test_propagation_equals_power_iteration(spark):
+def test_propagation_equals_power_iteration(spark, monkeypatch):
+    monkeypatch.setattr(host_trust, "SETTLED", 1e-2)
     rng = np.random.default_rng(8)
     weight = np.where(rng.random((12, 12)) < 0.25, rng.integers(1, 5, (12, 12)), 0) * (1 - np.eye(12, dtype=int))
     allowed, blocked = np.zeros(12), np.zeros(12)
@@ -123,18 +124,30 @@ def test_propagation_equals_power_iteration(spark):
         spark.createDataFrame(seeds, "host string, allowed double, blocked double"), spark.createDataFrame(edges, "src string, dst string, weight long")
     ).collect()
 
-    def rank(start, links):
-        start, score = start / start.sum(), start / start.sum()
-        share = links / np.maximum(links.sum(1, keepdims=True), 1)
-        for _ in range(host_trust.ROUNDS):
-            moved = host_trust.DAMPING * score @ share
-            score = moved + (1 - moved.sum()) * start
-        return score
+    def step(start, links, score):
+        moved = host_trust.DAMPING * score @ (links / np.maximum(links.sum(1, keepdims=True), 1))
+        return moved + (1 - moved.sum()) * start
 
-    trust, distrust = rank(allowed, weight), rank(blocked, weight.T)
+    starts = [allowed / allowed.sum(), blocked / blocked.sum()]
+    scores, change = starts, 1
+    while change >= host_trust.SETTLED:
+        new = [step(start, links, score) for start, links, score in zip(starts, (weight, weight.T), scores)]
+        change, scores = sum(np.abs(a - b).sum() for a, b in zip(new, scores)), new
+    trust, distrust = scores
     for r in found:
         i = int(r["host"][1:])
-        assert math.isclose(r["trust"], trust[i], abs_tol=1e-5) and math.isclose(r["distrust"], distrust[i], abs_tol=1e-5)
+        assert math.isclose(r["trust"], trust[i], abs_tol=1e-9) and math.isclose(r["distrust"], distrust[i], abs_tol=1e-9)
+
+
+def test_distrust_reaches_far_hosts_in_large_graphs(spark, monkeypatch):
+    """A chain of hosts that ends at a blocked one, next to very many seeds, which make all scores small."""
+    monkeypatch.setattr(host_trust, "SETTLED", 0.05)
+    length = 24
+    edges = spark.createDataFrame([(f"c{i}", f"c{i + 1}", 1) for i in range(length)], "src string, dst string, weight long")
+    others = spark.range(200_000).select(F.concat(F.lit("o"), "id").alias("host"), F.lit(1.0).alias("allowed"), F.lit(1.0).alias("blocked"))
+    seeds = others.union(spark.createDataFrame([(f"c{length}", 0.0, 1.0)], others.schema))
+    found = {r["host"]: r for r in host_trust.propagate(seeds, edges).filter("host like 'c%'").collect()}
+    assert len(found) == length + 1 and all(r["distrust"] > r["trust"] == 0 for r in found.values())
 
 
 def test_search_equals_all_products(spark, monkeypatch):
