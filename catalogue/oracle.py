@@ -258,7 +258,54 @@ ORACLE: dict[str, str] = {
     "pull_on_change_sets_published": sql_with("src", "tgt") + RESULT_FULL,
     "source_csv_published": sql_with("src", "tgt") + RESULT_FULL,
     "source_geojson_published": sql_with("pts")
-    + "select id, cast(srid as integer) as code, 3857 as srid, cast(1 as bigint) as kind, 21 as n_bytes from pts",
+    + """select id, cast(srid as integer) as code, 3857 as srid,
+                round(radians(x) * 6378137.0, 3) as mx, round(ln(tan(pi() / 4 + radians(y) / 2)) * 6378137.0, 3) as my
+         from pts""",
+    "source_wkt_published": sql_with("pts")
+    + """select id, (select count(*) from pts where id % 10 = 0) as ignored, cast(srid as integer) as srid,
+                cast(case id % 3 when 0 then 1 when 1 then 2 else 6 end as bigint) as kind,
+                cast(case id % 3 when 0 then 1 when 1 then 2 else 4 end as integer) as n,
+                cast(x as double) as x, cast(y as double) as y,
+                cast(case id % 3 when 1 then x + 1 else x end as double) as last_x,
+                cast(case id % 3 when 1 then y + 2 else y end as double) as last_y
+         from pts where id % 10 <> 0""",
+    "source_gml_published": sql_with("pts")
+    + """select id, (select count(*) from pts where id % 10 = 0) as ignored,
+                round(radians(x) * 6378137.0, 3) as mx, round(ln(tan(pi() / 4 + radians(y) / 2)) * 6378137.0, 3) as my
+         from pts where id % 10 <> 0""",
+    "geom_truncated_quarantined": sql_with("pts")
+    + """select id, cast(case id % 8 when 2 then 3 when 5 then 7 else 2 end as bigint) as kind,
+                cast(case id % 8 when 2 then 77 when 5 then 9 else 41 end as integer) as n_bytes,
+                (select count(*) from pts where id % 8 in (0, 3, 4, 6, 7)) as ignored,
+                (select count(*) from pts where id % 8 in (1, 2, 5)) as created
+         from pts where id % 8 in (0, 1, 2, 4, 5)""",
+    "failures_change_nothing": sql_with("tgt")
+    + """select v.*, (select count(*) from tgt where status is not null) as rows
+         from (values ('plain', 'failed', 'filter'), ('plain', 'failed', 'rule'), ('words', 'failed', 'value'),
+                      ('shapes', 'failed', 'rule'), ('plain', 'failed', 'deletion'), ('absent', 'failed', 'near layer')
+              ) as v(layer_name, status, reason)""",
+    "run_by_id": sql_with("src", "tgt")
+    + """, f as (select * from src where price > 50000)
+         select 'finished' as status, 'layer' as "layerName", 'pull' as type, 'price > 50000' as filter,
+                cast((select count(*) from f) as varchar) as "numPulled", '0' as "numCreated", '0' as "numUpdated" from (select 1)""",
+    "pull_filter_text_ci_published": sql_with("src", "tgt")
+    + """, f as (select * from src where not (lower(src_only) = '3-medium' or lower(src_only) in ('4-not specified', 'none'))
+                 and (lower(status) like 'f%' or status is null or (lower(status) <> 'o' and price < 90000))
+                 and src_only < '2-h' and status >= 'A')
+         select s.id, s.cust, s.status, s.price, s.odate, t.note from f s left join tgt t on t.id = s.id
+         union all
+         select t.id, t.cust, t.status, t.price, t.odate, t.note from tgt t
+         where not exists (select 1 from f s where s.id = t.id)""",
+    "pull_changed_files_published": sql_with("src", "tgt")
+    + """, held as (
+           select * from src where id % 3 = 0 or (id % 3 = 2 and id % 5 = 0)
+           union all
+           select id, cust, status, price + 1, odate, src_only from src where id % 3 = 1 and id % 4 <> 0),
+         n as (select (select count(*) from src) as first_read,
+                      (select count(*) from held where id % 3 <> 0) as second_read, true as third_idle)
+         select s.id, s.cust, s.status, s.price, s.odate, t.note, n.* from held s cross join n left join tgt t on t.id = s.id
+         union all
+         select t.*, n.* from tgt t cross join n where not exists (select 1 from src s where s.id = t.id)""",
     "bulk_published": sql_with("src")
     + "select id, cust, status, price, odate, cast(null as varchar) as note from src",
     "remove_published": sql_with("src") + NOT_REMOVED,
@@ -290,5 +337,8 @@ ORACLE: dict[str, str] = {
          union all
          select t.id, t.cust, t.status, t.price, t.odate, t.note from tgt t
          where not exists (select 1 from src s where s.id = t.id and s.status = 'F')""",
+    "stream_late_rows_published": """
+        select user_id, event_id, event_type, value from events
+        qualify row_number() over (partition by user_id order by event_id desc) = 1""",
     "stream_incremental": sql_with("src", "tgt") + RESULT_NO_DELETE,
 }

@@ -25,6 +25,7 @@ from tablesync.operators.columns import plan_columns
 from tablesync.sources import files
 from tablesync.sources.readers import lower_names
 from tablesync.sources.sinks import overwrite_partitions
+from tablesync.streaming.changed import pull_changed_files
 from tablesync.streaming.incremental import incremental_pull
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -678,6 +679,41 @@ def pull_filter_ci_published(spark, sf_dir):
     return stored.read()
 
 
+@query
+def pull_filter_text_ci_published(spark, sf_dir):
+    """Filter text: equality, lists and LIKE on texts ignore case at any depth; orderings mind it."""
+    sync, spec, stored = published(
+        spark, view(spark, sf_dir, "src"), view(spark, sf_dir, "tgt"), ["id"], allow_feature_deletion=True,
+        filter="not (src_only = '3-medium' or src_only in ('4-NOT specified', 'none'))",
+    )
+    sync.pull(spec.name, "(status like 'F%' or status <=> null or (status <> 'o' and price < 90000)) and src_only < '2-h' and status >= 'A'")
+    return stored.read()
+
+
+@query
+def pull_changed_files_published(spark, sf_dir):
+    """Files that changed, went and came between two pulls; a third one finds nothing to read."""
+    root, source, target = work_folder(spark), view(spark, sf_dir, "src"), view(spark, sf_dir, "tgt")
+    folder = f"{root}/source/layer.parquet"
+    spec = LayerSpec("layer", f"{root}/source", "layer", "stored", "target", allow_feature_deletion=True)
+    sync = TableSync(spark, f"{root}/tables", [spec])
+    stored = SnapshotTable.create(spark, f"{root}/tables/stored/target", nullable(target.schema), ["id"], rows=target)
+    for part in range(3):
+        source.filter(F.col("id") % 3 == part).write.parquet(f"{folder}/k{part}")
+    first = pull_changed_files(sync, "layer")
+    changed = source.filter("id % 3 = 1 and id % 4 <> 0").withColumn("price", F.col("price") + 1)
+    changed.write.mode("overwrite").parquet(f"{folder}/k1")
+    files.delete(spark, f"{folder}/k2")
+    source.filter("id % 3 = 2 and id % 5 = 0").write.parquet(f"{folder}/k3")
+    second, third = pull_changed_files(sync, "layer"), pull_changed_files(sync, "layer")
+    return stored.read().select(
+        "*",
+        F.lit(first.num_pulled).cast("long").alias("first_read"),
+        F.lit(second.num_pulled).cast("long").alias("second_read"),
+        F.lit(third is None).alias("third_idle"),
+    )
+
+
 @query
 def pull_filtered_published(spark, sf_dir):
     sync, spec, stored = published(
@@ -731,13 +767,153 @@ def source_geojson_published(spark, sf_dir):
         geometry_source={"encoding": "geojson"},
     )
     TableSync(spark, f"{root}/tables", [spec]).pull("places")
+    geom, at = F.col("shape"), G.point_coordinates(F.col("shape.wkb"))
+    return stored.read().select(
+        "id", "code", G.srid(geom).alias("srid"), F.round(at[0], 3).alias("mx"), F.round(at[1], 3).alias("my")
+    )
+
+
+def _pulled_places(spark, rows: DataFrame, target: T.StructType, **settings):
+    """A layer of places pulled into an empty table, and the rows it set aside."""
+    root = work_folder(spark)
+    rows.write.parquet(f"{root}/source/layer.parquet")
+    stored = SnapshotTable.create(spark, f"{root}/tables/stored/target", target, ["id"])
+    spec = LayerSpec("layer", f"{root}/source", "layer", "stored", "target", ignore_failures=True, **settings)
+    result = TableSync(spark, f"{root}/tables", [spec]).pull("layer")
+    return stored.read().withColumn("ignored", F.lit(result.num_ignored).cast("long"))
+
+
+@query
+def source_wkt_published(spark, sf_dir):
+    """Well-known text with and without a reference system; every tenth text is broken."""
+    at = lambda dx, dy: F.concat_ws(" ", (F.col("x") + dx).cast("string"), (F.col("y") + dy).cast("string"))
+    ring = F.concat_ws(", ", at(0, 0), at(1, 0), at(1, 1), at(0, 0))
+    text = (
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("POINT("), at(0, 0), F.lit(")")))
+        .when(F.col("id") % 3 == 1, F.concat(F.lit("LineString ("), F.concat_ws(",", at(0, 0), at(1, 2)), F.lit(")")))
+        .otherwise(F.concat(F.lit("MULTIPOLYGON((("), ring, F.lit(")))")))
+    )
+    named = F.when(F.col("srid") == 0, text).otherwise(F.concat(F.lit("SRID=4326;"), text))
+    broken = F.when(F.col("id") % 10 == 0, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    rows = view(spark, sf_dir, "pts").withColumn("text", named).select("id", broken.alias("shape"))
+    target = T.StructType([T.StructField("id", T.LongType()), C.geometry_field("shape")])
+    places = _pulled_places(spark, rows, target, geometry_source={"encoding": "wkt", "column": "shape", "name": "shape"})
     geom = F.col("shape")
+    read = places.select("id", "ignored", G.srid(geom).alias("srid"), G.geometry_kind(geom["wkb"]).alias("kind"), G.vertices(geom["wkb"]).alias("v"))
+    last = F.element_at("v", -1)
+    return read.select(
+        "id", "ignored", "srid", "kind", F.size("v").alias("n"),
+        F.col("v")[0][0].alias("x"), F.col("v")[0][1].alias("y"), last[0].alias("last_x"), last[1].alias("last_y"),
+    )
+
+
+@query
+def source_gml_published(spark, sf_dir):
+    """GML points whose official system names put the latitude first, brought to the target's system."""
+    x, y = F.col("x").cast("string"), F.col("y").cast("string")
+    official = F.concat(F.lit('<gml:Point srsName="urn:ogc:def:crs:EPSG::4326"><gml:pos>'), y, F.lit(" "), x, F.lit("</gml:pos></gml:Point>"))
+    short = F.concat(F.lit('<gml:Point srsName="EPSG:4326"><gml:coordinates>'), x, F.lit(","), y, F.lit("</gml:coordinates></gml:Point>"))
+    text = F.when(F.col("id") % 10 == 0, "<gml:Point><gml:pos>1</gml:pos></gml:Point>").when(F.col("id") % 2 == 0, official).otherwise(short)
+    rows = view(spark, sf_dir, "pts").select("id", text.alias("shape"))
+    target = T.StructType([T.StructField("id", T.LongType()), C.geometry_field("shape", G.MERCATOR, 2)])
+    places = _pulled_places(spark, rows, target, geometry_source={"encoding": "gml", "column": "shape", "name": "shape"})
+    at = G.point_coordinates(F.col("shape.wkb"))
+    return places.select("id", "ignored", F.round(at[0], 3).alias("mx"), F.round(at[1], 3).alias("my"))
+
+
+@query
+def geom_truncated_quarantined(spark, sf_dir):
+    """Bytes that hold less, more or other than their counts announce are set aside; what is stored stays."""
+    at = lambda dx, dy: F.concat(
+        F.lit("["), (F.col("x") + dx).cast("string"), F.lit(","), (F.col("y") + dy).cast("string"), F.lit("]")
+    )
+    shape = lambda kind, *pts: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), *pts, F.lit("}"))
+    line = F.hex(G.geojson_wkb(shape("LineString", F.lit("["), F.concat_ws(",", at(0, 0), at(1, 1)), F.lit("]"))))
+    ring = F.concat_ws(",", at(0, 0), at(1, 0), at(1, 1), at(0, 0))
+    polygon = F.hex(G.geojson_wkb(shape("Polygon", F.lit("[["), ring, F.lit("]]"))))
+    case = F.col("id") % 8
+    text = (
+        F.when(case == 0, F.expr("left(line, length(line) - 16)"))
+        .when(case == 1, F.col("line"))
+        .when(case == 2, F.col("polygon"))
+        .when(case == 3, F.expr("left(polygon, length(polygon) - 32)"))
+        .when(case == 4, "0000000002FFFFFFFF")
+        .when(case == 5, "000000000700000000")
+        .when(case == 6, F.concat(F.lit("010400000001000000"), F.col("line")))
+        .otherwise(F.concat(F.col("line"), F.lit("00")))
+    )
+    shapes = view(spark, sf_dir, "pts").withColumns({"line": line, "polygon": polygon}).select("id", text.alias("shape"), "line")
+    before = shapes.filter("id % 8 in (0, 4)").select("id", G.geometry_from_hex(F.col("line"), 0).alias("shape"))
+    sync, spec, stored = published(
+        spark, shapes.drop("line"), before, ["id"],
+        geometry_source={"encoding": "hex", "column": "shape", "name": "shape", "byte_order": "mixed"}, ignore_failures=True,
+    )
+    result = sync.pull(spec.name)
+    wkb = F.col("shape.wkb")
     return stored.read().select(
-        "id", "code", G.srid(geom).alias("srid"), G.geometry_kind(geom["wkb"]).alias("kind"),
-        F.octet_length(geom["wkb"]).alias("n_bytes"),
+        "id", G.geometry_kind(wkb).alias("kind"), F.octet_length(wkb).alias("n_bytes"),
+        F.lit(result.num_ignored).cast("long").alias("ignored"), F.lit(result.num_created).cast("long").alias("created"),
     )
 
 
+@query
+def failures_change_nothing(spark, sf_dir):
+    """Requests that fail, each for its own reason: what the log says about them, and the target as it was."""
+    source = view(spark, sf_dir, "src")
+    target = view(spark, sf_dir, "tgt")
+    root = work_folder(spark)
+    source.write.parquet(f"{root}/source/layer.parquet")
+    source.select("id", F.col("src_only").alias("price")).write.parquet(f"{root}/source/words.parquet")
+    points = F.concat(F.lit("POINT("), F.col("id").cast("string"), F.lit(" 1)"))
+    source.select("id", points.alias("shape")).write.parquet(f"{root}/source/shapes.parquet")
+    fields = [*nullable(target.schema).fields, C.geometry_field("shape", G.DEGREES, 3)]
+    fields = [T.StructField(f.name, f.dataType, f.name != "status", f.metadata) for f in fields]
+    known = target.filter("status is not null").withColumn("shape", F.lit(None).cast(G.GEOMETRY))
+    stored = SnapshotTable.create(spark, f"{root}/tables/stored/target", T.StructType(fields), ["id"], rows=known)
+    layers = [
+        LayerSpec("plain", f"{root}/source", "layer", "stored", "target"),
+        LayerSpec("words", f"{root}/source", "words", "stored", "target"),
+        LayerSpec("shapes", f"{root}/source", "shapes", "stored", "target", geometry_source={"encoding": "wkt", "column": "shape", "name": "shape"}),
+        LayerSpec("closed", f"{root}/source", "layer", "stored", "target", enabled=False),
+        LayerSpec("absent", f"{root}/source", "leyer", "stored", "target"),
+    ]
+    sync = TableSync(spark, f"{root}/tables", layers)
+    requests = {
+        "filter of an unknown column": lambda: sync.pull("plain", "nowhere = 1"),
+        "missing value": lambda: sync.pull("plain"),
+        "value that does not fit": lambda: sync.pull("words"),
+        "geometry of another dimension": lambda: sync.pull("shapes"),
+        "deletion without leave": lambda: sync.remove_by_attributes("plain", [{"status": "F"}]),
+        "layer that is closed": lambda: sync.pull("closed"),
+        "layer that is missing": lambda: sync.pull("absent"),
+        "request without a layer": lambda: sync.pull_request('{"filter": "id = 1"}'),
+    }
+    for request in requests.values():
+        try:
+            request()
+        except (SyncError, ValueError):
+            pass
+    said = sync.jobs().select("layer_name", "status", "message")
+    reason = (
+        F.when(F.col("message").contains("nowhere"), "filter")
+        .when(F.col("message").contains("NOT NULL or geometry rule"), "rule")
+        .when(F.col("message").contains("cannot take"), "value")
+        .when(F.col("message").contains("does not permit"), "deletion")
+        .when(F.col("message").contains("layer"), F.concat(F.lit("near "), F.regexp_extract("message", 'closest name there is "([^"]*)"', 1)))
+    )
+    return said.select("layer_name", "status", reason.alias("reason")).withColumn("rows", F.lit(stored.read().count()).cast("long"))
+
+
+@query
+def run_by_id(spark, sf_dir):
+    """A run as its document shows it, looked up by its id."""
+    sync, spec, _ = published(spark, view(spark, sf_dir, "src"), view(spark, sf_dir, "tgt"), ["id"])
+    sync.pull(spec.name)
+    shown = sync.job(sync.pull(spec.name, "price > 50000").id)
+    names = ["status", "layerName", "type", "filter", "numPulled", "numCreated", "numUpdated"]
+    return view(spark, sf_dir, "src").limit(1).select(*[F.lit(str(shown.get(n))).alias(n) for n in names])
+
+
 @query
 def geojson_lines_quarantined(spark, sf_dir):
     """Records with the separator of JSON sequences are read, broken ones set aside."""
@@ -759,10 +935,10 @@ def geojson_lines_quarantined(spark, sf_dir):
 
 @query
 def source_xml_published(spark, sf_dir):
-    """Row elements of one XML document; identifiers are attributes."""
+    """Row elements of a folder of XML documents; identifiers are attributes."""
     root = work_folder(spark)
     rows = view(spark, sf_dir, "pts").select(F.col("id").alias("_id"), F.col("srid").alias("code"))
-    rows.coalesce(1).write.option("rowTag", "place").option("rootTag", "places").xml(f"{root}/source.xml")
+    rows.write.option("rowTag", "place").option("rootTag", "places").xml(f"{root}/source.xml")
     target = T.StructType([T.StructField("id", T.LongType()), T.StructField("code", T.IntegerType())])
     stored = SnapshotTable.create(spark, f"{root}/tables/geo/places", target, ["id"])
     spec = LayerSpec("places", f"{root}/source.xml", "place", "geo", "places", source_format="xml")
@@ -857,6 +1033,23 @@ def stream_layer_filter(spark, sf_dir):
     return stored.read()
 
 
+@query
+def stream_late_rows_published(spark, sf_dir):
+    """Files arrive newest first; the target keeps the order column, so older rows never replace newer ones."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    known = events.filter("event_id % 50 = 0").groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), "event_id").alias("e"))
+    known = known.select("user_id", "e.*")
+    sync, spec, stored = published(
+        spark, events, known, ["user_id"], on_duplicate_key="latest", order_by="event_id", keep_newer=True
+    )
+    arriving, size = f"{work_folder(spark)}/arriving", events.count() // 4 + 1
+    for part in (3, 2, 1, 0):
+        events.filter(F.floor(F.col("event_id") / size) == part).write.mode("append").parquet(arriving)
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    incremental_pull(sync, spec.name, rows, f"{work_folder(spark)}/progress").awaitTermination()
+    return stored.read()
+
+
 @query
 def stream_incremental(spark, sf_dir):
     """Source files upserted batch by batch; nothing is deleted."""

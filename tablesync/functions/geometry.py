@@ -292,6 +292,19 @@ def point_coordinates(wkb: pd.Series) -> pd.Series:
     return wkb.map(lambda data: list(struct.unpack("<2d", data[5:21])) if _is_plain_point(data) else None)
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def vertices(wkb: pd.Series) -> pd.Series:
+    """All tuples of a geometry and its members in the order of its bytes; NULL for broken bytes."""
+
+    def read(value: bytes | None) -> list | None:
+        try:
+            return None if value is None else [tuple_ for part in W.coordinates(W.read(value)) for tuple_ in part.tolist()]
+        except W.UNREADABLE:
+            return None
+
+    return pd.Series([read(value) for value in wkb], dtype=object)
+
+
 @F.pandas_udf(T.BinaryType())
 def geojson_wkb(text: pd.Series) -> pd.Series:
     """Bytes of a GeoJSON geometry object given as text; NULL if it is none."""

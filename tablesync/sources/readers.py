@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.functions import geometry as G
+from tablesync.functions.encodings import gml_ewkb, wkt_ewkb
 from tablesync.functions.nearest import HINT_CUTOFF
 from tablesync.operators.casting import UNREADABLE
 from tablesync.sources import files
@@ -212,8 +213,8 @@ def lower_names(df: DataFrame, fid_column: str | None = None) -> DataFrame:
 def with_geometry(df: DataFrame, how: Mapping[str, str], srid: int | None) -> DataFrame:
     """Build the geometry column from what the format provides.
 
-    ``how`` names an ``encoding`` (``hex``, ``wkb``, ``ewkb``, ``geojson`` or
-    ``xy``), the column(s) it is read from, and optionally a ``name``. A value that
+    ``how`` names an ``encoding`` (``hex``, ``wkb``, ``ewkb``, ``geojson``, ``wkt``,
+    ``gml`` or ``xy``), the column(s) it is read from, and optionally a ``name``. A value that
     is no geometry counts as one that does not fit, like any other.
     """
     encoding, name = how["encoding"], how.get("name", "geometry")
@@ -229,12 +230,14 @@ def with_geometry(df: DataFrame, how: Mapping[str, str], srid: int | None) -> Da
             "hex": lambda: G.geometry_from_hex(col, srid),
             "wkb": lambda: G.geometry(col, srid),
             "ewkb": lambda: G.geometry_from_ewkb(col, srid),
+            "wkt": lambda: G.geometry_from_ewkb(wkt_ewkb(col), srid),
+            "gml": lambda: G.geometry_from_ewkb(gml_ewkb(col), srid),
             "geojson": lambda: G.geometry(G.geojson_wkb(col), G.DEGREES if srid is None else srid),
         }
         if encoding not in builders:
             raise SyncError(f'Unknown geometry encoding "{encoding}"')
         built = builders[encoding]()
-        bad = col.isNotNull() & (F.length(F.btrim(col) if encoding in ("hex", "geojson") else col) > 0)
+        bad = col.isNotNull() & (F.length(F.btrim(col) if encoding in ("hex", "geojson", "wkt", "gml") else col) > 0)
     if how.get("byte_order") == "mixed":
         big = F.when(F.hex(F.substring(built["wkb"], 1, 1)) == "00", built["wkb"])
         built = G.geometry(F.coalesce(G.little_endian(big), built["wkb"]), built["srid"])
