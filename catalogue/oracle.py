@@ -261,6 +261,9 @@ ORACLE: dict[str, str] = {
     + """select id, cast(srid as integer) as code, 3857 as srid,
                 round(radians(x) * 6378137.0, 3) as mx, round(ln(tan(pi() / 4 + radians(y) / 2)) * 6378137.0, 3) as my
          from pts""",
+    "source_geojson_document_published": sql_with("pts")
+    + """select id, case id % 3 when 0 then '}]},{"type":"Feature"' when 1 then '{[[' else chr(92) end as note,
+                cast(x as double) as x, cast(y as double) as y from pts""",
     "source_wkt_published": sql_with("pts")
     + """select id, (select count(*) from pts where id % 10 = 0) as ignored, cast(srid as integer) as srid,
                 cast(case id % 3 when 0 then 1 when 1 then 2 else 6 end as bigint) as kind,

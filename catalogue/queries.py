@@ -914,6 +914,33 @@ def run_by_id(spark, sf_dir):
     return view(spark, sf_dir, "src").limit(1).select(*[F.lit(str(shown.get(n))).alias(n) for n in names])
 
 
+@query
+def source_geojson_document_published(spark, sf_dir):
+    """One document in one line, read by several tasks, with texts that look like its structure."""
+    root = work_folder(spark)
+    point = F.format_string('{"type":"Point","coordinates":[%s,%s]}', F.col("x").cast("string"), F.col("y").cast("string"))
+    note = F.when(F.col("id") % 3 == 0, '}]},{\\"type\\":\\"Feature\\"').when(F.col("id") % 3 == 1, "{[[").otherwise("\\\\")
+    feature = F.format_string('{"type":"Feature","properties":{"id":"%s","note":"%s"},"geometry":%s}', F.col("id").cast("string"), note, point)
+    features = F.array_join(F.array_sort(F.collect_list(feature)), ",")
+    head = '{"type":"FeatureCollection","crs":{"type":"name"},"links":[{"type":"Link"}],"features":['
+    document = view(spark, sf_dir, "pts").groupBy((F.col("id") % 2).alias("half")).agg(F.concat(F.lit(head), features, F.lit("]}")).alias("value"))
+    document.select("value").write.text(f"{root}/source/places.geojson")
+    target = T.StructType([T.StructField("id", T.LongType()), T.StructField("note", T.StringType()), C.geometry_field("geometry")])
+    stored = SnapshotTable.create(spark, f"{root}/tables/geo/places", target, ["id"])
+    spec = LayerSpec(
+        "places", f"{root}/source", "places", "geo", "places", source_format="geojson", geometry_source={"encoding": "geojson"},
+        source_schema="id string, note string",
+    )
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        TableSync(spark, f"{root}/tables", [spec]).pull("places")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    at = G.point_coordinates(F.col("geometry.wkb"))
+    return stored.read().select("id", "note", at[0].alias("x"), at[1].alias("y"))
+
+
 @query
 def geojson_lines_quarantined(spark, sf_dir):
     """Records with the separator of JSON sequences are read, broken ones set aside."""

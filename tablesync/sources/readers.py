@@ -14,6 +14,7 @@ from tablesync.functions.encodings import gml_ewkb, wkt_ewkb
 from tablesync.functions.nearest import HINT_CUTOFF
 from tablesync.operators.casting import UNREADABLE
 from tablesync.sources import files
+from tablesync.sources.geojson import feature_texts
 from tablesync.spec import LayerSpec, SyncError
 
 FILE_FORMATS = ("parquet", "orc", "csv", "json", "text", "binaryFile", "xml", "avro", "geojson", "geojsonseq")
@@ -133,13 +134,16 @@ def _load(
 ) -> DataFrame:
     """The rows of one layer. A ``schema`` (columns with types) saves the pass that finds it out."""
     names = [f.name for f in T.StructType.fromDDL(schema) if f.name != "geometry"] if schema else None
-    if source_format == "geojson":
-        document = spark.read.options(**options).schema(_COLLECTION).json(path, multiLine=True)
-        return _feature_columns(document.select(F.explode("features").alias("feature")), names)
-    if source_format == "geojsonseq":
-        # A record may start with the separator of JSON sequences; blank lines are none.
-        line = F.btrim(F.col("value"), F.lit(" \t\r\x1e"))
-        lines = spark.read.options(**options).text(path).select(line.alias("line")).filter("line <> ''")
+    if source_format in ("geojson", "geojsonseq"):
+        if source_format == "geojson":
+            # Other parts of a document hold objects, too; what is broken, or a feature but for its type, is set aside below.
+            kind, parts = F.get_json_object("line", "$.type"), [F.get_json_object("line", f"$.{n}") for n in ("geometry", "properties")]
+            broken = F.try_parse_json("line").isNull() | (kind.isNull() & F.coalesce(*parts).isNotNull())
+            lines = feature_texts(spark, path, options).filter((kind == "Feature") | broken)
+        else:
+            # A record may start with the separator of JSON sequences; blank lines are none.
+            line = F.btrim(F.col("value"), F.lit(" \t\r\x1e"))
+            lines = spark.read.options(**options).text(path).select(line.alias("line")).filter("line <> ''")
         feature = F.from_json("line", _FEATURE)
         lines = lines.select("line", F.when(F.get_json_object("line", "$.type") == "Feature", feature).alias("feature"))
         unreadable = F.when(F.col("feature").isNull(), F.col("line")).alias(UNREADABLE)
@@ -149,7 +153,6 @@ def _load(
 
 
 _FEATURE = "struct<id:string,properties:map<string,string>,geometry:string>"
-_COLLECTION = f"features array<{_FEATURE}>"
 
 
 def _feature_columns(features: DataFrame, columns: list[str] | None) -> DataFrame:

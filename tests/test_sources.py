@@ -1,12 +1,15 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync import LayerSpec, SyncError
-from tablesync.sources.readers import lower_names, read_source
+from tablesync.sources.geojson import feature_texts
+from tablesync.sources.readers import lower_names, open_layer, read_source
+from tests.test_plans import settings
 
 
 def layer(source, source_layer, **settings):
@@ -137,3 +140,65 @@ def test_unreadable_layer(spark, folder):
 def test_missing_driver(spark, folder):
     with pytest.raises(SyncError, match="cannot be opened"):
         read_source(spark, layer("jdbc:postgresql://localhost/x", "t", source_format="jdbc", source_options={"numPartitions": "1"}))
+
+
+# --- GeoJSON documents in ranges --------------------------------------------------
+
+
+def _document(seed, indent=None):
+    rng = random.Random(seed)
+    odd = ['}', '{', ']}', '"', '\\', '}{"type":"Feature"', 'é漢', '\n', '{[', '\\"}', ""]
+    features = []
+    for n in range(rng.randrange(0, 40)):
+        properties = {"id": str(n), "note": "".join(rng.choice(odd) for _ in range(rng.randrange(6)))}
+        if rng.random() < 0.3:
+            properties["deep"] = {"a": [{"b": "}"}, []]}
+        geometry = {"type": "LineString", "coordinates": [[n, k] for k in range(rng.choice([1, 2, 60]))]}
+        features.append({"type": "Feature", "properties": properties, "geometry": rng.choice([geometry, None])})
+    document = {"type": "FeatureCollection", "name": "a}{", "other": [{"type": "x", "y": {}}], "features": features, "end": {"a": {}}}
+    return features, json.dumps(document, indent=indent, ensure_ascii=rng.random() < 0.5)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_documents_are_read_in_ranges(spark, folder, seed):
+    """Wherever a range starts, in a text, a name or a list of numbers, every feature comes out once and whole."""
+    wanted = []
+    os.makedirs(f"{folder}/d.geojson")
+    for n in range(3):
+        features, text = _document(10 * seed + n, indent=rng_indent(seed + n))
+        wanted += features
+        with open(f"{folder}/d.geojson/{n}.geojson", "w", encoding="utf-8") as file:
+            file.write(text + "\n" * (n % 2))
+    with settings(spark, spark__sql__files__maxPartitionBytes=str(150 + 177 * seed), spark__sql__files__openCostInBytes="1"):
+        df = feature_texts(spark, f"{folder}/d.geojson", {})
+        texts = [json.loads(r["line"]) for r in df.collect()]
+    found = [t for t in texts if t.get("type") == "Feature"]
+    key = lambda f: json.dumps(f, sort_keys=True)
+    assert sorted(map(key, found)) == sorted(map(key, wanted))
+
+
+def rng_indent(n):
+    return (None, 1, 3)[n % 3]
+
+
+def test_a_document_is_read_by_several_tasks_and_equals_its_lines(spark, folder):
+    features, text = _document(77)
+    features = features * 20
+    os.makedirs(f"{folder}/s")
+    with open(f"{folder}/s/whole.geojson", "w") as file:
+        json.dump({"type": "FeatureCollection", "features": features}, file)
+    with open(f"{folder}/s/lines.geojsonl", "w") as file:
+        file.writelines(json.dumps(f) + "\n" for f in features)
+    of = lambda layer, kind: LayerSpec("l", f"{folder}/s", layer, "a", "b", source_format=kind)
+    with settings(spark, spark__sql__files__maxPartitionBytes="4000", spark__sql__files__openCostInBytes="1"):
+        whole = open_layer(spark, of("whole", "geojson"))
+        assert whole.rdd.getNumPartitions() > 4
+        assert sorted(map(repr, whole.collect())) == sorted(map(repr, open_layer(spark, of("lines", "geojsonseq")).collect()))
+
+
+def test_a_truncated_document_sets_its_last_feature_aside(spark, folder):
+    text = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"id": "1"}, "geometry": None}] * 3})
+    with open(f"{folder}/cut.geojson", "w") as file:
+        file.write(text[:-40])
+    rows = open_layer(spark, LayerSpec("l", folder, "cut", "a", "b", source_format="geojson")).collect()
+    assert [r["id"] for r in rows if r["id"]] == ["1", "1"] and sum(r["_unreadable"] is not None for r in rows) == 1
