@@ -227,6 +227,23 @@ ORACLE: dict[str, str] = {
                 round(ln(tan(pi() / 4 + radians(y) / 2)) * 6378137.0, 3) as my,
                 round(cast(y as double), 6) as lat, round(cast(x as double), 6) as lon
          from pts""",
+    "geom_utm_points": sql_with("pts")
+    + """, c as (select 1 / 298.257223563 / (2 - 1 / 298.257223563) as n, sqrt(1 / 298.257223563 * (2 - 1 / 298.257223563)) as e),
+         k as (select n, e, 0.9996 * 6378137.0 / (1 + n) * (1 + n * n / 4 + n ** 4 / 64) as a,
+                      n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 as a1,
+                      13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 as a2,
+                      61 * n ** 3 / 240 - 103 * n ** 4 / 140 as a3, 49561 * n ** 4 / 161280 as a4 from c),
+         r as (select id, cast(15 + x / 60 as double) as lon, cast(y as double) as lat, radians(cast(x as double) / 60) as l,
+                      sin(radians(cast(y as double))) as s from pts),
+         t as (select r.*, k.*, sinh(atanh(s) - e * atanh(e * s)) as t from r cross join k),
+         z as (select *, atan2(t, cos(l)) as xi, asinh(sin(l) / sqrt(t * t + cos(l) * cos(l))) as eta from t)
+         select id, 32633 as srid,
+                round(500000 + a * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta)
+                                    + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)), 3) as east,
+                round(a * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta)
+                           + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)), 3) as north,
+                round(radians(lon) * 6378137.0, 3) as mx, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0, 3) as my
+         from z""",
     "geom_is_collection": """
         select c_custkey, c_custkey % 7 + 1 as kind, c_custkey % 7 + 1 >= 4 as collection,
                case when c_custkey % 2 = 0 then 3 else 2 end as dims
@@ -249,6 +266,13 @@ ORACLE: dict[str, str] = {
     + """select t.id, t.cust, case when s.cust is null then t.status else s.status end as status,
                 t.price, t.odate, t.note
          from tgt t left join src_segment s on t.cust = s.cust""",
+    "pull_override_inserts_published": sql_with("src_segment", "tgt")
+    + """select t.id, t.cust, case when s.cust is null then t.status else s.status end as status,
+                t.price, t.odate, t.note
+         from tgt t left join src_segment s on t.cust = s.cust
+         union all
+         select null, cust, status, null, null, null from src_segment s
+         where not exists (select 1 from tgt t where t.cust = s.cust)""",
     "pull_filter_ci_published": sql_with("src", "tgt")
     + """, f as (select * from src where lower(src_only) in ('1-urgent', '2-high') and status ilike 'f%' and price > 50000)
          select s.id, s.cust, s.status, s.price, s.odate, t.note from f s left join tgt t on t.id = s.id

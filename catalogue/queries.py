@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import datetime as dt
 import uuid
 from collections.abc import Callable, Sequence
@@ -55,8 +56,21 @@ def op_counts(classified: DataFrame) -> DataFrame:
     return A.counts_per_op(classified).withColumnRenamed(D.OP, "op")
 
 
+_folders: list[tuple[SparkSession, str]] = []
+
+
 def work_folder(spark: SparkSession) -> str:
-    return files.run_folder(spark, f"query-{uuid.uuid4().hex}")
+    """A folder of its own for a query that stores tables; it goes when the driver ends, as its result reads it until then."""
+    _folders.append((spark, files.run_folder(spark, f"query-{uuid.uuid4().hex}")))
+    return _folders[-1][1]
+
+
+@atexit.register
+def clean() -> None:
+    while _folders:
+        spark, path = _folders.pop()
+        if spark.sparkContext._jsc is not None:
+            files.delete(spark, path)
 
 
 def nullable(schema: T.StructType) -> T.StructType:
@@ -557,6 +571,22 @@ def geom_reproject_points(spark, sf_dir):
     )
 
 
+@query
+def geom_utm_points(spark, sf_dir):
+    """Degrees to a UTM zone, and what is stored there to web mercator."""
+    near = view(spark, sf_dir, "pts").select("id", (15 + F.col("x") / 60).alias("x"), F.col("y").alias("y"))
+    placed = near.select("id", G.geometry(G.point_wkb(F.col("x").cast("double"), F.col("y").cast("double")), G.DEGREES).alias("geom"))
+    folder = f"{work_folder(spark)}/utm"
+    placed.select("id", G.transform(F.col("geom"), 32633).alias("utm")).write.parquet(folder)
+    moved = spark.read.parquet(folder)
+    plane = moved.select("id", "utm", G.transform(F.col("utm"), G.MERCATOR)["wkb"].alias("plane"))
+    at, flat = G.point_coordinates(F.col("utm.wkb")), G.point_coordinates(F.col("plane"))
+    return plane.select(
+        "id", G.srid(F.col("utm")).alias("srid"), F.round(at[0], 3).alias("east"), F.round(at[1], 3).alias("north"),
+        F.round(flat[0], 3).alias("mx"), F.round(flat[1], 3).alias("my"),
+    )
+
+
 @query
 def geom_is_collection(spark, sf_dir):
     """Type, dimension and embedded reference system of binary headers in both byte orders."""
@@ -666,6 +696,15 @@ def pull_override_published(spark, sf_dir):
     return stored.read()
 
 
+@query
+def pull_override_inserts_published(spark, sf_dir):
+    """A pull by a key that the table does not declare: rows it lacks are inserted, and it is written anew."""
+    target = view(spark, sf_dir, "tgt")
+    sync, spec, stored = published(spark, view(spark, sf_dir, "src_segment"), target, [], primary_key_columns=("cust",))
+    sync.pull(spec.name)
+    return stored.read()
+
+
 @query
 def pull_filter_ci_published(spark, sf_dir):
     """Comparisons of a request that ignore case."""

@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 import struct
 import sys
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -18,20 +20,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablesync.functions import projections as R
 from tablesync.functions import wkb as W
 
 # The batch functions travel with their code, so executors need no copy of the package.
-for module in (sys.modules[__name__], W):
+for module in (sys.modules[__name__], R, W):
     cloudpickle.register_pickle_by_value(module)
 
 GEOMETRY = T.StructType([T.StructField("srid", T.IntegerType()), T.StructField("wkb", T.BinaryType())])
 
-# The undefined reference system, the sphere radius of web mercator.
+# Fixed value: the undefined reference system.
 UNDEFINED_SRID = 0
-EARTH_RADIUS = 6378137.0
-DEGREES, MERCATOR = 4326, 3857
-# Web mercator ends here; beyond it the northing grows without bound.
-MERCATOR_LATITUDE = 85.06
+DEGREES, MERCATOR, EARTH_RADIUS = R.DEGREES, R.MERCATOR, R.EARTH_RADIUS
 MAX_BYTES = 2147483647
 
 
@@ -146,21 +146,6 @@ def set_srid(geom: Column, value: int) -> Column:
     return geometry(geom["wkb"], value)
 
 
-def _to_mercator(coords: np.ndarray) -> np.ndarray:
-    out = coords.copy()
-    out[:, 0] = np.radians(coords[:, 0]) * EARTH_RADIUS
-    latitude = np.where(np.abs(coords[:, 1]) <= MERCATOR_LATITUDE, coords[:, 1], np.nan)
-    out[:, 1] = np.log(np.tan(np.pi / 4 + np.radians(latitude) / 2)) * EARTH_RADIUS
-    return out
-
-
-def _to_degrees(coords: np.ndarray) -> np.ndarray:
-    out = coords.copy()
-    out[:, 0] = np.degrees(coords[:, 0] / EARTH_RADIUS)
-    out[:, 1] = np.degrees(2 * np.arctan(np.exp(coords[:, 1] / EARTH_RADIUS)) - np.pi / 2)
-    return out
-
-
 _POINT_DTYPE = np.dtype([("order", "u1"), ("code", "<u4"), ("xy", "<f8", (2,))])
 
 
@@ -194,29 +179,29 @@ def _move_all(values: pd.Series, move) -> pd.Series:
 
 
 @F.pandas_udf(T.BinaryType())
-def _degrees_to_mercator(wkb: pd.Series) -> pd.Series:
-    return _move_all(wkb, _to_mercator)
-
-
-@F.pandas_udf(T.BinaryType())
-def _mercator_to_degrees(wkb: pd.Series) -> pd.Series:
-    return _move_all(wkb, _to_degrees)
-
-
-TRANSFORMS = {(DEGREES, MERCATOR): _degrees_to_mercator, (MERCATOR, DEGREES): _mercator_to_degrees}
+def _moved(wkb: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
+    out = pd.Series([None] * len(wkb), index=wkb.index, dtype=object)
+    for pair, rows in wkb[wkb.notna()].groupby([source, target]):
+        to_degrees, from_degrees = R.system(int(pair[0]))[0], R.system(int(pair[1]))[1]
+        moved = _move_all(rows.reset_index(drop=True), lambda coords, back=to_degrees, to=from_degrees: to(back(coords)))
+        out.loc[rows.index] = moved.to_numpy()
+    return out
 
 
 def transform(geom: Column, target_srid: int) -> Column:
-    """Reproject to ``target_srid``; an unsupported pair fails the job."""
+    """Reproject to ``target_srid``; an unsupported pair fails the job.
+
+    The geometry stands in the result several times: make chains of steps, each a column of its own.
+    """
     known = srid(geom)
     unsupported = F.raise_error(
         F.concat(F.lit("No transformation from SRID "), known.cast("string"), F.lit(f" to {target_srid}"))
     )
     result = F.when(geom.isNull(), F.lit(None)).when(known == target_srid, geom)
-    for (source, target), move in TRANSFORMS.items():
-        if target == target_srid:
-            wanted = known == source
-            result = result.when(wanted, geometry(move(F.when(wanted, geom["wkb"])), target_srid))
+    if R.system(target_srid):
+        supported = reduce(or_, (known.between(low, high) for low, high in R.RANGES))
+        wanted = F.when(supported & (known != target_srid), geom["wkb"])
+        result = result.when(supported, geometry(_moved(wanted, known, F.lit(target_srid)), target_srid))
     return result.otherwise(unsupported.cast(GEOMETRY))
 
 

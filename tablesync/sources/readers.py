@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tablesync.functions import geometry as G
 from tablesync.functions.encodings import gml_ewkb, wkt_ewkb
-from tablesync.functions.nearest import HINT_CUTOFF
+from tablesync.functions.nearest import nearest_name
 from tablesync.operators.casting import UNREADABLE
 from tablesync.sources import files
 from tablesync.sources.geojson import feature_texts
@@ -173,12 +173,8 @@ def _feature_columns(features: DataFrame, columns: list[str] | None) -> DataFram
 
 def nearest_layer(spark: SparkSession, wanted: str, candidates: list[str]) -> tuple[str, int] | None:
     """Candidate with the smallest edit distance below the cut-off; the first wins a tie."""
-    if not candidates:
-        return None
-    listed = spark.createDataFrame(list(enumerate(candidates)), "position int, name string")
-    scored = listed.withColumn("distance", F.levenshtein("name", F.lit(wanted)))
-    best = scored.agg(F.min_by(F.struct("name", "distance"), F.struct("distance", "position")).alias("b")).first()["b"]
-    return (best["name"], best["distance"]) if best["distance"] < HINT_CUTOFF else None
+    best = spark.range(1).select(nearest_name(F.lit(wanted), candidates).alias("best")).first()["best"]
+    return best and (best["name"], best["distance"])
 
 
 def _missing_layer(spark: SparkSession, spec: LayerSpec, layers: Mapping[str, str], options: Mapping) -> str:

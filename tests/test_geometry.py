@@ -1,11 +1,15 @@
 import json
 import math
+import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tablesync.functions import encodings as E
 from tablesync.functions import geometry as G
+from tablesync.functions import projections as P
 from tablesync.functions import wkb as W
 
 
@@ -181,3 +185,134 @@ def test_geojson(spark):
     found = [r[0] for r in df.select(G.geojson_wkb("t")).collect()]
     assert bytes(found[0]) == point(1, 2) and found[1] is None
     assert W.read(bytes(found[2]))[0] == 7
+
+
+# --- UTM zones ----------------------------------------------------------------------
+
+
+def test_utm_agrees_with_known_places_and_comes_back():
+    places = np.array([[-79.387139, 43.642567], [15.0, 0.0], [151.215297, -33.856159]])
+    found = [P.system(s)[1](places[[n]])[0] for n, s in enumerate((32617, 32633, 32756))]
+    assert np.allclose(found[0], [630084.3, 4833438.5], atol=1) and np.allclose(found[1], [500000, 0], atol=1e-6)
+    north = P.system(32656)[1](places[[2]] * [1, -1])[0]
+    assert np.allclose(found[2], [north[0], 10_000_000 - north[1]], atol=1e-6)
+    rng = np.random.default_rng(3)
+    for srid in (32601, 32631, 32660, 32701, 32733, 32760):
+        back, forth = P.system(srid)
+        meridian = 6.0 * (srid % 100) - 183
+        lon = (meridian + rng.uniform(-15, 15, 500) + 180) % 360 - 180
+        coords = np.column_stack([lon, rng.uniform(-84, 84, 500), rng.uniform(0, 9, 500)])
+        again = back(forth(coords))
+        assert np.abs((again[:, 0] - lon + 180) % 360 - 180).max() < 1e-9 and np.abs(again[:, 1:] - coords[:, 1:]).max() < 1e-9
+    assert np.isnan(P.system(32633)[1](np.array([[100.0, 10.0], [15.0, 89.5]]))[:, 0]).tolist() == [True, True]
+    assert P.system(32661) is None and P.system(4258) is None
+
+
+def test_any_two_systems_are_a_pair(spark):
+    here = np.array([[16.5, -48.25]])
+    systems = (4326, 3857, 32733, 32734)
+    rows = [(s, bytearray(W.write((1, 2, P.system(s)[1](here))))) for s in systems]
+    df = spark.createDataFrame(rows, "s int, w binary").select("s", G.geometry(F.col("w"), F.col("s")).alias("g"))
+    for target in systems:
+        wanted = P.system(target)[1](here)[0]
+        for row in df.select(G.transform(F.col("g"), target).alias("g")).collect():
+            assert row["g"]["srid"] == target and np.allclose(struct.unpack("<2d", row["g"]["wkb"][5:]), wanted, rtol=1e-12)
+    with pytest.raises(Exception, match="No transformation from SRID 4326 to 2154"):
+        df.filter("s = 4326").select(G.transform(F.col("g"), 2154)).collect()
+
+
+# --- whole bytes --------------------------------------------------------------------
+
+
+def _geometry(rng, kind, dims, deep=0):
+    points = lambda n: np.array([[rng.random() for _ in range(dims)] for _ in range(n)]).reshape(-1, dims)
+    if kind < 3:
+        return kind, dims, points(1 if kind == 1 else rng.randrange(5))
+    if kind == 3:
+        return kind, dims, [points(rng.randrange(1, 6)) for _ in range(rng.randrange(4))]
+    if kind < 7:
+        return kind, dims, [_geometry(rng, kind - 3, dims) for _ in range(rng.randrange(4))]
+    return kind, dims, [_geometry(rng, rng.randrange(1, 8 if deep < 9 else 7), dims, deep + 1) for _ in range(rng.randrange(4))]
+
+
+def _bytes(rng, geometry, order):
+    """Bytes in one byte order, or in another one for some members."""
+    kind, dims, parts = geometry
+    code = kind | {2: 0, 3: W.FLAG_Z, 4: W.FLAG_Z | W.FLAG_M}[dims]
+    out = [struct.pack(order + "BI", order == "<", code)]
+    if kind > 1:
+        out.append(struct.pack(order + "I", len(parts)))
+    if kind < 3:
+        out.append(np.asarray(parts, order + "f8").tobytes())
+    for part in parts if kind > 2 else []:
+        ring = kind == 3
+        out.append(struct.pack(order + "I", len(part)) + np.asarray(part, order + "f8").tobytes() if ring else _bytes(rng, part, rng.choice("<>")))
+    return b"".join(out)
+
+
+def test_whole_bytes_are_told_from_cut_and_longer_ones():
+    rng, values, wanted = random.Random(5), [], []
+    for _ in range(1500):
+        data = _bytes(rng, _geometry(rng, rng.randrange(1, 8), rng.choice([2, 3, 4])), rng.choice("<>"))
+        values += [data, data[: rng.randrange(len(data))], data + b"x"]
+        wanted += [True, False, False]
+    assert W.whole(values).tolist() == wanted
+    noise = [bytes(rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 255]) for _ in range(rng.randrange(60))) for _ in range(5000)]
+    assert W.whole([]).tolist() == [] and not W.whole([bytes.fromhex("0102000000FFFFFFFF"), b"", b"\x01"]).any()
+    for data, whole in zip(noise, W.whole(noise)):
+        if whole:
+            W.read(data)
+
+
+def test_broken_bytes_leave_no_batch_function(spark):
+    broken = ["0102000000FFFFFFFF", "0002FF", "01", "0103000000010000000400000000", "0000000002FFFFFFFF"]
+    line = W.write((2, 2, np.array([[0.0, 0.0], [1.0, 1.0]]))).hex()
+    df = spark.createDataFrame([(h, line) for h in broken], "a string, b string").select(F.unhex("a").alias("a"), F.unhex("b").alias("b"))
+    rows = df.select(G.shapes_equal("a", "b").alias("e"), G.little_endian("a").alias("l"), G.is_whole(F.col("a")).alias("w"), "a").collect()
+    assert all(not r["e"] and bytes(r["l"]) == bytes(r["a"]) and not r["w"] for r in rows)
+
+
+# --- text forms ---------------------------------------------------------------------
+
+
+def test_texts_of_geometries(spark):
+    cases = [
+        ("POINT (1 2)", 1, [[1, 2]], 0),
+        ("srid=3857;point z(1 2 3)", 1, [[1, 2, 3]], 3857),
+        ("LINESTRING (0 0, 1 1,2 .5e1)", 2, [[0, 0], [1, 1], [2, 5]], 0),
+        ("POLYGON ((0 0,1 0,1 1,0 0),(.1 .1, .2 .1, .2 .2, .1 .1))", 3, [[0, 0], [1, 0], [1, 1], [0, 0], [0.1, 0.1], [0.2, 0.1], [0.2, 0.2], [0.1, 0.1]], 0),
+        ("MULTIPOINT ((1 2),(3 4))", 4, [[1, 2], [3, 4]], 0),
+        ("MULTIPOINT (1 2, 3 4)", 4, [[1, 2], [3, 4]], 0),
+        ("GEOMETRYCOLLECTION (POINT (1 2), GEOMETRYCOLLECTION(LINESTRING(1 1, 2 2)))", 7, [[1, 2], [1, 1], [2, 2]], 0),
+        ("MULTIPOLYGON EMPTY", 6, [], 0),
+        ('<gml:Point srsName="urn:ogc:def:crs:EPSG::4326"><gml:pos>50 8</gml:pos></gml:Point>', 1, [[8, 50]], 4326),
+        ('<gml:Point srsName="EPSG:4326"><gml:pos>8 50</gml:pos></gml:Point>', 1, [[8, 50]], 4326),
+        ('<LineString xmlns="g"><posList srsDimension="3">1 2 3 4 5 6</posList></LineString>', 2, [[1, 2, 3], [4, 5, 6]], 0),
+        ("<LineString><coordinates>1,2 3,4</coordinates></LineString>", 2, [[1, 2], [3, 4]], 0),
+        (
+            "<gml:MultiSurface><gml:surfaceMember><gml:Polygon><gml:exterior><gml:LinearRing><gml:posList>0 0 1 0 1 1 0 0</gml:posList>"
+            "</gml:LinearRing></gml:exterior></gml:Polygon></gml:surfaceMember></gml:MultiSurface>",
+            6, [[0, 0], [1, 0], [1, 1], [0, 0]], 0,
+        ),
+    ]
+    text, wkb = F.col("text"), F.col("g.wkb")
+    data = F.when(text.startswith("<"), E.gml_ewkb(text)).otherwise(E.wkt_ewkb(text))
+    df = spark.createDataFrame([(c[0],) for c in cases], "text string").select("text", G.geometry_from_ewkb(data, 0).alias("g"))
+    df = df.select("text", G.geometry_kind(wkb).alias("kind"), G.vertices(wkb).alias("v"), G.srid(F.col("g")).alias("srid"), G.is_whole(wkb).alias("whole"))
+    found = {r["text"]: r for r in df.collect()}
+    for text, kind, tuples, srid in cases:
+        row = found[text]
+        assert (row["kind"], row["v"], row["srid"], row["whole"]) == (kind, tuples, srid, True), text
+
+
+def test_texts_that_are_no_geometry(spark):
+    texts = [
+        "POINT (1)", "POINT (1 2", "POINT (1 2) x", "POINT (1 nan)", "LINESTRING (1 2, 3)", "LINESTRING ((1 2, 3 4))", "POLYGON (0 0, 1 1)", "", "CIRCLE (1 2)",
+        "POINT (1 2, 3 4)", "GEOMETRYCOLLECTION (POINT (1 2), POINT Z (1 2 3))", "LINESTRING (0 0,, 1 1)", "POINT ((1 2))", "POINT (1e999 0)", "SRID=99999999999;POINT(1 2)",
+        "<gml:Point><gml:pos>1</gml:pos></gml:Point>", "<gml:Point><gml:pos>1 x</gml:pos></gml:Point>", "<a/>", "<gml:Polygon/>",
+        '<gml:Point srsName="here"><gml:pos>1 2</gml:pos></gml:Point>', "<!DOCTYPE a><Point><pos>1 2</pos></Point>", "(" * 5000,
+        "GEOMETRYCOLLECTION(" * 3000,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    rows = df.select(E.wkt_ewkb("t").alias("w"), E.gml_ewkb("t").alias("g"), "t").collect()
+    assert [r["t"][:30] for r in rows if r["w"] or r["g"]] == []
