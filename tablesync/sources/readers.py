@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.functions import geometry as G
-from tablesync.functions.encodings import gml_ewkb, wkt_ewkb
+from tablesync.functions.encodings import geojson_geometry, gml_geometry, wkt_geometry
 from tablesync.functions.nearest import nearest_name
 from tablesync.operators.casting import UNREADABLE
 from tablesync.sources import files
@@ -32,8 +32,13 @@ ENDINGS = {
     "geojson": (".geojson",),
     "geojsonseq": (".geojsonl", ".geojsons"),
 }
+#: Tasks for each core, below which rows are dealt anew ahead of Python.
+TASKS_PER_CORE = 3
 # What a database source needs to be read by several tasks.
 SPLIT_OPTIONS = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"}
+# Texts that Python reads, and the files whose row groups no task can cut for it.
+TEXT_ENCODINGS = {"wkt": wkt_geometry, "gml": gml_geometry, "geojson": geojson_geometry}
+COLUMN_FILES = ("parquet", "orc", "avro", "table")
 DEFAULT_OPTIONS = {"csv": {"header": "true"}, "xml": {"attributePrefix": "", "rowTag": "row"}}
 
 
@@ -41,10 +46,22 @@ def read_source(spark: SparkSession, spec: LayerSpec, paths: list[str] | None =
     """The layer's source rows, or those of some of its files: lower-case names, at most one geometry column."""
     df = open_layer(spark, spec, paths)
     if spec.geometry_source:
+        if spec.source_format in COLUMN_FILES and spec.geometry_source["encoding"] in TEXT_ENCODINGS:
+            df = spread(spark, df)
         df = with_geometry(df, spec.geometry_source, spec.source_srid)
     return lower_names(df, spec.fid_column)
 
 
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores, where the scan has too few tasks for what Python does with each row.
+
+    Texts of geometries are stored in a small part of their size, and a row group is read by one
+    task, so that millions of rows may come as one. A scan with several tasks for each core stays as it is.
+    """
+    wanted = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def layer_path(spark: SparkSession, spec: LayerSpec) -> str:
     """Folder or file of a layer that is made of files."""
     if spec.source_format not in FILE_FORMATS or not files.exists(spark, spec.source):
@@ -229,19 +246,25 @@ def with_geometry(df: DataFrame, how: Mapping[str, str], srid: int | None) -> Da
             "hex": lambda: G.geometry_from_hex(col, srid),
             "wkb": lambda: G.geometry(col, srid),
             "ewkb": lambda: G.geometry_from_ewkb(col, srid),
-            "wkt": lambda: G.geometry_from_ewkb(wkt_ewkb(col), srid),
-            "gml": lambda: G.geometry_from_ewkb(gml_ewkb(col), srid),
-            "geojson": lambda: G.geometry(G.geojson_wkb(col), G.DEGREES if srid is None else srid),
         }
-        if encoding not in builders:
+        if encoding not in (*builders, *TEXT_ENCODINGS):
             raise SyncError(f'Unknown geometry encoding "{encoding}"')
-        built = builders[encoding]()
+        if encoding in TEXT_ENCODINGS:
+            # A column of its own: read once, in one Python worker of a task, whole or not at all.
+            df = df.withColumn("_text", TEXT_ENCODINGS[encoding](col))
+            stated = G.DEGREES if encoding == "geojson" and srid is None else srid
+            built = G.geometry(F.col("_text.wkb"), F.coalesce("_text.srid", F.lit(stated)))
+            dropped = [*used, "_text"]
+        else:
+            built = builders[encoding]()
         bad = col.isNotNull() & (F.length(F.btrim(col) if encoding in ("hex", "geojson", "wkt", "gml") else col) > 0)
     if how.get("byte_order") == "mixed":
         big = F.when(F.hex(F.substring(built["wkb"], 1, 1)) == "00", built["wkb"])
         built = G.geometry(F.coalesce(G.little_endian(big), built["wkb"]), built["srid"])
     shown = F.concat_ws(" ", *[_shown(df, c) for c in used])
-    df = df.withColumn("_built", built).withColumn("_built", F.when(G.is_whole(F.col("_built.wkb")), F.col("_built")))
+    df = df.withColumn("_built", built)
+    if encoding not in TEXT_ENCODINGS:
+        df = df.withColumn("_built", F.when(G.is_whole(F.col("_built.wkb")), F.col("_built")))
     if encoding != "xy":
         bad = bad & F.col("_built").isNull()
     earlier = [F.col(UNREADABLE)] if UNREADABLE in df.columns else []

@@ -11,6 +11,8 @@ from tablesync.functions import encodings as E
 from tablesync.functions import geometry as G
 from tablesync.functions import projections as P
 from tablesync.functions import wkb as W
+from tablesync.sources.readers import read_source
+from tablesync.spec import LayerSpec
 
 
 def point(x, y, order="<"):
@@ -316,3 +318,40 @@ def test_texts_that_are_no_geometry(spark):
     df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
     rows = df.select(E.wkt_ewkb("t").alias("w"), E.gml_ewkb("t").alias("g"), "t").collect()
     assert [r["t"][:30] for r in rows if r["w"] or r["g"]] == []
+
+
+ODD_TEXTS = [
+    "POINT(1 2)", "SRID=4326;POINT Z(1 2 3)", "SRID=0;LINESTRING(0 0, 1 1)", "POINT EMPTY", "LINESTRING M(0 0 1, 1 1 2)", "MULTIPOLYGON(((0 0, 1 0, 1 1, 0 0)))",
+    "GEOMETRYCOLLECTION(POINT(1 2), LINESTRING(0 0, 1 1))", "POINT(1)", "", None, "POLYGON((0 0, 1 0, 1 1, 0 0)",
+    '<gml:Point srsName="urn:ogc:def:crs:EPSG::4326"><gml:pos>1 2</gml:pos></gml:Point>', "<gml:Point><gml:pos>1</gml:pos></gml:Point>", "<gml:Po",
+]
+
+
+def test_texts_read_at_once_are_those_read_by_steps(spark):
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(ODD_TEXTS)], "id int, t string")
+    found = []
+    for whole, steps in ((E.wkt_geometry, E.wkt_ewkb), (E.gml_geometry, E.gml_ewkb)):
+        by_steps = df.select("id", G.geometry_from_ewkb(steps("t"), 25833).alias("g"))
+        at_once = df.withColumn("r", whole("t")).select("id", G.geometry(F.col("r.wkb"), F.coalesce("r.srid", F.lit(25833))).alias("g"))
+        assert at_once.orderBy("id").collect() == by_steps.orderBy("id").collect()
+        found += [r["g"] is not None for r in at_once.collect()]
+    assert sum(found) == 8
+
+
+def _text_layer(spark, folder, encoding, rows):
+    spark.createDataFrame(rows, "id int, shape string").coalesce(1).write.parquet(f"{folder}/layer.parquet")
+    return LayerSpec("layer", folder, "layer", "a", "b", geometry_source={"encoding": encoding, "column": "shape", "name": "shape"})
+
+
+@pytest.mark.parametrize("encoding, text", [("wkt", "POINT(1 2)"), ("gml", "<Point><pos>1 2</pos></Point>")])
+def test_texts_of_one_row_group_are_read_by_all_cores(spark, folder, encoding, text):
+    df = read_source(spark, _text_layer(spark, folder, encoding, [(n, text) for n in range(500)]))
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    per_task = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("shape.wkb").alias("n")).collect()]
+    assert sum(per_task) == 500 and max(per_task) < 100
+
+
+@pytest.mark.parametrize("encoding, text", [("wkt", "POINT(1 2)"), ("gml", "<Point><pos>1 2</pos></Point>")])
+def test_texts_take_one_python_worker_of_a_task(spark, folder, encoding, text):
+    df = read_source(spark, _text_layer(spark, folder, encoding, [(1, text)]))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
