@@ -351,7 +351,15 @@ def test_texts_of_one_row_group_are_read_by_all_cores(spark, folder, encoding, t
     assert sum(per_task) == 500 and max(per_task) < 100
 
 
-@pytest.mark.parametrize("encoding, text", [("wkt", "POINT(1 2)"), ("gml", "<Point><pos>1 2</pos></Point>")])
+@pytest.mark.parametrize(
+    "encoding, text", [("wkt", "POINT(1 2)"), ("gml", "<Point><pos>1 2</pos></Point>"), ("geojson", '{"type":"Point","coordinates":[1,2]}')]
+)
 def test_texts_take_one_python_worker_of_a_task(spark, folder, encoding, text):
     df = read_source(spark, _text_layer(spark, folder, encoding, [(1, text)]))
     assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_geojson_of_uneven_rings_is_none(spark):
+    texts = ['{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]],[[0,0,1],[1,0,1],[1,1,1],[0,0,1]]]}', '{"type":"Point","coordinates":[1,2]}', "{", None]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "id int, t string").coalesce(1)
+    assert [r["b"] for r in df.orderBy("id").select(E.geojson_geometry("t")["wkb"].alias("b")).collect()] == [None, shape(texts[1]), None, None]
