@@ -953,16 +953,23 @@ def run_by_id(spark, sf_dir):
     return view(spark, sf_dir, "src").limit(1).select(*[F.lit(str(shown.get(n))).alias(n) for n in names])
 
 
+DOCUMENT_IDS = 100_000
+
+
 @query
 def source_geojson_document_published(spark, sf_dir):
-    """One document in one line, read by several tasks, with texts that look like its structure."""
+    """Documents of one line each, read by several tasks, with texts that look like their structure."""
     root = work_folder(spark)
     point = F.format_string('{"type":"Point","coordinates":[%s,%s]}', F.col("x").cast("string"), F.col("y").cast("string"))
     note = F.when(F.col("id") % 3 == 0, '}]},{\\"type\\":\\"Feature\\"').when(F.col("id") % 3 == 1, "{[[").otherwise("\\\\")
     feature = F.format_string('{"type":"Feature","properties":{"id":"%s","note":"%s"},"geometry":%s}', F.col("id").cast("string"), note, point)
     features = F.array_join(F.array_sort(F.collect_list(feature)), ",")
     head = '{"type":"FeatureCollection","crs":{"type":"name"},"links":[{"type":"Link"}],"features":['
-    document = view(spark, sf_dir, "pts").groupBy((F.col("id") % 2).alias("half")).agg(F.concat(F.lit(head), features, F.lit("]}")).alias("value"))
+    # A document is one value of one task: each has the features of a bounded range of ids.
+    parts = [(F.col("id") % 2).alias("half"), F.floor(F.col("id") / DOCUMENT_IDS).alias("part")]
+    cores = spark.sparkContext.defaultParallelism
+    rows = view(spark, sf_dir, "pts").select("*", *parts).repartition(3 * cores, "half", "part")
+    document = rows.groupBy("half", "part").agg(F.concat(F.lit(head), features, F.lit("]}")).alias("value"))
     document.select("value").write.text(f"{root}/source/places.geojson")
     target = T.StructType([T.StructField("id", T.LongType()), T.StructField("note", T.StringType()), C.geometry_field("geometry")])
     stored = SnapshotTable.create(spark, f"{root}/tables/geo/places", target, ["id"])
@@ -971,7 +978,8 @@ def source_geojson_document_published(spark, sf_dir):
         source_schema="id string, note string",
     )
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    # Short ranges, so that documents of any table are cut; as many as the cores need, not more with each row.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(20000, files.size(spark, f"{root}/source/places.geojson") // (4 * cores))))
     try:
         TableSync(spark, f"{root}/tables", [spec]).pull("places")
     finally:

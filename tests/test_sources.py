@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalogue import queries
 from tablesync import LayerSpec, SyncError
 from tablesync.sources.geojson import feature_texts
 from tablesync.sources.readers import lower_names, open_layer, read_source
@@ -202,3 +203,18 @@ def test_a_truncated_document_sets_its_last_feature_aside(spark, folder):
         file.write(text[:-40])
     rows = open_layer(spark, LayerSpec("l", folder, "cut", "a", "b", source_format="geojson")).collect()
     assert [r["id"] for r in rows if r["id"]] == ["1", "1"] and sum(r["_unreadable"] is not None for r in rows) == 1
+
+
+def test_documents_and_ranges_do_not_grow_with_the_table(spark, folder, monkeypatch):
+    spark.range(250_000).withColumnRenamed("id", "c_custkey").write.parquet(f"{folder}/customer.parquet")
+    seen = {}
+
+    def look(sync, name):
+        path = f"{sync._layers[name].source}/places.geojson"
+        seen["ranges"] = spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions()
+        seen["features"] = spark.read.text(path).select(F.max(F.size(F.split("value", '"Feature","properties"')))).first()[0] - 1
+
+    monkeypatch.setattr(queries.TableSync, "pull", look)
+    queries.source_geojson_document_published(spark, folder)
+    assert seen["ranges"] <= 8 * spark.sparkContext.defaultParallelism
+    assert 10_000 < seen["features"] <= queries.DOCUMENT_IDS // 2
