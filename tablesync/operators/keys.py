@@ -88,6 +88,10 @@ def _common_part(keys: Sequence[str], mine: Column, theirs: Column) -> Column:
     return F.struct(mine.alias("mine"), theirs.alias("theirs"), *shown)
 
 
+#: Shares that the rows of one cut are dealt in, where only some of the columns are known in both.
+SHARES = 16
+
+
 def flag_not_in_blocked(
     df: DataFrame, others: DataFrame, keys: Sequence[str], flag: str = "_blocked", same_keys: DataFrame | None = None
 ) -> DataFrame:
@@ -98,15 +102,29 @@ def flag_not_in_blocked(
     known in both; equal cuts then meet in one equi-join, however many key columns there are. What
     is cut on the other side is made distinct before it is shuffled. ``same_keys`` has the keys
     of ``df`` where that is cheaper to read.
+
+    Where two patterns leave no column known in both, any two keys of them match: that takes no
+    join, and such rows are dealt by their values. Where some columns are left, a cut may be that of
+    most rows: they are dealt in :data:`SHARES`, and the different cuts go to each.
     """
     rows = df if same_keys is None else same_keys
-    theirs = others.select(*keys, F.explode(_masks_of(rows, keys)).alias("_m"))
-    cuts = theirs.select(_common_part(keys, F.col("_m"), _null_mask(keys)).alias("_cut")).distinct()
-    mine = rows.select(*keys, F.explode(_masks_of(others, keys)).alias("_m"))
-    mine = mine.select(_key_struct(keys).alias("_key"), _common_part(keys, _null_mask(keys), F.col("_m")).alias("_cut"))
-    blocked = mine.join(cuts, "_cut", "left_semi").select("_key").distinct().withColumn(flag, F.lit(True))
-    joined = df.join(blocked, _key_struct(keys) == F.col("_key"), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.col(flag), F.lit(False)).alias(flag))
+    own = _null_mask(keys)
+    hidden, none_known = F.col("_m").bitwiseOR(own), (1 << len(keys)) - 1
+    theirs = others.select(*keys, F.explode(_masks_of(rows, keys)).alias("_m")).filter(hidden != none_known)
+    cuts = theirs.select(_common_part(keys, F.col("_m"), own).alias("_cut"), (hidden != 0).alias("_partly")).distinct()
+    shares = F.when(F.col("_partly"), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+    cuts = cuts.select("_cut", F.explode(shares).alias("_share"))
+    mine = rows.select(*keys, F.explode(_masks_of(others, keys)).alias("_m")).filter(hidden != none_known)
+    share = F.when(hidden != 0, F.pmod(F.xxhash64(*[left(k) for k in keys]), F.lit(SHARES))).otherwise(F.lit(0)).cast("int")
+    mine = mine.select(_key_struct(keys).alias("_key"), _common_part(keys, own, F.col("_m")).alias("_cut"), share.alias("_share"))
+    blocked = mine.join(cuts, ["_cut", "_share"], "left_semi").select("_key").distinct().withColumn(flag, F.lit(True))
+    any_key = F.exists("_theirs", lambda m: m.bitwiseOR(own) == none_known)
+    flagged = df.withColumn("_theirs", _masks_of(others, keys)).withColumn("_any", any_key).drop("_theirs")
+    # A row without any known column has no partner here, so it may go anywhere; partners have no place.
+    place = F.when(own == none_known, F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _sortable(f.dataType)]))
+    wanted = F.struct(F.col("_key").alias("key"), F.lit(None).cast("long").alias("place"))
+    joined = flagged.join(blocked, F.struct(_key_struct(keys).alias("key"), place.alias("place")) == wanted, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_any") | F.coalesce(F.col(flag), F.lit(False))).alias(flag))
 
 
 def _key_struct(keys: Sequence[str]) -> Column:

@@ -1,12 +1,16 @@
 """Whole runs on small tables: rules, quirks, errors, all-or-nothing."""
 
+import random
 import struct
 from unittest import mock
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync import ConflictError, LayerSpec, SnapshotTable, SyncError, TableSync
+from tablesync.operators import diff as D
+from tablesync.operators import keys as K
 from tablesync.operators.casting import geometry_field, varchar
 
 SCHEMA = T.StructType(
@@ -480,3 +484,36 @@ def test_every_plan_gives_the_same_result(case, plan):
         c = case(allow_feature_deletion=True).source(FRESH)
         assert c.pull() == (3, 1, 1, 1, 0)
         assert c.rows() == [(1, "a", 1.0, "keep"), (2, "B", 2.0, "keep"), (4, "d", 4.0, None)]
+
+
+def _not_in(row, others):
+    return not any(all(a is None or b is None or a == b for a, b in zip(row, other)) for other in others)
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_not_in_for_any_pattern_of_nulls(spark, width):
+    rng = random.Random(width)
+    names = [f"k{n}" for n in range(width)]
+    some = lambda n, nulls: [tuple(None if rng.random() < nulls else rng.randrange(6) for _ in names) for _ in range(n)]
+    schema = ", ".join(f"{n} int" for n in names)
+    for mine, theirs in ((some(60, 0.2), some(5, 0.3)), (some(60, 0), some(9, 0)), (some(40, 0.5), []), ([], some(4, 0.5))):
+        df, others = spark.createDataFrame(mine, schema), spark.createDataFrame(theirs, schema)
+        got = sorted(map(tuple, D.missing_rows_not_in(df, others, names).collect()), key=repr)
+        assert got == sorted((r for r in mine if _not_in(r, theirs)), key=repr)
+
+
+def test_a_null_key_does_not_gather_all_rows(spark):
+    """With a NULL on the other side every row has the same cut: no task may get them all."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    others = spark.createDataFrame([(None,), (7,)], "k long")
+    flagged = K.flag_not_in_blocked(df, others, ["k"])
+    assert flagged.filter("not _blocked").isEmpty()
+    assert K.flag_not_in_blocked(df, others.filter("k = 7"), ["k"]).filter("_blocked").count() == 10_000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        per_task = [r["n"] for r in K.flag_not_in_blocked(df, others, ["k"]).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(per_task) == 20_000 and max(per_task) < 6_000
