@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.operators.apply import partition_rows, touched_partitions
-from tablesync.operators.diff import values_differ
+from tablesync.operators.diff import DELETE, OP, UPDATE, values_differ
 from tablesync.operators.keys import key_condition, right_side
 from tablesync.sources import files
 
+#: What one task writes of a partition at most, about.
+SHARE_ROWS, SHARE_BYTES = 500_000, 64 << 20
+
 
 def overwrite_partitions(
     path: str,
@@ -32,6 +35,7 @@ def overwrite_partitions(
     number of partitions touched.
     """
     spark = target.sparkSession
+    changes = without_broadcast(changes, keys)
     touched_partitions(target, changes, keys, partition_by).write.parquet(f"{work}/touched")
     touched = spark.read.parquet(f"{work}/touched")
     partition_rows(target, changes, touched, keys, partition_by).write.parquet(f"{work}/rows")
@@ -41,9 +45,9 @@ def overwrite_partitions(
     named = target.select(*[F.col(f"`{p}`") for p in partition_by], folder).distinct()
     named.join(right_side(touched.select(*partition_by)), key_condition(partition_by), "left_semi").write.parquet(f"{work}/folders")
     folders = spark.read.parquet(f"{work}/folders")
-    # Small partitions become one file each; a large one is split over several tasks.
+    # Small partitions become one file each; a large one is split over several tasks, however small its values are stored.
     (
-        rows.hint("rebalance", *partition_by)
+        shared_out(rows, keys, partition_by, files.size(spark, f"{work}/rows"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
@@ -57,6 +61,30 @@ def overwrite_partitions(
     return touched.count()
 
 
+def without_broadcast(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Changes whose keys are joined by sorting, if they are too large for a broadcast as rows; files may hold them in far less."""
+    spark = changes.sparkSession
+    moved = changes.filter(F.col(OP).isin(UPDATE, DELETE)).select(*keys)
+    size = moved.count() * (8 + int(moved._jdf.schema().defaultSize()))
+    threshold = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return changes.hint("merge") if size > threshold else changes
+
+
+def shared_out(rows: DataFrame, keys: Sequence[str], partition_by: Sequence[str], size: int) -> DataFrame:
+    """Stored rows of ``size`` bytes by partition, large ones in shares of :data:`SHARE_ROWS` rows or :data:`SHARE_BYTES` bytes.
+
+    A writer sorts the rows of its task by partition; what it sorts is bounded by rows, as stored bytes say little about them.
+    """
+    n = rows.count()
+    most = max(1, min(SHARE_ROWS, SHARE_BYTES * n // max(size, 1)))
+    counts = right_side(rows.groupBy(*partition_by).agg(F.ceil(F.count(F.lit(1)) / most).alias("_shares")))
+    dealt = rows.join(counts, key_condition(partition_by), "inner")
+    share = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.col("_r__shares"))
+    by = [F.col(f"`{p}`") for p in partition_by]
+    dealt = dealt.select(*[F.col(f"`{c}`") for c in rows.columns], share.alias("_share"))
+    return dealt.repartition(max(1, -(-n // most)), *by, "_share").drop("_share")
+
+
 def merge_into(
     table: str,
     target: DataFrame,
