@@ -29,7 +29,7 @@ import sys
 import types
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ ships(__name__)
 
 #: Words kept with their tokens in a Python worker; beyond it the memory starts anew.
 KEPT_WORDS = 1_000_000
+#: Pieces of words kept with their tokens; several words share one.
+KEPT_PIECES = 250_000
 #: Characters of a word that is kept; longer ones go through the transducer.
 LONG_WORD = 256
 #: Texts whose new words are encoded together.
@@ -64,6 +66,7 @@ _NORMALIZERS = [
 _PIECE = regex.compile(_SPLIT)
 _LETTERS = regex.compile(r"\p{L}+")
 _OTHERS = regex.compile(r"[^\s\p{L}\p{N}]+")
+_MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 _NONE = 1 << 30
 
 
@@ -355,7 +358,14 @@ class Decoder:
 
 
 def _split_word(word: str) -> list[str]:
-    text = lower(word if word.isascii() else unicodedata.normalize("NFC", word))
+    if word.isascii():
+        text = word.lower()
+        if text.isalpha():
+            return [text]
+        # Most others are letters and one mark; a quote may begin a piece, digits and control characters are not marks.
+        body, mark = text[:-1], text[-1]
+        return [body, mark] if mark in _MARKS and body.isalpha() else _PIECE.findall(text)
+    text = lower(unicodedata.normalize("NFC", word))
     return [text] if text.isalpha() else _PIECE.findall(text)
 
 
@@ -365,6 +375,7 @@ class Words(dict):
     def __init__(self, bpe: Bpe, make):
         super().__init__()
         self.bpe, self.make = bpe, make
+        self.tokens: dict[str, list[int]] = {}
 
     def __missing__(self, word: str):
         return self.make(self.bpe, encode_long(self.bpe, word))
@@ -376,8 +387,12 @@ class Words(dict):
             new = words
         # A long word goes through the transducer each time instead.
         split = {w: _split_word(w) for w in new if len(w) <= LONG_WORD}
-        texts = list({piece for pieces in split.values() for piece in pieces})
-        tokens = dict(zip(texts, self.bpe.pieces(texts)))
+        tokens = self.tokens
+        texts = list(set(filterfalse(tokens.__contains__, chain.from_iterable(split.values()))))
+        if len(tokens) + len(texts) > KEPT_PIECES:
+            tokens.clear()
+            texts = list(set(chain.from_iterable(split.values())))
+        tokens.update(zip(texts, self.bpe.pieces(texts)))
         for word, pieces in split.items():
             ids = tokens[pieces[0]] if len(pieces) == 1 else [i for piece in pieces for i in tokens[piece]]
             self[word] = self.make(self.bpe, ids)

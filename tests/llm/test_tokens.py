@@ -104,3 +104,21 @@ def test_pieces_join_to_the_documents(spark, library):
 def test_lengths_are_binary(n):
     assert sum(packing.lengths(n)) == n
     assert all(x & (x - 1) == 0 and x <= 2048 for x in packing.lengths(n))
+
+
+def test_pieces_are_remembered_across_texts(monkeypatch):
+    import public_tokenizers
+
+    from tablesync.llm import bpe_stream as B
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        bpe = B.Bpe(file.read())
+    texts = ["a dog, it's", "dog. it' dog' x", "Dog! é. don't' 's' a1 1. _ dogs", "dog; dogs?"]
+    words = B.Words(bpe, lambda _, ids: list(ids))
+    asked = []
+    monkeypatch.setattr(B, "TEXTS", 1)
+    pieces = bpe.pieces
+    monkeypatch.setattr(bpe, "pieces", lambda new: asked.extend(new) or pieces(new))
+    found = [[i for word in text for i in word] for text in words.of(texts)]
+    assert found == [B.encode_long(bpe, text) for text in texts]
+    assert len(asked) == len(set(asked)) and "dog" in asked
