@@ -25,10 +25,11 @@ import codecs
 import hashlib
 import heapq
 import json
+import struct
 import sys
 import types
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain, filterfalse
 
 import numpy as np
@@ -42,7 +43,7 @@ from tablesync.llm import ships
 ships(__name__)
 
 #: Words kept with their tokens in a Python worker; beyond it the memory starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 #: Pieces of words kept with their tokens; several words share one.
 KEPT_PIECES = 250_000
 #: Characters of a word that is kept; longer ones go through the transducer.
@@ -66,7 +67,7 @@ _NORMALIZERS = [
 _PIECE = regex.compile(_SPLIT)
 _LETTERS = regex.compile(r"\p{L}+")
 _OTHERS = regex.compile(r"[^\s\p{L}\p{N}]+")
-_MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _NONE = 1 << 30
 
 
@@ -82,6 +83,15 @@ def lower(text: str) -> str:
     return text.lower() if "Σ" not in text else text.replace("Σ", "σ").lower()
 
 
+def packed(ids: Sequence[int]) -> bytes:
+    """Ids as unsigned little-endian numbers of 32 bits."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def unpacked(raw: bytes) -> tuple[int, ...]:
+    return struct.unpack(f"<{len(raw) // 4}I", raw)
+
+
 class Bpe:
     """Vocabulary, merge ranks and the lookahead that follows from the merges."""
 
@@ -177,8 +187,8 @@ class Bpe:
         at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
         return np.where(self._keys[at] == key, self._ranks[at], _NONE).astype(np.int32)
 
-    def pieces(self, texts: list[str]) -> list[list[int]]:
-        """The tokens of many whole pieces; short ones are merged side by side, one merge each per step."""
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        """The tokens of many whole pieces, packed; short ones are merged side by side, one merge each per step."""
         out: list = [None] * len(texts)
         raws = [text.encode() for text in texts]
         size = np.array([len(raw) for raw in raws])
@@ -188,10 +198,10 @@ class Bpe:
                 for row, ids in zip(rows.tolist(), self._side_by_side([raws[r] for r in rows.tolist()], size[rows], high)):
                     out[row] = ids
         for row in np.flatnonzero(size > SHORT_PIECE).tolist():
-            out[row] = self.piece(texts[row])
+            out[row] = packed(self.piece(texts[row]))
         return out
 
-    def _side_by_side(self, raws: list[bytes], size: np.ndarray, width: int) -> Iterator[list[int]]:
+    def _side_by_side(self, raws: list[bytes], size: np.ndarray, width: int) -> Iterator[bytes]:
         data = np.frombuffer(b"".join([raw.ljust(width, b" ") for raw in raws]), np.uint8).reshape(-1, width)
         ids = np.array(self.plain, np.int64)[data]
         row = np.arange(len(raws))
@@ -226,7 +236,8 @@ class Bpe:
                 some = (near >= 0) & (near + 1 < left[row])
                 r, c = own[some], near[some]
                 ranks[r, c] = self._rank_of(ids[r, c], ids[r, c + 1])
-        return (line[:n] for line, n in zip(done.tolist(), left.tolist()))
+        raw, line = done.astype("<u4").tobytes(), 4 * width
+        return (raw[line * i : line * i + 4 * n] for i, n in enumerate(left.tolist()))
 
     def piece(self, text: str) -> list[int]:
         """The tokens of one whole piece."""
@@ -357,45 +368,54 @@ class Decoder:
         return self.bytes.decode(b"", True) if self.as_text else ""
 
 
-def _split_word(word: str) -> list[str]:
-    if word.isascii():
-        text = word.lower()
-        if text.isalpha():
-            return [text]
-        # Most others are letters and one mark; a quote may begin a piece, digits and control characters are not marks.
-        body, mark = text[:-1], text[-1]
-        return [body, mark] if mark in _MARKS and body.isalpha() else _PIECE.findall(text)
-    text = lower(unicodedata.normalize("NFC", word))
-    return [text] if text.isalpha() else _PIECE.findall(text)
-
-
 class Words(dict):
-    """Words with a value made from their ids, about as many as :data:`KEPT_WORDS`."""
+    """Words with a value made from their ids, or with their packed ids, about as many as :data:`KEPT_WORDS`.
+
+    Ids are kept as bytes: the garbage collector would visit hundreds of thousands of lists again and again.
+    """
 
-    def __init__(self, bpe: Bpe, make):
+    def __init__(self, bpe: Bpe, make=None):
         super().__init__()
         self.bpe, self.make = bpe, make
-        self.tokens: dict[str, list[int]] = {}
+        self.tokens: dict[str, bytes] = {}
+
+    def _value(self, raw: bytes):
+        return raw if self.make is None else self.make(self.bpe, unpacked(raw))
 
     def __missing__(self, word: str):
-        return self.make(self.bpe, encode_long(self.bpe, word))
+        return self._value(packed(encode_long(self.bpe, word)))
 
     def _learn(self, words: set[str]) -> None:
         new = set(filterfalse(self.__contains__, words))
         if len(self) + len(new) > KEPT_WORDS:
             self.clear()
             new = words
-        # A long word goes through the transducer each time instead.
-        split = {w: _split_word(w) for w in new if len(w) <= LONG_WORD}
+        whole: dict[str, str] = {}
+        split: dict[str, list[str]] = {}
+        for word in new:
+            # A long word goes through the transducer each time instead.
+            if len(word) > LONG_WORD:
+                continue
+            text = word.lower() if word.isascii() else lower(unicodedata.normalize("NFC", word))
+            if text.isalpha():
+                whole[word] = word if text == word else text
+                continue
+            # Most others are letters and marks; a quote may begin a piece, digits and control characters are not marks.
+            body = text.rstrip(_MARKS)
+            split[word] = [body, text[len(body) :]] if body.isalpha() else _PIECE.findall(text)
         tokens = self.tokens
-        texts = list(set(filterfalse(tokens.__contains__, chain.from_iterable(split.values()))))
+        wanted = {*whole.values(), *chain.from_iterable(split.values())}
+        texts = list(filterfalse(tokens.__contains__, wanted))
         if len(tokens) + len(texts) > KEPT_PIECES:
             tokens.clear()
-            texts = list(set(chain.from_iterable(split.values())))
+            texts = list(wanted)
         tokens.update(zip(texts, self.bpe.pieces(texts)))
-        for word, pieces in split.items():
-            ids = tokens[pieces[0]] if len(pieces) == 1 else [i for piece in pieces for i in tokens[piece]]
-            self[word] = self.make(self.bpe, ids)
+        value = self._value
+        if self.make is None:
+            self.update(zip(whole, map(tokens.__getitem__, whole.values())))
+        else:
+            self.update((word, value(tokens[text])) for word, text in whole.items())
+        self.update((word, value(b"".join([tokens[piece] for piece in pieces]))) for word, pieces in split.items())
 
     def of(self, texts: list[str | None]) -> Iterator[list]:
         """For each text the values of its words, in order; together they hold its ids."""
@@ -407,7 +427,7 @@ class Words(dict):
                 for words, special in text:
                     out += map(self.__getitem__, words)
                     if special is not None:
-                        out.append(self.make(self.bpe, [special]))
+                        out.append(self._value(packed([special])))
                 yield out
 
     def _parts(self, text: str) -> list[tuple[list[str], int | None]]:
@@ -433,7 +453,7 @@ def encode_long(bpe: Bpe, text: str, chunk: int = 4096) -> list[int]:
     return out + stream.finish()
 
 
-def kept(name: str, spec: str, make) -> Words:
+def kept(name: str, spec: str, make=None) -> Words:
     """The worker's own words for one use; they outlive the task."""
     state = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state")).__dict__
     key = name, hashlib.sha256(spec.encode()).digest()
@@ -448,7 +468,7 @@ def tokenizer_spec(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def _described(bpe: Bpe, ids: list[int]) -> tuple[int, str, str]:
+def _described(bpe: Bpe, ids: Sequence[int]) -> tuple[int, str, str]:
     return len(ids), " ".join([bpe.digits[i] for i in ids]), Decoder(bpe).feed(ids)
 
 

@@ -11,7 +11,6 @@ sequences of one length share a bucket, and a batch is taken from one bucket.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.llm import ships
-from tablesync.llm.bpe_stream import Bpe, kept, tokenizer_spec
+from tablesync.llm.bpe_stream import kept, tokenizer_spec
 
 ships(__name__)
 
@@ -34,10 +33,6 @@ def lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _packed_ids(bpe: Bpe, ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 def sequences(
     docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", longest: int = LONGEST, end_id: int = END_ID
 ) -> DataFrame:
@@ -47,7 +42,7 @@ def sequences(
     end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept("packed", spec.value, _packed_ids)
+        words = kept("packed", spec.value)
         for batch in batches:
             row, start, length, tokens, ids = [], [], [], [], []
             for place, found in enumerate(words.of(batch.column(1).to_pylist())):

@@ -1,5 +1,6 @@
 """Encoding, decoding and packing against the tokenizers library."""
 
+import gc
 import hashlib
 import random
 import zlib
@@ -122,3 +123,12 @@ def test_pieces_are_remembered_across_texts(monkeypatch):
     found = [[i for word in text for i in word] for text in words.of(texts)]
     assert found == [B.encode_long(bpe, text) for text in texts]
     assert len(asked) == len(set(asked)) and "dog" in asked
+
+
+def test_ids_are_kept_packed_and_untracked(bpe, library):
+    """Lists of ids are visited by every garbage collection; bytes are not. Many marks need no pattern."""
+    some = [*texts(5, 300, 40), "été,&&& Dog.*** dog' dogs'!' ñ$$$ it's... ÉTÉ!? 1*** <|endoftext|> " + "q" * 300]
+    words = bpe_stream.Words(bpe)
+    for text, found in zip(some, words.of(some)):
+        assert list(bpe_stream.unpacked(b"".join(found))) == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert words and not any(gc.is_tracked(kept) for kept in [*words.values(), *words.tokens.values()])
