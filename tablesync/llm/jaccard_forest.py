@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tablesync.llm import ships
 from tablesync.llm.components import components
-from tablesync.llm.textblocks import Block, blocks, grams, mix
+from tablesync.llm.textblocks import Block, blocks, grams, mix, parts
 from tablesync.llm.work import stored
 
 ships(__name__)
@@ -48,6 +48,8 @@ LONGEST = 8
 RECALL = 0.9999
 #: Nodes of a block; a cell compares two blocks.
 BLOCK = 256
+#: Rows that are worked on at one time.
+ROWS = 1000
 #: Columns of a dense membership matrix built at once.
 SLICE = 4096
 
@@ -86,7 +88,7 @@ def _signatures(depth: int, k: int):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in parts(batches, ROWS):
             for block in blocks(batch.column(1)):
                 value, start = shingle_sets(block, k)
                 used = np.flatnonzero(np.diff(start))
@@ -121,7 +123,7 @@ def _signatures(depth: int, k: int):
 
 
 def _explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches, ROWS):
         keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
         node = np.repeat(batch.column(0).to_numpy(), TREES)
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys)], ["node", "prefix"])

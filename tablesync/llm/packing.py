@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.llm import ships
-from tablesync.llm.bpe_stream import kept, tokenizer_spec
+from tablesync.llm.bpe_stream import TEXTS, kept, tokenizer_spec
+from tablesync.llm.textblocks import parts
 
 ships(__name__)
 
@@ -43,7 +44,7 @@ def sequences(
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = kept("packed", spec.value)
-        for batch in batches:
+        for batch in parts(batches, TEXTS):
             row, start, length, tokens, ids = [], [], [], [], []
             for place, found in enumerate(words.of(batch.column(1).to_pylist())):
                 raw = b"".join(found) + end

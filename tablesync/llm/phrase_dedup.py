@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.llm import ships
-from tablesync.llm.textblocks import Block, blocks, grams
+from tablesync.llm.textblocks import Block, blocks, grams, parts
 from tablesync.llm.work import stored
 
 ships(__name__)
@@ -47,6 +47,8 @@ SEED = 8
 PIECE = 32
 #: Occurrences of a seed that one task takes; more are dealt over several.
 SHARE = 1000
+#: Documents that are Python objects at one time.
+ROWS = 500
 #: Pieces that one automaton is compiled from; bounds its memory.
 AUTOMATON_PIECES = 8_000
 
@@ -92,7 +94,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in parts(batches, ROWS):
         texts = [pack.compress((text or "").encode()) for text in batch.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(i) for i in range(3)), pa.array(texts, pa.binary())], ["doc_id", "key", "hash", "ztext"]
@@ -106,7 +108,7 @@ def _digest(words: list[bytes]) -> str:
 def _triage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Finishes the documents without recurring seeds; the others keep text and seeds."""
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in parts(batches, ROWS):
         seeds = batch.column("seeds").to_pylist()
         n_words, sha, ztext = [], [], []
         for packed, found in zip(batch.column("ztext").to_pylist(), seeds):
@@ -129,7 +131,7 @@ def _triage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of the documents around windows with recurring seeds: words joined by one space."""
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in parts(batches, ROWS):
         texts = [unpack.decompress(z) for z in batch.column("ztext").to_pylist()]
         keys, hashes = batch.column("key").to_pylist(), batch.column("hash").to_pylist()
         recurring = batch.column("seeds").to_pylist()
@@ -340,7 +342,7 @@ def _removed(n_words: int, spans: list[dict] | None) -> np.ndarray:
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in parts(batches, ROWS):
         n_words, gone, sha = [], [], []
         for packed, spans in zip(batch.column("ztext").to_pylist(), batch.column("spans").to_pylist()):
             words = _WORD.findall(unpack.decompress(packed))
@@ -393,7 +395,7 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     position = docs.columns.index(text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, ROWS):
             texts = batch.column(position).to_pylist()
             spans = batch.column(batch.num_columns - 1).to_pylist()
             new = pa.array([without(t, s) if s else t for t, s in zip(texts, spans)], batch.schema.types[position])

@@ -7,6 +7,7 @@ polynomials over randomised byte values, mixed once more at the end.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -158,8 +159,20 @@ def _shift(x: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few rows are Python objects at one time."""
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
+def forget_words() -> None:
+    """What tokenizers keep in this worker goes: the worker has turned to other work, and they may not be back."""
+    if state := sys.modules.get("_llm_worker_state"):
+        state.__dict__.clear()
+
+
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The column in blocks of about ``limit`` bytes; NULL is an empty text."""
+    """The column in blocks of about ``limit`` bytes; NULL is an empty text. A worker at blocks keeps no words."""
+    forget_words()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")

@@ -7,10 +7,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tablesync.llm import bpe_stream, packing
+from tablesync.llm import bpe_stream, packing, textblocks
 from tests.llm.cases import documents, nothing, rows_of
 
 SMALL = "/root/testdata/sf0.001"
@@ -132,3 +133,20 @@ def test_ids_are_kept_packed_and_untracked(bpe, library):
     for text, found in zip(some, words.of(some)):
         assert list(bpe_stream.unpacked(b"".join(found))) == library.encode(text, add_special_tokens=False).ids, repr(text)
     assert words and not any(gc.is_tracked(kept) for kept in [*words.values(), *words.tokens.values()])
+
+
+def test_a_worker_that_turns_to_other_work_forgets_its_words():
+    """Kept words would otherwise stay beside what later stages hold, in every worker."""
+    with open(PATH, encoding="utf-8") as file:
+        spec = file.read()
+    words = bpe_stream.kept("some use", spec)
+    next(words.of(["two words"]))
+    assert bpe_stream.kept("some use", spec) is words
+    assert [block.n for block in textblocks.blocks(pa.array(["other", "work"]))] == [2]
+    assert not bpe_stream.kept("some use", spec)
+
+
+def test_batches_come_in_slices():
+    batch = pa.RecordBatch.from_pydict({"n": list(range(1200))})
+    cut = list(textblocks.parts([batch, batch.slice(0, 0)], bpe_stream.TEXTS))
+    assert [part.num_rows for part in cut] == [500, 500, 200] and pa.Table.from_batches(cut).column("n").to_pylist() == list(range(1200))
