@@ -34,6 +34,7 @@ from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,18 @@ def lower(text: str) -> str:
     return text.lower() if "Σ" not in text else text.replace("Σ", "σ").lower()
 
 
+def normal(text: str) -> str:
+    """The text as the file's normaliser leaves it, but for its white space."""
+    return lower(text if text.isascii() else unicodedata.normalize("NFC", text))
+
+
+def cut(word: str) -> list[str]:
+    """The pieces of a normalised word."""
+    # Most are letters and marks; a quote may begin a piece, digits and control characters are not marks.
+    body = word.rstrip(_MARKS)
+    return [body, word[len(body) :]] if body.isalpha() else _PIECE.findall(word)
+
+
 def packed(ids: Sequence[int]) -> bytes:
     """Ids as unsigned little-endian numbers of 32 bits."""
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -306,7 +319,11 @@ class Transducer:
         return out
 
     def _take(self, raw: str, last: bool) -> list[int]:
-        self.text += lower(_SPACE.sub(" ", unicodedata.normalize("NFC", raw)))
+        return self.take(lower(_SPACE.sub(" ", unicodedata.normalize("NFC", raw))), last)
+
+    def take(self, text: str, last: bool) -> list[int]:
+        """As ``feed`` and ``finish``, for text that is normalised already: doing so again may change it."""
+        self.text += text
         out: list[int] = []
         at = 0
         if self.open:
@@ -396,13 +413,11 @@ class Words(dict):
             # A long word goes through the transducer each time instead.
             if len(word) > LONG_WORD:
                 continue
-            text = word.lower() if word.isascii() else lower(unicodedata.normalize("NFC", word))
+            text = normal(word)
             if text.isalpha():
                 whole[word] = word if text == word else text
-                continue
-            # Most others are letters and marks; a quote may begin a piece, digits and control characters are not marks.
-            body = text.rstrip(_MARKS)
-            split[word] = [body, text[len(body) :]] if body.isalpha() else _PIECE.findall(text)
+            else:
+                split[word] = cut(text)
         tokens = self.tokens
         wanted = {*whole.values(), *chain.from_iterable(split.values())}
         texts = list(filterfalse(tokens.__contains__, wanted))
@@ -445,6 +460,84 @@ class Words(dict):
         return [w for w in _SPACE.split(text) if w] if _ASCII_SEPARATORS.search(text) else text.split()
 
 
+class PackedWords:
+    """Packed ids of whole columns: each word of a slice is looked up once, however often it occurs there.
+
+    Texts are normalised and split as a whole; words that are one piece and pieces of others share a table. It
+    has two generations of half as many entries as :class:`Words` keeps: what is used again moves to the younger.
+    """
+
+    def __init__(self, bpe: Bpe):
+        self.bpe = bpe
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # No normalised text has a capital letter: these words stand for special tokens.
+        self.marker = {content: f"S{i}" for content, i in bpe.special.items()}
+        self.marked = {self.marker[content]: packed([i]) for content, i in bpe.special.items()}
+
+    def __len__(self) -> int:
+        return len(self.young) + len(self.old)
+
+    def of(self, texts: pa.Array) -> Iterator[bytes]:
+        """For each text its packed ids."""
+        plain = pa.array([self._normal(text or "") for text in texts.to_pylist()], pa.large_string())
+        # Other white space stays inside words; no piece holds any.
+        words = pc.ascii_split_whitespace(plain)
+        coded = words.flatten().dictionary_encode()
+        values = pa.array(self._values(_strings(coded.dictionary)), pa.large_binary())
+        found = values.take(coded.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int64)[words.offsets.to_numpy()].tolist()
+        data = found.buffers()[2] or b""
+        return (data[start:end].to_pybytes() if end > start else b"" for start, end in zip(ends, ends[1:]))
+
+    def _normal(self, text: str) -> str:
+        if "<|" not in text:
+            return normal(text)
+        out, at = [], 0
+        for match in self.bpe.specials.finditer(text):
+            out += normal(text[at : match.start()]), self.marker[match[0]]
+            at = match.end()
+        return " ".join([*out, normal(text[at:])])
+
+    def _values(self, words: list[str]) -> list[bytes]:
+        if len(self.young) > (KEPT_WORDS + KEPT_PIECES) // 2:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        split: dict[str, list[str]] = {}
+        wanted: set[str] = set()
+        for word in filterfalse(young.__contains__, words):
+            if word in old:
+                young[word] = old[word]
+            elif len(word) > LONG_WORD:
+                continue
+            elif word.isalpha():
+                wanted.add(word)
+            elif word in self.marked:
+                young[word] = self.marked[word]
+            else:
+                split[word] = cut(word)
+        for piece in filterfalse(young.__contains__, chain.from_iterable(split.values())):
+            if piece in old:
+                young[piece] = old[piece]
+            else:
+                wanted.add(piece)
+        texts = list(wanted)
+        young.update(zip(texts, self.bpe.pieces(texts)))
+        young.update([(word, b"".join([young[piece] for piece in pieces])) for word, pieces in split.items()])
+        # A long word goes through the transducer each time instead.
+        return [self._long(word) if raw is None else raw for word, raw in zip(words, map(young.get, words))]
+
+    def _long(self, word: str, chunk: int = 4096) -> bytes:
+        stream = Transducer(self.bpe)
+        out = [packed(stream.take(word[at : at + chunk], False)) for at in range(0, len(word), chunk)]
+        return b"".join([*out, packed(stream.take("", True))])
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """Words without spaces as Python strings, several times as fast as one by one."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(" ", words.type))[0].as_py().split(" ")
+
+
 def encode_long(bpe: Bpe, text: str, chunk: int = 4096) -> list[int]:
     stream = Transducer(bpe)
     out: list[int] = []
@@ -453,12 +546,12 @@ def encode_long(bpe: Bpe, text: str, chunk: int = 4096) -> list[int]:
     return out + stream.finish()
 
 
-def kept(name: str, spec: str, make=None) -> Words:
+def kept(name: str, spec: str, build=Words):
     """The worker's own words for one use; they outlive the task."""
     state = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state")).__dict__
     key = name, hashlib.sha256(spec.encode()).digest()
     if key not in state:
-        state[key] = Words(Bpe(spec), make)
+        state[key] = build(Bpe(spec))
     return state[key]
 
 
@@ -477,7 +570,7 @@ def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     spec = tokenizer_spec(docs.sparkSession, tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept("described", spec.value, _described)
+        words = kept("described", spec.value, lambda bpe: Words(bpe, _described))
         for batch in batches:
             n_tokens, ids_sha, text_sha = [], [], []
             for found in words.of(batch.column(1).to_pylist()):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.llm import ships
-from tablesync.llm.bpe_stream import TEXTS, kept, tokenizer_spec
+from tablesync.llm.bpe_stream import TEXTS, PackedWords, kept, tokenizer_spec
 from tablesync.llm.textblocks import parts
 
 ships(__name__)
@@ -43,11 +43,11 @@ def sequences(
     end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept("packed", spec.value)
+        words = kept("packed", spec.value, PackedWords)
         for batch in parts(batches, TEXTS):
             row, start, length, tokens, ids = [], [], [], [], []
-            for place, found in enumerate(words.of(batch.column(1).to_pylist())):
-                raw = b"".join(found) + end
+            for place, found in enumerate(words.of(batch.column(1))):
+                raw = found + end
                 n, at = len(raw) // 4, 0
                 for size in lengths(n, longest):
                     row.append(place)

@@ -150,3 +150,38 @@ def test_batches_come_in_slices():
     batch = pa.RecordBatch.from_pydict({"n": list(range(1200))})
     cut = list(textblocks.parts([batch, batch.slice(0, 0)], bpe_stream.TEXTS))
     assert [part.num_rows for part in cut] == [500, 500, 200] and pa.Table.from_batches(cut).column("n").to_pylist() == list(range(1200))
+
+
+def test_packed_columns_equal_the_library(bpe, library):
+    """Texts are normalised as a whole; a second time would change some, and special tokens stay as they are."""
+    odd = ["", None, " ", "\t\x0b\x0c\r\n", "J\u030c H\u0331x T\u0308", "S49407 s49407 <|ENDOFTEXT|> <|endoftext|>", "a<|startoftext|>\u0301b<|end", "İΣ ΑΣ",
+           "J\u030c" * 300, "a\u2028b\x85c\x1cd\xa0" * 200, "q" * 5000 + "'s", "x<|endoftext|>" * 90, "it's, '&'s 's'' don't'."]
+    some = [*texts(6, 1500, 40), *odd]
+    words = bpe_stream.PackedWords(bpe)
+    for at in range(0, len(some), 400):
+        column = pa.array(["other", *some[at : at + 400]], pa.string()).slice(1)
+        for text, found in zip(some[at : at + 400], words.of(column), strict=True):
+            assert list(bpe_stream.unpacked(found)) == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert list(words.of(pa.array([], pa.string()))) == []
+
+
+def test_a_slice_looks_each_word_up_once(bpe, monkeypatch):
+    words, asked = bpe_stream.PackedWords(bpe), []
+    values = words._values
+    monkeypatch.setattr(words, "_values", lambda new: asked.extend(new) or values(new))
+    found = list(words.of(pa.array(["Again and again", "AGAIN and"] * 50)))
+    assert len(set(found)) == 2 and sorted(asked) == ["again", "and"]
+
+
+def test_words_in_use_are_not_forgotten(bpe, monkeypatch):
+    """A full table used to be emptied, and its usual words were merged anew."""
+    monkeypatch.setattr(bpe_stream, "KEPT_WORDS", 20)
+    monkeypatch.setattr(bpe_stream, "KEPT_PIECES", 20)
+    words, asked, pieces = bpe_stream.PackedWords(bpe), [], bpe.pieces
+    monkeypatch.setattr(bpe, "pieces", lambda new: asked.extend(new) or pieces(new))
+    letters = "bcdfghklmn"
+    for i in range(100):
+        text = f"usual word, new{letters[i // 10]}{letters[i % 10]}"
+        (found,) = words.of(pa.array([text]))
+        assert found == bpe_stream.packed(bpe_stream.encode_long(bpe, text)) and len(words) <= 60
+    assert asked.count("usual") == asked.count("word") == 1 and len(asked) == 103
